@@ -51,10 +51,11 @@ MIN_JUDGED_WORDS = 40
 MAX_REFERENCE_SYMBOLS = 0.01
 MAX_REFERENCE_UPPER = 0.2
 #: Squared distances above these are not a language's usual text. A histogram of n samples is
-#: away from its own source by about bins / n, so a share of that is added.
-MAX_CLASS_DISTANCE = 0.2
-MAX_WORD_DISTANCE = 0.21
-NOISE = 4.0
+#: away from its own source by about bins / n, so a share of that is added for n words.
+MAX_CLASS_DISTANCE = 0.16
+MAX_WORD_DISTANCE = 0.23
+CLASS_NOISE = 2.6
+WORD_NOISE = 4.5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 
@@ -154,8 +155,9 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
         sums = {lang: np.zeros(width + classes, np.int64) for lang in LANGS}
         for batch in by_bytes(batches, "text"):
             for text, lang in zip(utf8(batch, "text"), batch.column(1).to_pylist(), strict=True):
-                n, *_, repeats, seen = base_counts(text)
-                if n >= MIN_JUDGED_WORDS and not base_failed(n, repeats):
+                seen, words = byte_counts(text), word_counts(text)
+                chars, symbols, upper = (int(seen[list(x)].sum()) for x in (_PRINTED, SYMBOLS, CLASSES["upper"]))
+                if words.sum() >= MIN_JUDGED_WORDS and symbols <= MAX_REFERENCE_SYMBOLS * chars and upper <= MAX_REFERENCE_UPPER * chars:
                     sums[lang] += np.concatenate([words, seen @ CLASS_OF])
         for lang, total in sums.items():
             if total.any():
@@ -179,8 +181,8 @@ def distances(text: bytes | None, refs: dict[str, tuple[np.ndarray, np.ndarray]]
 
 def too_far(n_words: int, by_class: float, by_word: float) -> bool:
     """Whether a text of so many words is further from its language than chance takes it."""
-    noise = NOISE / max(n_words, 1)
-    return by_class**2 > MAX_CLASS_DISTANCE**2 + noise / 2 or by_word**2 > MAX_WORD_DISTANCE**2 + noise
+    n = max(n_words, 1)
+    return by_class**2 > MAX_CLASS_DISTANCE**2 + CLASS_NOISE / n or by_word**2 > MAX_WORD_DISTANCE**2 + WORD_NOISE / n
 
 
 def _judge(text: bytes | None, lang: str | None, refs: dict) -> tuple:
