@@ -134,7 +134,8 @@ def _batch_overlaps(texts: list[bytes | None], index: SeedIndex) -> Iterator[tup
     order = np.argsort(row, kind="stable")
     at, item, place, row = at[order], item[order], place[order], row[order]
     rows, first = np.unique(row, return_index=True)
-    for r, lo, hi in zip(rows.tolist(), first.tolist(), [*first[1:].tolist(), len(row)], strict=True):
+    last = np.append(first[1:], len(row))[: len(rows)]
+    for r, lo, hi in zip(rows.tolist(), first.tolist(), last.tolist(), strict=True):
         own = slice(lo, hi)
         for overlap in index.overlaps(per_row[r], h[starts[r] : ends[r]], at[own] - starts[r], item[own], place[own]):
             yield r, overlap
