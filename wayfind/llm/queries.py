@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wayfind.llm import decontaminate, quality, simhash
+from wayfind.llm import decontaminate, quality, secrets, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,15 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, the digest of the base spans, and all spans of every document."""
+    found = secrets.with_spans(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans, entropy = F.col("secret_spans"), len(secrets.BASE_PATTERNS)
+    counts = [F.size(F.filter(spans, secrets.of_kind(kind))).cast("long").alias(f"n_{kind}") for kind, *_ in secrets.BASE_PATTERNS]
+    base = secrets.joined(F.filter(spans, lambda s: s["ord"] < entropy))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secrets.joined(spans).alias("spans"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document, over shingles of three words."""
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, distance=2)
@@ -33,6 +43,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": op2_quality_rules,
         "op4_decontaminate": op4_decontaminate,
+        "op5_secret_scan": op5_secret_scan,
         "op7_simhash": op7_simhash,
     }
 
