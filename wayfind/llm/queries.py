@@ -7,13 +7,48 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.llm import decontaminate, quality, secrets, simhash
+from wayfind.llm import decontaminate, mixing, quality, secrets, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document, and its source's size and target."""
+    mixed = mixing.mix(_read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP1_SQL = r"""
+with sized as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5('mix:' || doc_id) as place
+  from documents),
+sources as (
+  select source, sum(size)::bigint as source_size, 1 + (row_number() over (order by source is null, source) - 1) % 3 as weight from sized group by source),
+levels as (
+  select *, 3.0::double * source_size as cap, (3.0::double * source_size) / weight as ratio from sources),
+ranked as (
+  select *, (sum(source_size) over () - coalesce(sum(cap) over before, 0))::double / (sum(weight) over () - coalesce(sum(weight) over before, 0))::double as level
+  from levels window before as (order by ratio, source is null, source rows between unbounded preceding and 1 preceding)),
+targets as (
+  select source, source_size, least(cap, weight * (select max(level) from ranked where level <= ratio)) as target from ranked),
+flow as (
+  select s.doc_id, s.size, t.source_size, t.target, sum(s.size) over (partition by s.source order by s.place, s.doc_id, s.size rows unbounded preceding) as tokens
+  from sized s join targets t on s.source is not distinct from t.source),
+queue as (
+  select size, (k * source_size + tokens)::double / target as finish from flow, (select unnest([0, 1, 2]) as k) where size > 0 and target > 0),
+spent as (
+  select finish, sum(sum(size)) over (order by finish) as run from queue group by finish),
+cut as (
+  select max(finish) as last_finish from spent where run <= (select sum(size) from sized))
+select doc_id, size, source_size, target,
+  case when size > 0 and target > 0 then size * (
+    (tokens::double / target <= last_finish)::int + ((source_size + tokens)::double / target <= last_finish)::int + ((2 * source_size + tokens)::double / target <= last_finish)::int) else 0 end::bigint as taken
+from flow, cut
+"""
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base verdict and final verdict of every document."""
     return quality.quality_scores(_read(spark, sf_dir, "documents"))
@@ -41,6 +76,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mix_sources": op1_mix_sources,
         "op2_quality_rules": op2_quality_rules,
         "op4_decontaminate": op4_decontaminate,
         "op5_secret_scan": op5_secret_scan,
@@ -49,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mix_sources": OP1_SQL}
