@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.llm import decontaminate, mixing, quality, secrets, simhash
+from wayfind import storage
+from wayfind.llm import chat, decontaminate, mixing, quality, secrets, simhash, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +75,69 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(found["fp"]).alias("fingerprint"), "component_id")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and the verdict for every page."""
+    return url_filter.judge(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP8_SQL = r"""
+with recursive u as (
+  select page_id, url, html,
+    translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') as path
+  from pages),
+rules(v, h, p) as (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/'))
+select page_id, host, path,
+  (select h || p from rules where (host = h or ends_with(host, '.' || h)) and starts_with(path, p) order by length(h || p) desc limit 1) as rule,
+  coalesce((select v from rules where (host = h or ends_with(host, '.' || h)) and starts_with(path, p) order by length(h || p) desc limit 1), 'allow') as verdict
+from u
+"""
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests read back from every formatted conversation, and one of control strings."""
+    said = r"\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    formatted = chat.format_paths(chat.reply_paths(chat.linear_messages(rows)))
+    return chat.read_back(formatted).withColumnRenamed("id", "conv_id")
+
+
+OP9_SQL = r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e as (
+  select *, replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') as escaped_role,
+    replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') as escaped from c)
+select conv_id, count(*)::bigint as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(4 + length(replace(escaped_role, ':', '\:')) + 2 + length(escaped) + 9)::bigint as formatted_chars
+from e group by conv_id
+"""
+
+
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages as archives, read them back, and resolve the revisits."""
+    path = storage.scratch_path(spark, "warc")
+    warc.write_archives(_read(spark, sf_dir, "pages"), path)
+    return warc.resolve(warc.read_archives(spark, path))
+
+
+OP10_SQL = """
+with p as (
+  select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+f as (
+  select *, min(page_id) over (partition by payload_digest) as first_id from p)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 100 and page_id <> first_id then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 100 and page_id <> first_id then first_id end as refers_to
+from f
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -81,8 +145,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontaminate": op4_decontaminate,
         "op5_secret_scan": op5_secret_scan,
         "op7_simhash": op7_simhash,
+        "op8_url_filter": op8_url_filter,
+        "op9_chat_format": op9_chat_format,
+        "op10_warc_revisits": op10_warc_revisits,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op8_url_filter": OP8_SQL, "op9_chat_format": OP9_SQL, "op10_warc_revisits": OP10_SQL}
