@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfind import storage
-from wayfind.llm import chat, decontaminate, mixing, quality, secrets, simhash, url_filter, warc
+from wayfind.llm import chat, decontaminate, licenses, mixing, quality, secrets, simhash, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secrets.joined(spans).alias("spans"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy of a license notice in a document."""
+    return licenses.license_scan(_read(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document, over shingles of three words."""
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, distance=2)
@@ -144,6 +149,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op4_decontaminate": op4_decontaminate,
         "op5_secret_scan": op5_secret_scan,
+        "op6_license_scan": op6_license_scan,
         "op7_simhash": op7_simhash,
         "op8_url_filter": op8_url_filter,
         "op9_chat_format": op9_chat_format,
