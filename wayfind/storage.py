@@ -41,6 +41,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``df`` begins so."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder that is removed when the driver ends."""
     path = f"{shared_dir(spark)}/wayfind-tables/{label}-{uuid.uuid4().hex}"
