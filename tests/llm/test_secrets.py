@@ -80,9 +80,8 @@ def test_query_digests_equal_brute_force(spark):
 def test_redaction_keeps_rows_columns_and_clean_texts(spark):
     rows = list(enumerate(texts()))
     docs = spark.createDataFrame([(k, t, "x", len(t or "")) for k, t in rows], "doc_id long, text string, secret_spans string, n_chars long")
-    docs2 = docs.withColumnRenamed("secret_spans", "source")
-    out = secrets.redact(docs2).collect()
-    assert len(out) == len(rows) and set(docs2.columns) == set(out[0].asDict())
+    out = secrets.redact(docs).collect()
+    assert len(out) == len(rows) and set(docs.columns) == set(out[0].asDict())
     for r in out:
         text = dict(rows)[r["doc_id"]]
         spans = expected(text)[1]

@@ -14,13 +14,13 @@ import pyarrow.compute
 BATCH_BYTES = 8 << 20
 
 
-def by_bytes(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``BATCH_BYTES`` of ``column``, in order."""
+def by_bytes(batches: Iterable[pa.RecordBatch], column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes of ``column``, in order."""
     for batch in batches:
         sizes = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())
         first = held = 0
         for k, text in enumerate(pa.compute.binary_length(sizes).to_pylist()):
-            if held and held + (text or 0) > BATCH_BYTES:
+            if held and held + (text or 0) > most:
                 yield batch.slice(first, k - first)
                 first, held = k, 0
             held += text or 0

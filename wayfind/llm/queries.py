@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfind import storage
-from wayfind.llm import chat, decontaminate, licenses, mixing, quality, secrets, simhash, url_filter, warc
+from wayfind.llm import chat, decontaminate, language_crf, licenses, mixing, quality, secrets, simhash, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +56,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_read(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document; a quarter of them is held out of training."""
+    docs = _read(spark, sf_dir, "documents")
+    out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = language_crf.train(docs.where(~out))
+    found = language_crf.predict(docs, model)
+    return found.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every overlap of a document with a benchmark item."""
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
@@ -145,8 +155,10 @@ from f
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_mix_sources": op1_mix_sources,
         "op2_quality_rules": op2_quality_rules,
+        "op3_language_id": op3_language_id,
         "op4_decontaminate": op4_decontaminate,
         "op5_secret_scan": op5_secret_scan,
         "op6_license_scan": op6_license_scan,
@@ -158,4 +170,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op8_url_filter": OP8_SQL, "op9_chat_format": OP9_SQL, "op10_warc_revisits": OP10_SQL}
+    """SQL where DuckDB can express the query."""
+    found = {"op1_mix_sources": OP1_SQL, "op8_url_filter": OP8_SQL, "op9_chat_format": OP9_SQL, "op10_warc_revisits": OP10_SQL}
+    if corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found

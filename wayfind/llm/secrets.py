@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfind.storage import fresh
+
 # Kind, pattern, the group whose length counts, and the least length.
 BASE_PATTERNS = [
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
@@ -164,7 +166,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars",
     Overlapping spans are replaced once. ``length_col``, where there is one, follows the new
     text. Null texts stay null; no row is dropped.
     """
-    into = "secret_spans"
+    into = fresh(docs, "secret_spans")
     found, text = with_spans(docs, text_col, into), F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

@@ -21,12 +21,13 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayfind.llm.batches import by_bytes, utf8
 from wayfind.llm.components import connected_components
-from wayfind.storage import materialize
+from wayfind.storage import fresh, materialize
 
 BITS = 64
 SEED = 42
@@ -220,15 +221,15 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
 
 
 def link_classes(docs_fp: DataFrame, distance: int) -> DataFrame:
-    """(fp, component_id) for each distinct fingerprint of the table ``docs_fp``.
+    """(fp, component, component_id) for each distinct fingerprint of the table ``docs_fp``.
 
-    ``component_id`` is the smallest doc_id that links reach, null ids aside.
+    ``component`` is the component's smallest fingerprint, ``component_id`` the smallest doc_id that links reach, null ids aside.
     """
     fps = materialize(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     comp = materialize(connected_components(links(fps.select("fp"), distance)), "components")
     labelled = fps.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
     smallest = labelled.groupBy("c").agg(F.min("least").alias("component_id"))
-    return labelled.join(smallest, "c").select("fp", "component_id")
+    return labelled.join(smallest, "c").select("fp", F.col("c").alias("component"), "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,3 +246,37 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 2, id_col
 def hex16(fp: Column) -> Column:
     """A fingerprint as sixteen lower-case hexadecimal digits."""
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when each component keeps the one with the smallest id.
+
+    Of several rows of a component with that id, or without any id, the first in order of
+    text stays. Rows of one id in different components are judged each by its own. All
+    columns are kept as they are; an id that occurs once is decided by a join on ids, and only
+    rows of repeated ids get their fingerprints again.
+    """
+    names, own = docs.columns, fresh(docs, "near_dup")
+    docs_fp = materialize(fingerprints(docs, shingle, id_col, text_col), "docs_fp")
+    classes = materialize(link_classes(docs_fp, distance), "classes")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = docs_fp.join(classes, "fp").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(stays).alias("stays")).where("stays")
+    ids = materialize(ids.select(F.col("doc_id").alias(f"{own}_id"), F.col("n").alias(f"{own}_n")), "survivors")
+    rows = docs.join(ids, F.col(id_col).eqNullSafe(F.col(f"{own}_id")))
+    once, again = rows.where(f"{own}_n = 1").select(names), rows.where(f"{own}_n > 1").select(names)
+    classes = classes.select(*(F.col(c).alias(f"{own}_{c}") for c in classes.columns))
+    again = _with_fingerprint(again, text_col, shingle, own).join(classes, F.col(own) == F.col(f"{own}_fp")).where(F.col(id_col).eqNullSafe(F.col(f"{own}_component_id")))
+    first = Window.partitionBy(f"{own}_component").orderBy(F.col(text_col))
+    return once.unionAll(again.withColumn(f"{own}_place", F.row_number().over(first)).where(f"{own}_place = 1").select(names))
+
+
+def _with_fingerprint(rows: DataFrame, text_col: str, shingle: int, into: str) -> DataFrame:
+    """``rows`` with their fingerprints in a further column."""
+    names = [*rows.columns, into]
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, text_col):
+            values = np.array([fingerprint(t, shingle) for t in utf8(batch, text_col)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], names)
+
+    return rows.mapInArrow(each, T.StructType([*rows.schema.fields, T.StructField(into, T.LongType())]))
