@@ -23,9 +23,9 @@ from wayfind.storage import materialize
 MIN_REVISIT_BYTES = 100
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Archives are cut to about this many payload bytes, so that one is read in one piece.
+#: Archives are cut after as many records as hold this many payload bytes on average, so
+#: that one is read in one piece.
 ARCHIVE_BYTES = 16 << 20
-MAX_RECORDS = 20_000
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -88,11 +88,10 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     own = own.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
     headers = materialize(own.select("page_id", "payload_bytes", "payload_digest"), "headers")
-    total = headers.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0))).first()[0]
+    total, n = headers.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0)), F.count(F.lit(1))).first()
     decisions = materialize(decide(headers), "decisions")
-    archives = max(1, -(-total // ARCHIVE_BYTES))
-    spread = records(own, decisions).repartition(archives, F.xxhash64("record"))
-    spread.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", MAX_RECORDS).text(path)
+    per_file = max(1, ARCHIVE_BYTES * n // max(total, 1))
+    records(own, decisions).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 # --- reading ------------------------------------------------------------------------------
