@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from wayfind.storage import materialize
 
-MAX_ROUNDS = 40
 TRAINED_ROLE = "assistant"
 
 # The template's control strings.
@@ -91,18 +90,17 @@ def reply_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     fields = F.struct("parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"), "tree", "role", "text")
     nodes = materialize(messages.where("node is not null").groupBy("node").agg(F.min(fields).alias("m")).select("node", "m.*"), "messages")
     known = nodes.select(F.col("node").alias("_k"))
-    jumps = [materialize(
+    state = materialize(
         nodes.join(known, F.col("parent") == F.col("_k"), "left").select("node", F.col("_k").alias("jump"), "score", F.lit(1).cast("long").alias("depth")), "jumps"
-    )]
-    while jumps[-1].where("jump is not null").limit(1).count() and len(jumps) <= MAX_ROUNDS:
-        last = jumps[-1]
-        far = last.select(F.col("node").alias("_n"), F.col("jump").alias("_j"), F.col("score").alias("_s"), F.col("depth").alias("_d"))
-        longer = last.join(far, F.col("jump") == F.col("_n"), "left")
-        step = longer.select("node", F.col("_j").alias("jump"), (F.col("score") + F.coalesce("_s", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"))
-        jumps.append(materialize(step, "jumps"))
-        if 2 ** len(jumps) > 2 * nodes.count():
-            break
-    done = jumps.pop().where("jump is null")
+    )
+    hops, left = [], nodes.count()
+    while left and state.where("jump is not null").limit(1).count():  # only messages not yet at their root move on
+        moving, left = state.where("jump is not null"), left // 2
+        hops.append(moving.select(F.col("node").alias("_n"), "jump"))
+        there = state.select(F.col("node").alias("_n"), F.col("jump").alias("_j"), F.col("score").alias("_s"), F.col("depth").alias("_d"))
+        step = moving.join(there, F.col("jump") == F.col("_n")).select("node", F.col("_j").alias("jump"), (F.col("score") + F.col("_s")).alias("score"), (F.col("depth") + F.col("_d")).alias("depth"))
+        state = materialize(state.where("jump is null").unionAll(step), "jumps")
+    done = state.where("jump is null")
     parents = nodes.select(F.col("parent").alias("_p")).distinct()
     leaves = done.join(parents, F.col("node") == F.col("_p"), "left_anti").join(nodes.select(F.col("node").alias("_n"), "tree"), F.col("node") == F.col("_n"))
     order = Window.partitionBy("tree").orderBy(F.col("score").desc(), F.col("depth").desc(), "node")
@@ -111,8 +109,7 @@ def reply_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
         chosen = chosen.where(F.col("rank") <= branches)
     chosen = materialize(chosen, "leaves")
     members = chosen.select("leaf", F.col("leaf").alias("at"), F.lit(0).cast("long").alias("up"))
-    for k, jump in enumerate(jumps):
-        hop = jump.where("jump is not null").select(F.col("node").alias("_n"), "jump")
+    for k, hop in enumerate(hops):
         above = members.join(hop, F.col("at") == F.col("_n")).select("leaf", F.col("jump").alias("at"), (F.col("up") + 2**k).alias("up"))
         members = materialize(members.unionAll(above), "members")
     said = nodes.select(F.col("node").alias("_n"), "role", "text")
