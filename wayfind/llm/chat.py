@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfind.llm.batches import map_texts
 from wayfind.storage import materialize
 
 TRAINED_ROLE = "assistant"
@@ -146,7 +147,7 @@ def format_paths(paths: DataFrame) -> DataFrame:
             spans = pa.array([[{"start": a, "end": b} for a, b in s] for _, s in made], span)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], texts, spans], [*kept, "formatted", "loss_spans"])
 
-    return rows.mapInArrow(each, schema)
+    return map_texts(rows, each, schema)
 
 
 def read_back(formatted: DataFrame, id_col: str = "tree") -> DataFrame:
@@ -171,4 +172,4 @@ def read_back(formatted: DataFrame, id_col: str = "tree") -> DataFrame:
             made = [one(t, s) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True))], names)
 
-    return rows.mapInArrow(each, schema)
+    return map_texts(rows, each, schema)

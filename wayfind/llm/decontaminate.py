@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm.batches import by_bytes, utf8
+from wayfind.llm.batches import by_bytes, map_texts, utf8
 
 MASKS = ("111011", "110111", "11111")
 MIN_OVERLAP = 13
@@ -165,7 +165,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     rest = [pa.array(x) for x in zip(*(o for _, o in found), strict=True)]
                     yield pa.RecordBatch.from_arrays([ids, *rest], names)
 
-        return rows.mapInArrow(each, schema)
+        return map_texts(rows, each, schema)
 
     passes = [one_pass(b) for b in _blocks(benchmark, item_col, item_text_col)]
     return reduce(DataFrame.unionAll, passes) if passes else rows.sparkSession.createDataFrame([], schema)
@@ -184,6 +184,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                 keep[[r for r, _ in _batch_overlaps(utf8(batch, text_col), index)]] = False
                 yield batch.filter(pa.array(keep))
 
-        return rows.mapInArrow(each, rows.schema)
+        return map_texts(rows, each, rows.schema)
 
     return reduce(one_pass, _blocks(benchmark, item_col, item_text_col), docs)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm.batches import by_bytes
+from wayfind.llm.batches import by_bytes, map_texts
 
 #: Labelled documents that training takes, and words of each chain.
 SAMPLE_DOCS = 800
@@ -307,4 +307,4 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 ["doc_id", "lang_pred", "score", "shares"],
             )
 
-    return rows.mapInArrow(each, f"doc_id {kind}, lang_pred string, score double, shares map<string,double>")
+    return map_texts(rows, each, f"doc_id {kind}, lang_pred string, score double, shares map<string,double>")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm.batches import by_bytes, utf8
+from wayfind.llm.batches import by_bytes, map_texts, utf8
 
 MIN_COVERAGE = 0.8
 #: So many different probes must stand where a copy is sought.
@@ -220,4 +220,4 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, i
                 columns = zip(*(row for _, row in found), strict=True)
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
 
-    return rows.mapInArrow(each, schema)
+    return map_texts(rows, each, schema)

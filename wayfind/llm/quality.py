@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm.batches import by_bytes, utf8
+from wayfind.llm.batches import by_bytes, map_texts, utf8
 
 WINDOW = 5
 
@@ -165,7 +165,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(bins)), pa.array(bins), pa.array(total[bins])], ["lang", "bin", "n"])
 
     found: dict[str, np.ndarray] = {}
-    for lang, k, n in rows.mapInArrow(each, "lang string, bin bigint, n bigint").groupBy("lang", "bin").agg(F.sum("n")).collect():
+    for lang, k, n in map_texts(rows, each, "lang string, bin bigint, n bigint").groupBy("lang", "bin").agg(F.sum("n")).collect():
         found.setdefault(lang, np.zeros(width + classes))[k] = n
     return {lang: (total[width:], _of_language(total[:width], lang)) for lang, total in sorted(found.items())}
 
@@ -215,7 +215,7 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             made = [_judge(t, lang, refs) for t, lang in zip(utf8(batch, "text"), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True))], names)
 
-    return rows.mapInArrow(each, schema)
+    return map_texts(rows, each, schema)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -228,4 +228,4 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -
             keep = [_judge(t, lang, refs)[6] for t, lang in zip(utf8(batch, names[at]), batch.column(lang_at).to_pylist(), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(each, docs.schema)
+    return map_texts(docs, each, docs.schema)

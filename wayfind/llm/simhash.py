@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfind.llm.batches import by_bytes, utf8
+from wayfind.llm.batches import by_bytes, map_texts, utf8
 from wayfind.llm.components import connected_components
 from wayfind.storage import fresh, materialize
 
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text
             values = np.array([fingerprint(t, shingle) for t in utf8(batch, "text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["doc_id", "fp"])
 
-    return rows.mapInArrow(each, f"doc_id {kind}, fp bigint")
+    return map_texts(rows, each, f"doc_id {kind}, fp bigint")
 
 
 # --- how the bits are grouped and what each group may differ by -------------------------
@@ -83,7 +83,7 @@ def bit_moments(fps: DataFrame) -> tuple[int, np.ndarray]:
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(BITS * BITS + 1)), pa.array(np.append(both.ravel(), seen))], ["cell", "n"])
 
-    cells = dict(fps.select("fp").mapInArrow(each, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect())
+    cells = dict(map_texts(fps.select("fp"), each, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect())
     grid = np.array([cells.get(k, 0) for k in range(BITS * BITS)], np.float64).reshape(BITS, BITS)
     return int(cells.get(BITS * BITS, 0)), grid
 
@@ -279,4 +279,4 @@ def _with_fingerprint(rows: DataFrame, text_col: str, shingle: int, into: str) -
             values = np.array([fingerprint(t, shingle) for t in utf8(batch, text_col)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], names)
 
-    return rows.mapInArrow(each, T.StructType([*rows.schema.fields, T.StructField(into, T.LongType())]))
+    return map_texts(rows, each, T.StructType([*rows.schema.fields, T.StructField(into, T.LongType())]))
