@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from wayfind.suite import history, scalars  # noqa: F401
+from wayfind.suite import history, scalars, structure  # noqa: F401

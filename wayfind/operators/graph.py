@@ -19,7 +19,7 @@ from wayfind.storage import materialize
 
 DAMPING, ITERATIONS = 0.85, 24
 #: Passes of the ranking between two cuts of its lineage.
-CUT_EVERY = 4
+CUT_EVERY = 3
 TEXT_FOCUS_BOOST, PATH_FOCUS_BOOST = 0.35, 0.7
 
 
@@ -126,21 +126,20 @@ def page_rank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS,
     parallel edges are summed before, the sum over files without edges is part of the same
     plan, and the table is written every few passes.
     """
-    nodes = nodes.select("path").distinct()
+    nodes = materialize(nodes.select("path").distinct(), "nodes")
     summed = edges.groupBy("source", "target").agg(F.sum("weight").alias("weight"))
     out = summed.groupBy(F.col("source").alias("_s")).agg(F.sum("weight").alias("_total"))
     share = materialize(summed.join(out, F.col("source") == F.col("_s")).select("source", "target", (F.col("weight") / F.col("_total")).alias("share")), "shares")
     n = nodes.count()
     if not n:
         return nodes.select("path", F.lit(0.0).alias("rank"))
-    ends = share.select(F.col("source").alias("path")).distinct().withColumn("leads", F.lit(True))
-    ranks = materialize(nodes.join(ends, "path", "left").select("path", F.coalesce("leads", F.lit(False)).alias("leads"), F.lit(1.0 / n).alias("rank")), "ranks")
+    ranks = nodes.select("path", F.lit(1.0 / n).alias("rank"))
     for k in range(1, iterations + 1):
-        lost = ranks.agg(F.coalesce(F.sum(F.when(~F.col("leads"), F.col("rank"))), F.lit(0.0)).alias("lost"))
-        moved = share.join(ranks.select(F.col("path").alias("source"), "rank"), "source").groupBy(F.col("target").alias("path")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
-        got = ranks.select("path", "leads").join(moved, "path", "left").join(F.broadcast(lost))  # one row
+        flow = ranks.join(share, F.col("path") == F.col("source"), "left").select("target", (F.coalesce("share", F.lit(1.0)) * F.col("rank")).alias("got"))
+        got = flow.groupBy("target").agg(F.sum("got").alias("got"))  # the row without a target is the rank of files without edges
+        lost = got.where("target is null").agg(F.coalesce(F.sum("got"), F.lit(0.0)).alias("lost"))
         rank = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)
-        ranks = got.select("path", "leads", rank.alias("rank"))
+        ranks = nodes.join(got, F.col("path") == F.col("target"), "left").join(F.broadcast(lost)).select("path", rank.alias("rank"))  # lost is one row
         if k % CUT_EVERY == 0 or k == iterations:
             ranks = materialize(ranks, "ranks")
     return ranks.select("path", "rank")

@@ -84,13 +84,13 @@ def gated(found: DataFrame, settings: MapSettings) -> DataFrame:
     return found.withColumns({"omission_reason": omission_reason(settings), "language": lang})
 
 
-def greedy_within(rows: DataFrame, order: list[str], size: str, budget: int) -> DataFrame:
-    """``rows`` with ``kept``: each in order is taken if it still fits, else passed over.
+def greedy_within(rows: DataFrame, group: list[str], order: list[str], size: str, budget: int) -> DataFrame:
+    """``rows`` with ``kept``: in each group, in order, each is taken if it still fits, else passed over.
 
-    The choice depends on all before it, so the rows of one repository meet in one fold;
-    their number is the profile's ceiling on files.
+    A choice depends on all before it, so the rows of one repository meet in one fold; their
+    number is bounded by the ceiling on files.
     """
-    held = rows.agg(F.array_sort(F.collect_list(F.struct(*order, size))).alias("rows"))
+    held = rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*order, size))).alias("rows"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("out"))
 
     def step(acc: Column, r: Column) -> Column:
@@ -98,8 +98,8 @@ def greedy_within(rows: DataFrame, order: list[str], size: str, budget: int) ->
         return F.struct(F.when(fits, acc["used"] + r[size]).otherwise(acc["used"]).alias("used"), F.concat(acc["out"], F.array(fits)).alias("out"))
 
     kept = F.aggregate("rows", start, step, lambda acc: acc["out"])
-    zipped = held.select(F.explode(F.arrays_zip(F.col("rows"), kept.alias("kept"))).alias("z"))
-    return zipped.select(*(F.col(f"z.rows.{c}").alias(c) for c in [*order, size]), F.col("z.kept").alias("kept"))
+    zipped = held.withColumn("kept", kept).select(*group, F.explode(F.arrays_zip("rows", "kept")).alias("z"))
+    return zipped.select(*group, *(F.col(f"z.rows.{c}").alias(c) for c in [*order, size]), F.col("z.kept").alias("kept"))
 
 
 def classification_summary(files: DataFrame) -> DataFrame:

@@ -103,7 +103,7 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
         make(first != "", first, "function", "definition", seq * 3 - 2, F.col("line"), visible, "declaration"),
         make((seq == 2) & (F.col("doc_id") % 3 == 0) & (last != ""), last, "import", "definition", seq * 3 - 1, hint, unknown, "import"),
         make((last != "") & (F.length("line") > 100), last, "identifier", "reference", seq * 3, nothing, unknown, "call"),
-        make((F.col("pos") == 0) & (lang == "go"), F.concat(F.lit("m"), part(5)), "module", "definition", F.lit(0), nothing, unknown, "declaration"),
+        make((F.col("pos") == 0) & (F.col("language") == "go"), F.concat(F.lit("m"), part(5)), "module", "definition", F.lit(0), nothing, unknown, "declaration"),
     ))
     return lines.select("path", "language", F.explode(made).alias("s")).select("path", "language", "s.*")
 
