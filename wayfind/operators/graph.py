@@ -141,7 +141,7 @@ def page_rank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS,
         rank = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)
         ranks = nodes.join(got, F.col("path") == F.col("target"), "left").join(F.broadcast(lost)).select("path", rank.alias("rank"))  # lost is one row
         if k % CUT_EVERY == 0 or k == iterations:
-            ranks = materialize(ranks, "ranks")
+            ranks = materialize(ranks, "ranks", compact=True)
     return ranks.select("path", "rank")
 
 

@@ -32,9 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and return the table read back, with the same schema."""
+def materialize(df: DataFrame, label: str, compact: bool = False) -> DataFrame:
+    """Write ``df`` once and return the table read back, with the same schema.
+
+    ``compact`` is for the small tables of iterations: they are written by two tasks for each
+    core at most, as every round would else begin with many tiny files.
+    """
     spark = df.sparkSession
+    if compact:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/wayfind-tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written[path] = spark
