@@ -100,7 +100,7 @@ def reply_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
         hops.append(moving.select(F.col("node").alias("_n"), "jump"))
         there = state.select(F.col("node").alias("_n"), F.col("jump").alias("_j"), F.col("score").alias("_s"), F.col("depth").alias("_d"))
         step = moving.join(there, F.col("jump") == F.col("_n")).select("node", F.col("_j").alias("jump"), (F.col("score") + F.col("_s")).alias("score"), (F.col("depth") + F.col("_d")).alias("depth"))
-        state = materialize(state.where("jump is null").unionAll(step), "jumps")
+        state = materialize(state.where("jump is null").unionAll(step), "jumps", compact=True)
     done = state.where("jump is null")
     parents = nodes.select(F.col("parent").alias("_p")).distinct()
     leaves = done.join(parents, F.col("node") == F.col("_p"), "left_anti").join(nodes.select(F.col("node").alias("_n"), "tree"), F.col("node") == F.col("_n"))
@@ -112,7 +112,7 @@ def reply_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     members = chosen.select("leaf", F.col("leaf").alias("at"), F.lit(0).cast("long").alias("up"))
     for k, hop in enumerate(hops):
         above = members.join(hop, F.col("at") == F.col("_n")).select("leaf", F.col("jump").alias("at"), (F.col("up") + 2**k).alias("up"))
-        members = materialize(members.unionAll(above), "members")
+        members = materialize(members.unionAll(above), "members", compact=True)
     said = nodes.select(F.col("node").alias("_n"), "role", "text")
     turn = F.struct((-F.col("up")).alias("up"), "role", "text")
     paths = members.join(said, F.col("at") == F.col("_n")).groupBy("leaf").agg(F.array_sort(F.collect_list(turn)).alias("turns"))

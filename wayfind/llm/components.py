@@ -38,9 +38,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     component. No edges give no rows.
     """
     edges = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges, before = materialize(edges, "edges"), None
+    edges, before = materialize(edges, "edges", compact=True), None
     for _ in range(MAX_ROUNDS):
-        edges = materialize(_small_star(_large_star(edges)), "edges")
+        edges = materialize(_small_star(_large_star(edges)), "edges", compact=True)
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h")).first()
         if now == before or not now["n"]:
             break
