@@ -9,6 +9,7 @@ into equality of keys, and a reference is joined once for all its repeats in a f
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,9 @@ from wayfind.storage import materialize
 DAMPING, ITERATIONS = 0.85, 24
 #: Passes of the ranking between two cuts of its lineage.
 CUT_EVERY = 3
+#: Up to so many files and edges a graph is ranked on the driver: within the ceilings of every
+#: profile, and some megabytes.
+SMALL_GRAPH = 200_000
 TEXT_FOCUS_BOOST, PATH_FOCUS_BOOST = 0.35, 0.7
 
 
@@ -133,6 +137,8 @@ def page_rank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS,
     n = nodes.count()
     if not n:
         return nodes.select("path", F.lit(0.0).alias("rank"))
+    if n <= SMALL_GRAPH and share.limit(SMALL_GRAPH + 1).count() <= SMALL_GRAPH:
+        return _small_page_rank(nodes, share, iterations, damping)
     ranks = nodes.select("path", F.lit(1.0 / n).alias("rank"))
     for k in range(1, iterations + 1):
         flow = ranks.join(share, F.col("path") == F.col("source"), "left").select("target", (F.coalesce("share", F.lit(1.0)) * F.col("rank")).alias("got"))
@@ -145,6 +151,22 @@ def page_rank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS,
     return ranks.select("path", "rank")
 
 
+def _small_page_rank(nodes: DataFrame, share: DataFrame, iterations: int, damping: float) -> DataFrame:
+    """The same passes over a graph whose size has been checked, without a job for each."""
+    paths = sorted(r["path"] for r in nodes.collect())
+    at, n = {p: k for k, p in enumerate(paths)}, len(paths)
+    edges = [(at[r["source"]], at[r["target"]], r["share"]) for r in share.collect() if r["source"] in at and r["target"] in at]
+    source, target = (np.array([e[k] for e in edges], np.int64) for k in (0, 1))
+    weight = np.array([e[2] for e in edges], np.float64)
+    leads = np.zeros(n, bool)
+    leads[source] = True
+    rank = np.full(n, 1.0 / n)
+    for _ in range(iterations):
+        got = np.bincount(target, weight * rank[source], n)
+        rank = (1 - damping) / n + damping * (got + rank[~leads].sum() / n)
+    return nodes.sparkSession.createDataFrame(list(zip(paths, rank.tolist(), strict=True)), "path string, rank double")
+
+
 def focus_matches(symbols: DataFrame, files: DataFrame, focuses: tuple[str, ...], focus_paths: tuple[str, ...]) -> DataFrame:
     """(path, text_matches, path_match): focus terms that a file's path or a symbol holds, and whether a focus path includes it."""
     terms = [f.strip().lower() for f in focuses if f.strip()]

@@ -16,6 +16,7 @@ from wayfind.operators import landmarks as K
 from wayfind.plans import reading as R
 from wayfind.session import table
 from wayfind.settings import MapSettings
+from wayfind.storage import materialize
 from wayfind.suite.adapters import EDGES_SQL, PAGE_PATHS_SQL, SYMBOLS_SQL, page_paths, symbols
 
 WITH = f"with {PAGE_PATHS_SQL}"
@@ -202,6 +203,11 @@ def cache_lookup_manual(spark, d):
 # --- graph --------------------------------------------------------------------------------
 
 
+def _symbols(spark, d):
+    """The symbols, read from the texts once for all the tiers that use them."""
+    return materialize(symbols(spark, d), "symbols")
+
+
 @register("def_index", f"with {SYMBOLS_SQL} select language, name, count(distinct path)::bigint as paths, min(visibility) as visibility from defs_raw group by all")
 def def_index(spark, d):
     """Defining files of each name, apart from modules."""
@@ -211,28 +217,28 @@ def def_index(spark, d):
 
 @register("lexical_edges", f"with {EDGES_SQL} select source, target, symbol, ambiguous, candidate_group, resolution_reason, confidence, target_visibility from edges")
 def lexical_edges(spark, d):
-    return G.lexical_edges(symbols(spark, d)).drop("candidates")
+    return G.lexical_edges(_symbols(spark, d)).drop("candidates")
 
 
 @register("degrees", f"with {EDGES_SQL}, ends as (select source as path, 0 as i, 1 as o from edges union all select target, 1, 0 from edges) select path, sum(i)::bigint as in_degree, sum(o)::bigint as out_degree, count(*)::bigint as links from ends group by path")
 def degrees(spark, d):
-    return G.degrees(G.lexical_edges(symbols(spark, d)))
+    return G.degrees(G.lexical_edges(_symbols(spark, d)))
 
 
 @register("reference_counts", f"with {EDGES_SQL} select target as path, symbol as name, count(*)::bigint as \"references\" from edges group by all")
 def reference_counts(spark, d):
-    return G.reference_counts(G.lexical_edges(symbols(spark, d)))
+    return G.reference_counts(G.lexical_edges(_symbols(spark, d)))
 
 
 @register("ambiguity_groups", f"with {EDGES_SQL} select candidate_group, min(source) as path, min(symbol) as symbol, max(n_candidates)::bigint as candidates from edges where ambiguous group by candidate_group")
 def ambiguity_groups(spark, d):
-    return G.ambiguity_groups(G.lexical_edges(symbols(spark, d)))
+    return G.ambiguity_groups(G.lexical_edges(_symbols(spark, d)))
 
 
 @register("edge_cap", f"with {EDGES_SQL}, o as (select edges.*, row_number() over (order by source, refs.seq, target) as n from edges join refs on refs.path = source and refs.name = symbol) select source, target, symbol from o where n <= 100")
 def edge_cap(spark, d):
     """The ceiling on edges in scan order (a feature of the reference's profile)."""
-    return G.lexical_edges(symbols(spark, d), max_edges=100).select("source", "target", "symbol")
+    return G.lexical_edges(_symbols(spark, d), max_edges=100).select("source", "target", "symbol")
 
 
 @register("symbol_caps", f"with {SYMBOLS_SQL}, s as (select path, row_number() over (partition by path order by seq) as n, seq from refs_raw), c as (select * from s where n <= 3) select path, seq::int as seq from c order by path, seq limit 2000")
@@ -272,7 +278,7 @@ def page_rank(spark, d):
   bool_or(length(line) > 100 and contains(lower(last_word), 'thon')) as c, bool_or(length(line) > 100 and contains(lower(last_word), 'que')) as e, bool_or(seq = 2 and doc_id % 3 = 0 and contains(lower(last_word), 'thon')) as g, bool_or(seq = 2 and doc_id % 3 = 0 and contains(lower(last_word), 'que')) as h from words group by path)
   select path, ((a or c or g)::int + (b or e or h)::int)::int as text_matches, starts_with(path, 'pkg1/') as path_match from f join s using (path)""")
 def focus_matches(spark, d):
-    own = symbols(spark, d)
+    own = _symbols(spark, d)
     return G.focus_matches(own, own.select("path").distinct(), ("Thon", "que "), ("pkg1/",))
 
 
@@ -281,7 +287,7 @@ def focus_matches(spark, d):
   from words left join c on c.path = words.path and c.name = first_word where first_word <> ''""")
 def snippet_scores(spark, d):
     """Scores of declarations by file, use and focus."""
-    own = symbols(spark, d)
+    own = _symbols(spark, d)
     ranking = own.select("path").distinct().withColumn("score", F.regexp_extract("path", "f([0-9]+)", 1).cast("long") % 1000)
     scored = G.snippet_scores(own.where("kind = 'function'"), ranking, G.reference_counts(G.lexical_edges(own)), ("thon",))
     return scored.select("path", "name", "seq", "score")
@@ -324,3 +330,66 @@ def reading_plan(spark, d):
     roots = [{"path": f"r{k}", "manifests": []} for k in range(9)]
     chosen = R.choose(R.shortlist(_contributions(spark, d)), roots)["recommendations"]
     return spark.createDataFrame([(c["ordinal"], c["purpose"], c["path"], c["project_root"], c["reason"]) for c in chosen], "ordinal int, purpose string, path string, project_root string, reason string")
+
+
+@register("quality_flags", """with f as (select page_id % 7 = 0 as partial, page_id % 9 = 0 as stale, page_id % 50 = 3 as cut from pages), o as (select list_extract(['oversized', 'unsupported_language', 'unsafe_path', 'binary'], (page_id % 4)::int + 1) as reason from pages)
+  select bool_or(stale) as stale, bool_or(cut) or (select bool_or(reason = 'oversized') from o) as resource_limit, false as incomplete, (select bool_or(reason = 'unsafe_path') from o) as unsafe_path, (select bool_or(reason = 'unsupported_language') from o) as unsupported,
+    bool_or(partial) as partial, concat_ws(',', case when bool_or(stale) then 'stale' end, case when bool_or(cut) or (select bool_or(reason = 'oversized') from o) then 'resource_limit' end, case when (select bool_or(reason = 'unsafe_path') from o) then 'unsafe_path' end,
+    case when (select bool_or(reason = 'unsupported_language') from o) then 'unsupported' end, case when bool_or(partial) then 'partial' end) as issues from f""")
+def quality_flags(spark, d):
+    """Flags over made-up states of pages as files."""
+    from wayfind.plans.explain import quality
+
+    k, none = F.col("page_id"), F.array().cast("array<string>")
+    files = table(spark, d, "pages").select(
+        F.col("url").alias("path"), F.when(k % 7 == 0, "partial").otherwise("complete").alias("status"), F.when(k % 50 == 3, F.array(F.lit("a limit was met"))).otherwise(none).alias("limitations"),
+        F.when(k % 9 == 0, "stale").otherwise("hit").alias("cache_status"),
+    )
+    reasons = F.element_at(F.array(*map(F.lit, ("oversized", "unsupported_language", "unsafe_path", "binary"))), (k % 4 + 1).cast("int"))
+    found = quality(None, files, table(spark, d, "pages").select(F.col("url").alias("path"), reasons.alias("reason")), stale=False, history_complete=True)
+    return found.withColumn("issues", F.array_join("issues", ","))
+
+
+@register("explain_path", f"""with {EDGES_SQL}, t as (select min(source) as path from edges) select distinct source, target, symbol from edges, t where source = t.path or target = t.path""")
+def explain_path(spark, d):
+    """The edges that bear on one path, here the first source of the graph."""
+    from wayfind.plans.explain import explain
+    own = _symbols(spark, d)
+    edges = materialize(G.lexical_edges(own), "edges")
+    path = edges.agg(F.min("source")).first()[0] or "none"
+    files, none = own.select("path").distinct(), spark.createDataFrame([], "path string, commits long")
+    omitted, found = spark.createDataFrame([], "path string, reason string"), spark.createDataFrame([], "path string, kind string")
+    return explain(path, files, own, edges, files.withColumn("score", F.lit(0)), found, omitted, none, none)["edges"].select("source", "target", "symbol")
+
+
+@register("parse_sources", "select doc_id::varchar as path, 'f' || (doc_id % 10) as name, 'Class' || (doc_id % 3) as container from documents")
+def parse_sources(spark, d):
+    """A made-up source around every whole document: its method is found despite the text beside it."""
+    from wayfind.sources.parser import parse_files
+
+    body = F.concat(F.lit("/* "), F.replace("text", F.lit("*/"), F.lit("")), F.lit(" */\nclass Class"), F.col("doc_id") % 3, F.lit(" {\n  f"), F.col("doc_id") % 10, F.lit("(x) {\n    return 1;\n  }\n}\n"))
+    files = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit("javascript").alias("language"), body.cast("binary").alias("content"))
+    return parse_files(files).where("kind = 'method' and role = 'definition'").select("path", "name", F.element_at("scope", 1).alias("container"))
+
+
+@register("capabilities")
+def capabilities(spark, d):
+    from wayfind.plans.report import capabilities as known
+
+    return known(spark)
+
+
+@register("doctor")
+def doctor(spark, d):
+    from wayfind.plans.report import doctor as checks
+
+    return checks(spark).drop("detail")
+
+
+@register("json_rows", "select c_custkey, '{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\"}' as json from customer")
+def json_rows(spark, d):
+    """Rows as JSON, as the sink writes them."""
+    from wayfind.plans.report import as_json_column
+
+    rows = as_json_column(table(spark, d, "customer").select("c_custkey", "c_name"))
+    return rows.select(F.get_json_object("json", "$.c_custkey").cast("long").alias("c_custkey"), "json")
