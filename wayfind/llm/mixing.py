@@ -100,12 +100,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix"
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     targets = source_targets(sizes.select("source", "source_size"))
     counted = targets.withColumnRenamed("source", "_s").join(sizes.select(F.col("source").alias("_t"), "n"), F.col("_s").eqNullSafe(F.col("_t"))).drop("_t")
-    counted = materialize(counted, "targets")
+    counted = materialize(counted, "targets", compact=True)
     buckets = F.greatest(F.lit(1).cast("long"), F.expr(f"n div {BUCKET_ROWS}"))
     flow = rows.join(counted, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "weight")
     range_of = (F.conv(F.substring("place", 1, 7), 16, 10).cast("long") * buckets / _HASH_SPACE).cast("long")
     flow = _running(flow.withColumn("bucket", range_of), ["source"], "bucket", ["place", "doc_id", "size"], "size", "tokens")
-    flow = materialize(flow.drop("bucket", "place", "n"), "flow")
+    flow = materialize(flow.drop("bucket", "place", "n"), "flow", compact=True)
 
     budget = flow.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     finish = lambda k: (F.lit(k) * F.col("source_size") + F.col("tokens")) / F.col("target")

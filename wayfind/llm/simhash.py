@@ -225,7 +225,7 @@ def link_classes(docs_fp: DataFrame, distance: int) -> DataFrame:
 
     ``component`` is the component's smallest fingerprint, ``component_id`` the smallest doc_id that links reach, null ids aside.
     """
-    fps = materialize(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
+    fps = materialize(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints", compact=True)
     comp = materialize(connected_components(links(fps.select("fp"), distance)), "components", compact=True)
     labelled = fps.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
     smallest = labelled.groupBy("c").agg(F.min("least").alias("component_id"))
@@ -258,10 +258,10 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 2, i
     """
     names, own = docs.columns, fresh(docs, "near_dup")
     docs_fp = materialize(fingerprints(docs, shingle, id_col, text_col), "docs_fp")
-    classes = materialize(link_classes(docs_fp, distance), "classes")
+    classes = materialize(link_classes(docs_fp, distance), "classes", compact=True)
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     ids = docs_fp.join(classes, "fp").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(stays).alias("stays")).where("stays")
-    ids = materialize(ids.select(F.col("doc_id").alias(f"{own}_id"), F.col("n").alias(f"{own}_n")), "survivors")
+    ids = materialize(ids.select(F.col("doc_id").alias(f"{own}_id"), F.col("n").alias(f"{own}_n")), "survivors", compact=True)
     # Whether ids fit a broadcast depends on the input, so texts would move at some sizes only.
     rows = docs.join(ids.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(f"{own}_id")))
     once, again = rows.where(f"{own}_n = 1").select(names), rows.where(f"{own}_n > 1").select(names)
