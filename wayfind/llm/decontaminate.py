@@ -55,6 +55,19 @@ def _seeds(h: np.ndarray, mask: str) -> np.ndarray:
     return made
 
 
+def longest_similar(same: np.ndarray) -> tuple[int, int]:
+    """The first of the longest stretches with ``PENALTY`` matches for each substitution at least.
+
+    With a match worth 1 and a substitution -PENALTY it is the longest stretch of no loss:
+    from each start on, the last end whose running sum is not below the start's.
+    """
+    gain = np.concatenate([[0], np.cumsum(np.where(same, 1, -PENALTY))])
+    ahead = np.maximum.accumulate(gain[::-1])[::-1]  # the most that is still reached; it falls along the line
+    last = np.searchsorted(-ahead, -gain, "right") - 1
+    start = int(np.argmax(last - np.arange(len(gain))))
+    return start, int(last[start])
+
+
 class SeedIndex:
     """The seeds of one block of items, for lookup by arrays of document seeds."""
 
@@ -91,12 +104,9 @@ class SeedIndex:
             name, own, own_h = self.items[k]
             first, last = max(0, -diagonal), min(len(own), len(words) - diagonal)
             same = own_h[first:last] == h[first + diagonal : last + diagonal]
-            gain = np.concatenate([[0], np.cumsum(np.where(same, 1, -PENALTY))])
-            low = np.minimum.accumulate(gain)
-            end = int(np.argmax(gain - low))
-            start = int(np.flatnonzero(gain[: end + 1] == low[end])[-1])
+            start, end = longest_similar(same)
             matched = int(same[start:end].sum())
-            if end - start < min(MIN_OVERLAP, len(own)) or matched * 5 < (end - start) * 4:
+            if end - start < min(MIN_OVERLAP, len(own)):
                 continue
             begin = first + diagonal + start
             if sum(a == b for a, b in zip(own[first + start : first + end], words[begin : begin + end - start], strict=True)) != matched:
