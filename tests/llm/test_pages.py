@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import duckdb
+
 from tests.compare import SF, connection, rows
 from wayfind import storage
 from wayfind.llm import queries, url_filter, warc
@@ -96,6 +98,9 @@ def test_aliases_and_precedence(spark):
     frame = spark.createDataFrame([(k, u, html.get(k), 0) for k, u in pages], PAGES)
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(frame).collect()}
     assert got == brute(pages, url_filter.RULES, edges)
+    con = duckdb.connect()
+    con.register("pages", frame.toPandas())
+    assert {r[0]: r[1:] for r in con.sql(queries.OP8_SQL).fetchall()} == got
     assert got[1][3] == "block" and got[12][3] == "allow" and got[5][3] == "block" and got[10][3] == "allow"
     assert url_filter.judge(frame).count() == len(pages) and url_filter.judge(frame.where("false")).count() == 0
     block_alias = [p for p in pages if p[0] in (1, 2)]

@@ -95,17 +95,44 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-OP8_SQL = r"""
-with recursive u as (
-  select page_id, url, html,
-    translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
-    regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') as path
-  from pages),
-rules(v, h, p) as (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/'))
-select page_id, host, path,
-  (select h || p from rules where (host = h or ends_with(host, '.' || h)) and starts_with(path, p) order by length(h || p) desc limit 1) as rule,
-  coalesce((select v from rules where (host = h or ends_with(host, '.' || h)) and starts_with(path, p) order by length(h || p) desc limit 1), 'allow') as verdict
-from u
+def _attribute_sql(name: str) -> str:
+    forms = (r'"([^"]*)"', r"''([^'']*)''", r"([^\s""''>]+)")
+    return "(" + " || ".join(rf"regexp_extract(tag, '(?is)\b{name}\s*=\s*{form}', 1)" for form in forms) + ")"
+
+
+def _node_sql(url: str) -> str:
+    part = lambda k: rf"regexp_extract({url}, '(?s)^\s*([A-Za-z][A-Za-z0-9+.-]*://)([^/?#]*)([^#]*?)\s*(?:#.*)?$', {k})"
+    return f"case when {part(1)} <> '' then translate({part(1)} || {part(2)}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_replace({part(3)}, '^$', '/') end"
+
+
+def _rule_sql(host: str, path: str, field: str) -> str:
+    return f"(select {field} from rules where ({host} = h or ends_with({host}, '.' || h)) and starts_with({path}, p) order by length(h || p) desc limit 1)"
+
+
+_HOST, _PATH = (
+    rf"translate(regexp_extract(coalesce({{0}}, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')",
+    r"regexp_extract(coalesce({0}, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)",
+)
+OP8_SQL = rf"""
+with recursive rules(v, h, p) as (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+u as (select page_id, url, {_HOST.format("url")} as host, {_PATH.format("url")} as path, {_node_sql("url")} as node from pages),
+tags as (select url as base, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<(?:link|meta)[^>]*>')) as tag from pages),
+links as (select base, regexp_replace(regexp_replace(trim(case
+    when regexp_matches(tag, '(?i)^<link') and regexp_matches({_attribute_sql("rel")}, '(?i)(^|\s)canonical(\s|$)') then {_attribute_sql("href")}
+    when regexp_matches(tag, '(?i)^<meta') and regexp_matches({_attribute_sql("http-equiv")}, '(?i)^\s*refresh\s*$') then regexp_extract({_attribute_sql("content")}, '(?is)^\s*[0-9.]*\s*[;,]\s*url\s*=\s*[''"]?([^''"]*)', 1) end), '(?i)&amp;', '&', 'g'), '[	
+]', '', 'g') as link
+  from tags),
+absolute as (select base, case when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') then link when starts_with(link, '//') then regexp_extract(base, '(?s)^(.*?:)//', 1) || link
+    when starts_with(link, '/') then regexp_extract(base, '(?s)^(.*?://[^/?#]*)', 1) || link when link = '' or regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') then null
+    when starts_with(link, '?') then regexp_extract(base, '(?s)^(.*?://[^?#]*)', 1) || link
+    else regexp_extract(base, '(?s)^(.*?://[^/?#]*)', 1) || coalesce(nullif(regexp_replace(regexp_extract(base, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '[^/]*$', ''), ''), '/') || link end as target from links),
+edges as (select {_node_sql("base")} as a, {_node_sql("target")} as b from absolute),
+both_ways as (select a, b from edges where a is not null and b is not null and a <> b union select b, a from edges where a is not null and b is not null and a <> b),
+reach as (select a, b from both_ways union select r.a, w.b from reach r join both_ways w on r.b = w.a),
+near as (select r.a as node, bool_or({_rule_sql(_HOST.format("r.b"), _PATH.format("r.b"), "v")} = 'allow') as allowed, bool_or({_rule_sql(_HOST.format("r.b"), _PATH.format("r.b"), "v")} = 'block') as blocked from reach r group by r.a)
+select page_id, host, path, {_rule_sql("host", "path", "h || p")} as rule,
+  coalesce({_rule_sql("host", "path", "v")}, case when near.allowed then 'allow' when near.blocked then 'block' end, 'allow') as verdict
+from u left join near on u.node = near.node
 """
 
 
