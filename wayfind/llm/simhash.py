@@ -20,52 +20,52 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayfind.llm.batches import by_bytes, map_texts, utf8
 from wayfind.llm.components import connected_components
+from wayfind.llm.similar import MinHash, shingle_hashes, similar_links
 from wayfind.storage import fresh, materialize
 
 BITS = 64
-SEED = 42
-BLOCK = 1 << 15
-
-
-def fingerprint(text: bytes | None, shingle: int) -> int:
-    """The 64 bits of one text as an unsigned integer; no word gives zero."""
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
-    if len(words) < shingle:
-        words, shingle = [b" ".join(words)], 1
-    ones, total = np.zeros(BITS, np.int64), len(words) - shingle + 1
-    hashed = xxhash.xxh64_intdigest
-    for first in range(0, total, BLOCK):
-        part = words[first : first + BLOCK + shingle - 1]
-        grams = map(b" ".join, zip(*(part[k:] for k in range(shingle)), strict=False))
-        h = np.fromiter((hashed(g, SEED) for g in grams), np.uint64)
+
+
+def fingerprint(text: bytes | None, shingle: int, also: MinHash | None = None) -> int:
+    """The 64 bits of one text as an unsigned integer; no word gives zero.
+
+    ``also`` is given the same hashes.
+    """
+    ones, total = np.zeros(BITS, np.int64), 0
+    for h in shingle_hashes(text, shingle):
         ones += np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.int64)
+        total += len(h)
+        if also is not None:
+            also.add(h)
     return int(np.packbits(ones * 2 > total, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", keys: bool = False) -> DataFrame:
     """(doc_id, fp long) for each row: A-Z lowered, words split at ASCII white space.
 
     A null or wordless text has fingerprint zero; a text with fewer words than a shingle is
-    one shingle. Repeated rows give repeated rows. Other columns are not read.
+    one shingle. Repeated rows give repeated rows. Other columns are not read. ``keys`` adds
+    the keys of the text's MinHash bands.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
-            values = np.array([fingerprint(t, shingle) for t in utf8(batch, "text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["doc_id", "fp"])
+            signs = [MinHash() if keys else None for _ in range(batch.num_rows)]
+            values = np.array([fingerprint(t, shingle, also) for t, also in zip(utf8(batch, "text"), signs, strict=True)], np.uint64).view(np.int64)
+            made = [batch.column(0), pa.array(values)]
+            if keys:
+                made.append(pa.array([s.band_keys() for s in signs], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(made, ["doc_id", "fp", "keys"][: len(made)])
 
-    return map_texts(rows, each, f"doc_id {kind}, fp bigint")
+    return map_texts(rows, each, f"doc_id {kind}, fp bigint" + ", keys array<bigint>" * keys)
 
 
 # --- how the bits are grouped and what each group may differ by -------------------------
@@ -220,13 +220,14 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
     return reduce(DataFrame.unionAll, found).select(F.col("fp").alias("u"), F.col("other").alias("v")).distinct()
 
 
-def link_classes(docs_fp: DataFrame, distance: int) -> DataFrame:
+def link_classes(docs_fp: DataFrame, distance: int, more: DataFrame | None = None) -> DataFrame:
     """(fp, component, component_id) for each distinct fingerprint of the table ``docs_fp``.
 
-    ``component`` is the component's smallest fingerprint, ``component_id`` the smallest doc_id that links reach, null ids aside.
+    ``component`` is the component's smallest fingerprint, ``component_id`` the smallest doc_id that links reach, null ids aside. ``more`` has further links (u, v).
     """
     fps = materialize(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints", compact=True)
-    comp = materialize(connected_components(links(fps.select("fp"), distance)), "components", compact=True)
+    edges = links(fps.select("fp"), distance)
+    comp = materialize(connected_components(edges if more is None else edges.unionAll(more)), "components", compact=True)
     labelled = fps.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
     smallest = labelled.groupBy("c").agg(F.min("least").alias("component_id"))
     return labelled.join(smallest, "c").select("fp", F.col("c").alias("component"), "component_id")
@@ -248,17 +249,24 @@ def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 2, similarity: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay when each component keeps the one with the smallest id.
 
-    Of several rows of a component with that id, or without any id, the first in order of
-    text stays. Rows of one id in different components are judged each by its own. All
-    columns are kept as they are; an id that occurs once is decided by a join on ids, and only
-    rows of repeated ids get their fingerprints again.
+    Texts are linked by fingerprints within ``distance`` bits, and (unless ``similarity`` is
+    None) by a Jaccard similarity of their shingles of at least that. Of several rows of a
+    component with the smallest id, or without any id, the first in order of text stays. Rows
+    of one id in different components are judged each by its own. All columns are kept as
+    they are; an id that occurs once is decided by a join on ids, and only rows of repeated
+    ids get their fingerprints again.
     """
     names, own = docs.columns, fresh(docs, "near_dup")
-    docs_fp = materialize(fingerprints(docs, shingle, id_col, text_col), "docs_fp")
-    classes = materialize(link_classes(docs_fp, distance), "classes", compact=True)
+    docs_fp = materialize(fingerprints(docs, shingle, id_col, text_col, keys=similarity is not None), "docs_fp")
+    more = None
+    if similarity is not None:
+        # One text stands for a fingerprint: that of its smallest id.
+        signed = docs_fp.groupBy(F.col("fp").alias("node")).agg(F.min(F.struct("doc_id", "keys")).alias("s")).select("node", F.col("s.doc_id").alias("id"), "s.keys")
+        more = similar_links(materialize(signed, "signatures", compact=True), docs, id_col, text_col, shingle, similarity)
+    classes = materialize(link_classes(docs_fp, distance, more), "classes", compact=True)
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     ids = docs_fp.join(classes, "fp").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(stays).alias("stays")).where("stays")
     ids = materialize(ids.select(F.col("doc_id").alias(f"{own}_id"), F.col("n").alias(f"{own}_n")), "survivors", compact=True)
