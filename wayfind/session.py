@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -27,3 +30,21 @@ def local_session(cores: int | str = "*", app: str = "wayfind") -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's tables; the path may be in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever they start.
+
+    Nothing is done if PYTHONPATH leads to it already. Workers of a local session are given
+    the folder; to those of a cluster Spark sends the package as an archive, once.
+    """
+    root, sc = str(Path(__file__).resolve().parents[1]), spark.sparkContext
+    known = sc.environment.get("PYTHONPATH", "").split(os.pathsep) + os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if root in (os.path.realpath(p) for p in known if p) or getattr(sc, "_wayfind_sent", False):
+        return
+    if sc.master == "local" or sc.master.startswith("local["):
+        sc.environment["PYTHONPATH"] = os.pathsep.join([root, *(p for p in known if p)])
+        return
+    with tempfile.TemporaryDirectory() as folder:
+        sc.addPyFile(shutil.make_archive(f"{folder}/wayfind", "zip", root, "wayfind"))
+    sc._wayfind_sent = True

@@ -16,6 +16,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from wayfind.session import share_code
+
 MAX_CHANGED_PATHS = 10_000
 COMMITS_PER_PARTITION = 500
 EMPTY_TREES = {40: "4b825dc642cb6eb9a060e54bf8d69288fbee4904", 64: "6ef19b41225c5369f1c104d45d8d85efa9b057b53b14b4b9b939dd74decc5321"}
@@ -193,6 +195,7 @@ class GitPaths(_Source):
 
 
 def register(spark: SparkSession) -> None:
+    share_code(spark)
     for source in (GitCommits, GitTree, GitIndex, GitPaths):
         spark.dataSource.register(source)
 

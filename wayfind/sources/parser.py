@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from wayfind.schemas import SYMBOLS
+from wayfind.session import share_code
 
 CONTEXT_CHARS, NAME_CHARS = 180, 256
 
@@ -304,6 +305,7 @@ def parse(source: str, lang: str, max_symbols: int = 2_048) -> Parsed:
 
 def parse_files(files: DataFrame, max_symbols: int = 2_048) -> DataFrame:
     """Symbols of files (path, language, content), one file at a time, in the symbols' schema."""
+    share_code(files.sparkSession)
     names = [x.split(" ")[0] for x in SYMBOLS.replace("struct<start:struct<line:int,column:int>,end:struct<line:int,column:int>>", "s").split(", ")]
 
     def each(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -320,6 +322,7 @@ def parse_files(files: DataFrame, max_symbols: int = 2_048) -> DataFrame:
 
 def parse_findings(files: DataFrame, max_symbols: int = 2_048) -> DataFrame:
     """(path, kind, line, detail) of what could not be parsed."""
+    share_code(files.sparkSession)
 
     def each(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

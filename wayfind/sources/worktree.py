@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from wayfind.session import share_code
 from wayfind.sources.git import _git
 
 
@@ -84,6 +85,7 @@ class Worktree(DataSource):
 
 def read(spark: SparkSession, repository: str, max_bytes: int = 1 << 20, recursive: bool = False, content: bool = True) -> DataFrame:
     """(path, content, symlink, ignored) of every file; content is at most ``max_bytes`` + 1 bytes."""
+    share_code(spark)
     spark.dataSource.register(Worktree)
     flag = lambda x: str(x).lower()
     return spark.read.format("git_worktree").option("max_bytes", max_bytes).option("recursive", flag(recursive)).option("content", flag(content)).load(repository)
