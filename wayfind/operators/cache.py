@@ -49,8 +49,8 @@ def totals(records: DataFrame) -> DataFrame:
     return records.groupBy("repository_id").agg(F.count(F.lit(1)).alias("records"), F.sum("bytes").alias("bytes"))
 
 
-def overall_status(mode: str, hits: int, misses: int, refreshed: int, stale: int) -> str:
-    """One status for a run: disabled, else stale, refreshed, miss, hit in order of precedence."""
+def overall_status(mode: str, hits: int, refreshed: int, stale: int) -> str:
+    """One status for a run: disabled, stale, refreshed or hit, the first that applies, else miss."""
     if mode == "no_cache":
         return "disabled"
-    return "stale" if stale else "refreshed" if refreshed else "miss" if misses else "hit" if hits else "miss"
+    return "stale" if stale else "refreshed" if refreshed else "hit" if hits else "miss"

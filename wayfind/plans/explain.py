@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.functions.landmarks import file_landmarks
+from wayfind.functions.labels import actionable_limitation, explained_landmark
 from wayfind.functions.modules import qualified
 from wayfind.functions.paths import focus_includes
 
@@ -56,7 +56,7 @@ def explain(target: str, files: DataFrame, symbols: DataFrame, edges: DataFrame,
         "findings": findings.join(paths, "path", "left_semi"),
         "history": history.orderBy("path"),
         "omissions": lost.orderBy("path", "reason").limit(MOST["omissions"]),
-        "landmarks": paths.select("path", F.explode(file_landmarks(F.col("path"))).alias("kind")),
+        "landmarks": paths.select("path", explained_landmark(F.col("path")).alias("kind")).where("kind is not null"),
     }
 
 
@@ -68,7 +68,7 @@ def quality(relevant: DataFrame | None, files: DataFrame, omissions: DataFrame,
     """
     keep = lambda df: df if relevant is None else df.join(relevant.select("path").distinct(), "path", "left_semi")
     real = F.exists("limitations", lambda x: ~x.startswith(IGNORED_LIMITATION))
-    limited = F.exists("limitations", lambda x: x.contains("limit") & ~x.startswith(IGNORED_LIMITATION))
+    limited = F.exists("limitations", actionable_limitation)
     of_files = keep(files).agg(
         F.coalesce(F.bool_or((F.col("status") == "partial") & (real | (F.size("limitations") == 0))), F.lit(False)).alias("partial"),
         F.coalesce(F.bool_or(F.col("cache_status") == "stale"), F.lit(False)).alias("old"), F.coalesce(F.bool_or(limited), F.lit(False)).alias("cut"),

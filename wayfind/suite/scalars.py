@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayfind.catalog import register
+from wayfind.functions import labels as N
 from wayfind.functions import landmarks as L
 from wayfind.functions import modules as M
 from wayfind.functions import paths as P
@@ -237,3 +238,23 @@ def module_hints(spark, d):
     lang = F.when(k == 1, "lua").otherwise("python")
     hints = F.when(k == 0, F.element_at(M.import_hints(context, lang), -1)).otherwise(F.array_join(M.import_hints(context, lang), ","))
     return table(spark, d, "part").select("p_partkey", F.when(k == 3, F.concat(hints, F.lit("|"), n)).otherwise(hints).alias("hints"))
+
+
+@register("labels", """select c_custkey, upper(left(lower(c_mktsegment), 1)) || replace(substr(lower(c_mktsegment) || '_x_y', 2), '_', ' ') as label,
+  case when c_custkey % 3 = 1 then 'mixed' when c_custkey % 3 = 2 then 'modified' when c_custkey % 5 = 0 then 'untracked' else 'clean' end as state,
+  c_custkey % 4 = 1 as missing, c_custkey % 4 = 2 as actionable, c_custkey % 2 = 0 as projection, 'Analyzed ' || c_custkey || ' source files (go, rust) and recorded 2 omitted paths.' as summary from customer""")
+def labels(spark, d):
+    """Labels, states and messages made up by customer."""
+    k = F.col("c_custkey")
+    message = F.when(k % 4 == 1, "object Not Found here").when(k % 4 == 2, "the resource limit was met").when(k % 4 == 3, "The per-file symbol limit: resource limit").otherwise("fine")
+    modified, untracked = (k % 3 != 0).cast("int"), F.when(k % 3 == 0, (k % 5 == 0).cast("int")).otherwise((k % 3 == 1).cast("int"))
+    return table(spark, d, "customer").select(
+        "c_custkey", N.display_label(F.concat(F.lower("c_mktsegment"), F.lit("_x_y"))).alias("label"), N.snapshot_state(F.lit(1), modified, untracked).alias("state"), N.missing_object(message).alias("missing"),
+        N.actionable_limitation(message).alias("actionable"), N.expected_projection(k % 2 == 0, F.lit("output_budget")).alias("projection"),
+        N.map_summary(k, F.lit(2), F.array(F.lit("rust"), F.lit("go"), F.lit("go"))).alias("summary"),
+    )
+
+
+@register("explained_landmarks", f"""{WITH} select page_id, case when regexp_matches(path, '(^|/)README[.]md$') then 'readme' when regexp_matches(path, '/(Cargo[.]toml|package[.]json)$') then 'manifest' when contains(path, '/tests/') then 'tests' end as kind from paths""")
+def explained_landmarks(spark, d):
+    return page_paths(spark, d).select("page_id", N.explained_landmark(F.col("path")).alias("kind"))

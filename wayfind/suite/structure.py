@@ -342,7 +342,7 @@ def quality_flags(spark, d):
 
     k, none = F.col("page_id"), F.array().cast("array<string>")
     files = table(spark, d, "pages").select(
-        F.col("url").alias("path"), F.when(k % 7 == 0, "partial").otherwise("complete").alias("status"), F.when(k % 50 == 3, F.array(F.lit("a limit was met"))).otherwise(none).alias("limitations"),
+        F.col("url").alias("path"), F.when(k % 7 == 0, "partial").otherwise("complete").alias("status"), F.when(k % 50 == 3, F.array(F.lit("a resource limit was met"))).otherwise(none).alias("limitations"),
         F.when(k % 9 == 0, "stale").otherwise("hit").alias("cache_status"),
     )
     reasons = F.element_at(F.array(*map(F.lit, ("oversized", "unsupported_language", "unsafe_path", "binary"))), (k % 4 + 1).cast("int"))
