@@ -14,6 +14,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from wayfind.session import share_code
+
 BATCH_BYTES = 2 << 20
 BATCH_ROWS = 500
 _ROWS, _USUAL = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
@@ -21,6 +23,7 @@ _ROWS, _USUAL = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 def map_texts(rows: DataFrame, each: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``rows.mapInArrow``, with small batches unless the session has its own size of them."""
+    share_code(rows.sparkSession)
     conf = rows.sparkSession.conf
     if conf.get(_ROWS, _USUAL) == _USUAL:
         conf.set(_ROWS, BATCH_ROWS)

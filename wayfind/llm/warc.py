@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfind.session import share_code
 from wayfind.storage import materialize
 
 MIN_REVISIT_BYTES = 100
@@ -140,6 +141,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     columns = zip(*made[k : k + 1000], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
+    share_code(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
     return files.select("content").mapInArrow(each, schema)
 
