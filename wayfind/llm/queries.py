@@ -53,7 +53,52 @@ from flow, cut
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base verdict and final verdict of every document."""
-    return quality.quality_scores(_read(spark, sf_dir, "documents"))
+    found = quality.quality_scores(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _op2_sql() -> str:
+    white, stop, symbol = r"\x20\x09-\x0D", r""".,;:?''"()\-""", r"#*$%&|<>"
+    count = lambda chars: f"(length(t) - length(regexp_replace(t, '[{chars}]', '', 'g')))"
+    classes = {"c1": "a-z", "c2": "A-Z", "c3": "0-9", "c4": white, "c5": stop, "c6": "!", "c7": symbol, "c8": r"^\x00-\x7F"}
+    listed = ", ".join(f"('{lang}', '{w}')" for lang, words in quality.COMMON_WORDS.items() for w in sorted(set(words.split())))
+    names = ["c1", "c2", "c3", "c4", "c5", "c6", "c7", "c8", "c9"]
+    bins = " union all ".join(f"select doc_id, '{c}' as bin, {c}::double as n from d" for c in names)
+    distance = lambda q, total: (
+        f"sqrt(greatest(0, (sum(case when n > 0 then n / {total} * log2(2 * (n / {total}) / (n / {total} + {q})) else 0 end) + 1 - sum({q}) + sum(case when {q} > 0 then {q} * log2(2 * {q} / (n / {total} + {q})) else 0 end)) / 2))"
+    )
+    return rf"""
+with d0 as (select doc_id, lang, coalesce(text, '') as t from documents),
+d1 as (select *, regexp_extract_all(t, '[^{white}]+') as w, {", ".join(f"{count(c)} as {k}" for k, c in classes.items())} from d0),
+d as (select *, length(t) - c1 - c2 - c3 - c4 - c5 - c6 - c7 - c8 as c9, length(t) - c4 as word_chars, len(w) as n_words from d1),
+lines as (select doc_id, count(*) - count(distinct line) as n_dup_lines from (select doc_id, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, '[^{white}]') group by doc_id),
+grams as (select doc_id, i, count(*) over (partition by doc_id, gram) as c from (select doc_id, i, array_to_string(w[i:i + 4], ' ') as gram from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d))),
+repeats as (select doc_id, count(distinct i + k) as n_repeat_words from grams, (select unnest(range(5)) as k) where c > 1 group by doc_id),
+base as (select d.doc_id, lang, n_words, word_chars, c7 as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
+  n_words < {quality.MIN_WORDS} or 100 * coalesce(n_repeat_words, 0) > {quality.MAX_REPEAT_PERCENT} * n_words as base_failed from d left join lines using (doc_id) left join repeats using (doc_id)),
+listed(lang, word) as (values {listed}),
+said as (select doc_id, word, count(*)::double as n from (select doc_id, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{white}{stop}!{symbol}]+')) as word from d) group by all),
+totals as (select doc_id, sum(n) as total from said group by doc_id),
+ordinary as (select d.doc_id, d.lang from d join totals using (doc_id) where d.lang in (select lang from listed) and total >= {quality.MIN_JUDGED_WORDS} and c7 <= {quality.MAX_REFERENCE_SYMBOLS} * word_chars and c2 <= {quality.MAX_REFERENCE_UPPER} * word_chars),
+word_bins as (select doc_id, l.lang, word, n from said join listed l using (word)),
+all_bins as (select * from word_bins union all select t.doc_id, l.lang, '', total - coalesce((select sum(n) from word_bins b where b.doc_id = t.doc_id and b.lang = l.lang), 0) from totals t, (select distinct lang from listed) l),
+word_sums as (select o.lang, word, sum(n) as n from ordinary o join all_bins b on b.doc_id = o.doc_id and b.lang = o.lang group by all),
+word_refs as (select lang, word, n / sum(n) over (partition by lang) as q from word_sums),
+by_word as (select b.doc_id, b.lang, {distance("coalesce(r.q, 0)", "total")} as distance from all_bins b join totals using (doc_id) left join word_refs r on r.lang = b.lang and r.word = b.word
+  where b.lang in (select lang from word_refs) group by b.doc_id, b.lang),
+fits as (select doc_id, lang as fits_lang, distance as word_distance from (select *, row_number() over (partition by doc_id order by distance, lang) as k from by_word) where k = 1),
+bins as ({bins}),
+class_sums as (select o.lang, bin, sum(n) as n from ordinary o join bins using (doc_id) group by all),
+class_refs as (select lang, bin, n / sum(n) over (partition by lang) as q from class_sums),
+by_class as (select f.doc_id, word_distance, {distance("q", "length(t)")} as class_distance from fits f join d using (doc_id) join bins using (doc_id) join class_refs r on r.lang = fits_lang and r.bin = bins.bin group by all)
+select base.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not coalesce(n_words >= {quality.MIN_JUDGED_WORDS} and (lang is null or lang in (select lang from word_refs)) and (
+  class_distance * class_distance > {quality.MAX_CLASS_DISTANCE} * {quality.MAX_CLASS_DISTANCE} + {quality.CLASS_NOISE}::double / n_words or
+  word_distance * word_distance > {quality.MAX_WORD_DISTANCE} * {quality.MAX_WORD_DISTANCE} + {quality.WORD_NOISE}::double / n_words), false) as kept
+from base left join by_class using (doc_id)
+"""
+
+
+OP2_SQL = _op2_sql()
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +165,8 @@ tags as (select url as base, unnest(regexp_extract_all(coalesce(html, ''), '(?i)
 links as (select base, regexp_replace(regexp_replace(trim(case
     when regexp_matches(tag, '(?i)^<link') and regexp_matches({_attribute_sql("rel")}, '(?i)(^|\s)canonical(\s|$)') then {_attribute_sql("href")}
     when regexp_matches(tag, '(?i)^<meta') and regexp_matches({_attribute_sql("http-equiv")}, '(?i)^\s*refresh\s*$') then regexp_extract({_attribute_sql("content")}, '(?is)^\s*[0-9.]*\s*[;,]\s*url\s*=\s*[''"]?([^''"]*)', 1) end), '(?i)&amp;', '&', 'g'), '[	
-]', '', 'g') as link
+
+]', '', 'g') as link
   from tags),
 absolute as (select base, case when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') then link when starts_with(link, '//') then regexp_extract(base, '(?s)^(.*?:)//', 1) || link
     when starts_with(link, '/') then regexp_extract(base, '(?s)^(.*?://[^/?#]*)', 1) || link when link = '' or regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') then null
@@ -198,7 +244,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL where DuckDB can express the query."""
-    found = {"op1_mix_sources": OP1_SQL, "op8_url_filter": OP8_SQL, "op9_chat_format": OP9_SQL, "op10_warc_revisits": OP10_SQL}
+    found = {"op1_mix_sources": OP1_SQL, "op2_quality_rules": OP2_SQL, "op8_url_filter": OP8_SQL, "op9_chat_format": OP9_SQL, "op10_warc_revisits": OP10_SQL}
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found
