@@ -94,3 +94,17 @@ def test_redaction_keeps_rows_columns_and_clean_texts(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.with_spans(docs).count() == 0 and secrets.redact(docs).count() == 0
+
+
+def test_query_equals_sql(spark):
+    import duckdb
+
+    from tests.compare import SF, connection
+    from tests.compare import rows as plain_rows
+
+    assert plain_rows(queries.op5_secret_scan(spark, SF).toPandas()) == plain_rows(connection().sql(queries.OP5_SQL).df())
+    docs = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    got = {r["doc_id"]: r["s"] for r in secrets.with_spans(docs).select("doc_id", secrets.joined(secrets.F.col("secret_spans")).alias("s")).collect()}
+    assert {r[0]: r[1] for r in con.sql(f"select doc_id, spans from ({queries.OP5_SQL})").fetchall()} == got
