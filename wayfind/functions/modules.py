@@ -65,12 +65,16 @@ def _endings(path: Column) -> Column:
 def path_keys(path: Column) -> Column:
     """What a file's path can be named by: (kind, key) for its endings and its directory's.
 
-    With ``hint_keys`` it turns the test whether a hint means a path into an equality.
+    With ``hint_keys`` it turns the test whether a hint means a path into an equality. The
+    normal form is bound to a variable, as it is used for every ending.
     """
-    own = normalize_hint(path)
-    above = F.regexp_extract(own, "^(.*)/[^/]*$", 1)
     key = lambda kind: lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
-    return F.concat(F.transform(_endings(own), key("path")), F.transform(_endings(above), key("directory")))
+
+    def keys(own: Column) -> Column:
+        above = F.regexp_extract(own, "^(.*)/[^/]*$", 1)
+        return F.concat(F.transform(_endings(own), key("path")), F.transform(_endings(above), key("directory")))
+
+    return F.flatten(F.transform(F.array(normalize_hint(path)), keys))
 
 
 def hint_keys(hint: Column) -> Column:

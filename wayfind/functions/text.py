@@ -33,12 +33,13 @@ def keyword_list(keywords: tuple[str, ...]) -> list[str]:
 def matched_keywords(message: Column, keywords: tuple[str, ...], substring: bool = False) -> Column:
     """The keywords that a message holds, sorted; as words, or anywhere if ``substring``.
 
-    A word is bounded by what is neither alphabetic, numeric nor an underscore.
+    A word is bounded by what is neither alphabetic, numeric nor an underscore. The pattern
+    looks back only from where the keyword stands.
     """
     low = F.lower(message)
     edge = r"[\p{IsAlphabetic}\p{N}_]"
     hits = [
-        F.when(low.contains(k) if substring else low.rlike(f"(?<!{edge}){re.escape(k)}(?!{edge})"), F.lit(k)) for k in keyword_list(keywords)
+        F.when(low.contains(k) if substring else low.rlike(f"{re.escape(k)}(?<!{edge}{re.escape(k)})(?!{edge})"), F.lit(k)) for k in keyword_list(keywords)
     ]
     return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
 

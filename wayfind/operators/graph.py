@@ -22,8 +22,8 @@ DAMPING, ITERATIONS = 0.85, 24
 #: Passes of the ranking between two cuts of its lineage.
 CUT_EVERY = 3
 #: Up to so many files and edges a graph is ranked on the driver: within the ceilings of every
-#: profile, and some megabytes.
-SMALL_GRAPH = 200_000
+#: profile, and some tens of megabytes.
+SMALL_GRAPH = 500_000
 TEXT_FOCUS_BOOST, PATH_FOCUS_BOOST = 0.35, 0.7
 
 
@@ -70,10 +70,13 @@ def lexical_edges(symbols: DataFrame, max_candidates: int = 32, max_edges: int |
     same_module = here.join(there, ["language", "name", "dir"]).where(F.arrays_overlap("modules", "theirs"))
     same_module = same_module.select("language", "name", "path", "seq", "target", "target_visibility", F.lit(1).alias("tier"))
 
-    imports = file_imports(symbols)
+    imports = materialize(file_imports(symbols), "imports", compact=True)  # its expressions are long, its rows few
     wanted = imports.select("path", F.explode("hints").alias("hint")).select("path", F.explode(M.hint_keys(F.col("hint"))).alias("k")).select("path", "k.kind", "k.key").distinct()
     hinted = away.join(wanted, "path")
-    keyed = target.select("*", F.explode(M.path_keys(F.col("target"))).alias("k")).select("language", "name", "target", "target_visibility", "k.kind", "k.key")
+    asked = hinted.select("language", "name").distinct()  # only what an importing file refers to is spread by its keys
+    wanted_defs = target.join(asked, ["language", "name"], "left_semi")
+    keys = wanted_defs.select("target").distinct().select("target", F.explode(M.path_keys(F.col("target"))).alias("k")).select("target", "k.kind", "k.key")
+    keyed = wanted_defs.join(keys, "target")
     imported = hinted.join(keyed, ["language", "name", "kind", "key"]).select("language", "name", "path", "seq", "target", "target_visibility", F.lit(2).alias("tier")).distinct()
 
     named = away.join(imports.select("path", "name").distinct(), ["path", "name"], "left_semi")
@@ -155,9 +158,10 @@ def _small_page_rank(nodes: DataFrame, share: DataFrame, iterations: int, dampin
     """The same passes over a graph whose size has been checked, without a job for each."""
     paths = sorted(r["path"] for r in nodes.collect())
     at, n = {p: k for k, p in enumerate(paths)}, len(paths)
-    edges = [(at[r["source"]], at[r["target"]], r["share"]) for r in share.collect() if r["source"] in at and r["target"] in at]
-    source, target = (np.array([e[k] for e in edges], np.int64) for k in (0, 1))
-    weight = np.array([e[2] for e in edges], np.float64)
+    edges = share.toArrow()
+    source, target = (np.fromiter((at.get(x, -1) for x in edges[c].to_pylist()), np.int64) for c in ("source", "target"))
+    known = (source >= 0) & (target >= 0)
+    source, target, weight = source[known], target[known], edges["share"].to_numpy()[known]
     leads = np.zeros(n, bool)
     leads[source] = True
     rank = np.full(n, 1.0 / n)

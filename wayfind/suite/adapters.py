@@ -44,9 +44,9 @@ def commits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def commit_paths(spark: SparkSession, d: str) -> DataFrame:
-    l, p = table(spark, d, "lineitem").select("l_orderkey", "l_partkey"), table(spark, d, "part").select("p_partkey", "p_type", "p_brand")
+    l, p = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct(), table(spark, d, "part").select("p_partkey", "p_type", "p_brand")
     path = F.concat(F.lit("src/"), F.replace("p_type", F.lit(" "), F.lit("_")), F.lit("/"), F.col("p_brand"), F.lit("/"), F.col("l_partkey"))
-    return l.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("id"), path.alias("path")).distinct()
+    return l.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("id"), path.alias("path"))
 
 
 #: A page's url as a repository path, with made-up directories and names by its id.
@@ -91,7 +91,7 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
     part = lambda n: (F.col("doc_id") % n).cast("string")
     path = F.concat(F.lit("pkg"), part(40), F.lit("/d"), part(7), F.lit("/f"), F.col("doc_id").cast("string"), ext)
     lines = table(spark, d, "documents").select("doc_id", lang.alias("language"), path.alias("path"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    first, last = F.regexp_extract("line", r"^[^\p{L}]*(\p{L}+)", 1), F.regexp_extract("line", r"(\p{L}+)[^\p{L}]*$", 1)
+    first, last = F.regexp_extract("line", r"^[^\p{L}]*(\p{L}+)", 1), F.reverse(F.regexp_extract(F.reverse(F.col("line")), r"^[^\p{L}]*(\p{L}+)", 1))
     seq = F.col("pos") + 1
     visible = F.when(seq % 3 == 0, "public").when(seq % 3 == 1, "private").otherwise("unknown")
     make = lambda on, name, kind, role, seq, context, visibility, evidence: F.when(on, F.struct(
