@@ -48,6 +48,36 @@ def test_a_large_group_is_one_class(spark):
     assert similar.candidate_pairs(signed).count() < 2 * similar.BANDS * len(texts)  # no pairs of all with all
 
 
+def classes(n, pairs):
+    up = list(range(n))
+
+    def top(k):
+        while up[k] != k:
+            up[k] = k = up[up[k]]
+        return k
+
+    for a, b in pairs:
+        up[max(top(a), top(b))] = min(top(a), top(b))
+    return [top(k) for k in range(n)]
+
+
+def test_large_groups_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK_TEXTS", 300)  # several blocks
+    rng = random.Random(11)
+    base, texts = [f"w{rng.randint(0, 5000)}" for _ in range(200)], []
+    for _ in range(1100):
+        text = list(base)
+        for _ in range(rng.randint(3, 5)):
+            text[rng.randrange(200)] = f"w{rng.randint(0, 5000)}"
+        texts.append(" ".join(text))
+    sets = [grams(t) for t in texts]
+    near = lambda x, y: (both := len(x & y)) >= 0.8 * (len(x) + len(y) - both) - 1e-9
+    exact = [(a, b) for a in range(len(texts)) for b in range(a) if near(sets[a], sets[b])]
+    got = links(spark, texts)
+    assert got <= set(exact)
+    assert classes(len(texts), got) == classes(len(texts), exact)
+
+
 def test_below_the_threshold_nothing_goes(spark):
     base = [f"w{k}" for k in range(100)]
     other = [w if k % 12 else f"x{k}" for k, w in enumerate(base)]

@@ -3,9 +3,11 @@
 Two such texts differ in some ten of 64 SimHash bits, too many for any partition of them to
 be selective, so fingerprints within a few bits are joined by links from MinHash bands: 24
 bands of 5 values each miss a pair of similarity 0.8 once in 14,000. A band's bucket of few
-texts gives all its pairs; in a larger one every text is paired with the bucket's smallest
-and with its most typical text (that with the most texts in all its buckets), so rows stay
-in proportion to the texts. Every pair is verified by the exact similarity of its shingles.
+texts gives all its pairs; in a larger one every text is first paired with the bucket's
+smallest and with its most typical text (that with the most texts in all its buckets), so
+rows stay in proportion to the texts. Every pair is verified by the exact similarity of its
+shingles. Large buckets whose texts are not yet one component are then compared in blocks,
+every two texts of different components (see ``_between_components``), so no pair is left out.
 """
 
 from __future__ import annotations
@@ -19,11 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfind.llm.batches import by_bytes, map_texts, utf8
+from wayfind.llm.components import connected_components
+from wayfind.session import share_code
 from wayfind.storage import materialize
 
 BANDS, ROWS = 24, 5
 #: Buckets of up to so many texts give all their pairs.
 ALL_PAIRS = 32
+#: Texts, and bytes of shingle hashes, that a block of a large group has on average at most.
+BLOCK_TEXTS, BLOCK_BYTES = 1024, 8 << 20
+#: Shingles that two blocks are compared on at a time.
+COLUMNS = 4096
 SEED = 42
 BLOCK = 1 << 12
 _RNG = np.random.default_rng(20)
@@ -81,11 +89,16 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     return map_texts(texts, each, "node bigint, grams binary")
 
 
-def candidate_pairs(signed: DataFrame) -> DataFrame:
-    """(u, v) distinct, u > v, from the written table (node, keys)."""
+def _buckets(signed: DataFrame) -> DataFrame:
+    """(band, key, node, c, least): the texts of each bucket of several, with its size and smallest node."""
     rows = signed.select("node", F.posexplode("keys").alias("band", "key"))
     sizes = materialize(rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("least")).where("c > 1"), "buckets", compact=True)
-    held = materialize(rows.join(sizes, ["band", "key"]), "bucketed")
+    return materialize(rows.join(sizes, ["band", "key"]), "bucketed")
+
+
+def candidate_pairs(signed: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """(u, v) distinct, u > v, from the written table (node, keys): all pairs of small buckets, stars of large ones."""
+    held = _buckets(signed) if held is None else held
     few = held.where(f"c <= {ALL_PAIRS}").select("band", "key", "node")
     pairs = few.join(few.withColumnRenamed("node", "other"), ["band", "key"]).where("node > other").select(F.col("node").alias("u"), F.col("other").alias("v")).distinct()
     many = held.where(f"c > {ALL_PAIRS}")
@@ -104,14 +117,94 @@ def _similar(a: bytes, b: bytes, least: float) -> bool:
     return both >= least * (len(x) + len(y) - both) - 1e-9
 
 
+def _block_links(rows: pa.Table, least: float) -> pa.Table:
+    """(u, v): similar texts of two blocks, as many as join their components; rows are (a, b, block, node, component, grams)."""
+    block, node, component = (rows.column(c).to_numpy() for c in ("block", "node", "component"))
+    sets = [np.frombuffer(g, np.uint64) for g in rows.column("grams").to_pylist()]
+    sides = [np.flatnonzero(block == rows.column(c)[0].as_py()) for c in ("a", "b")]
+    held = [np.concatenate([sets[k] for k in side]) for side in sides]
+    shared = np.intersect1d(np.unique(held[0]), np.unique(held[1]), assume_unique=True)
+    cells = []
+    for side, values in zip(sides, held, strict=True):
+        row = np.repeat(np.arange(len(side)), [len(sets[k]) for k in side])
+        known = np.isin(values, shared)
+        row, column = row[known], np.searchsorted(shared, values[known])
+        order = np.argsort(column, kind="stable")
+        cells.append((row[order], column[order], len(side)))
+    both = np.zeros((len(sides[0]), len(sides[1])))
+    for first in range(0, len(shared), COLUMNS):
+        dense = []
+        for row, column, n in cells:
+            lo, hi = np.searchsorted(column, [first, first + COLUMNS])
+            part = np.zeros((n, min(COLUMNS, len(shared) - first)), np.float32)
+            part[row[lo:hi], column[lo:hi] - first] = 1
+            dense.append(part)
+        both += dense[0] @ dense[1].T
+    x, y = (np.array([len(sets[k]) for k in side], np.float64) for side in sides)
+    near = (both >= least * (x[:, None] + y - both) - 1e-9) & (component[sides[0]][:, None] != component[sides[1]])
+    above: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while (up := above.get(c, c)) != c:
+            above[c] = c = above.get(up, up)
+        return c
+
+    found = []
+    for i, j in zip(*(side[k].tolist() for side, k in zip(sides, np.nonzero(near), strict=True)), strict=True):
+        p, q = top(int(component[i])), top(int(component[j]))
+        if p != q:
+            above[p] = q
+            found.append((max(node[i], node[j]), min(node[i], node[j])))
+    return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+
+def _between_components(held: DataFrame, known: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
+    """(u, v): links that join components of the table ``known`` (node, component) over large buckets, or None if none is open.
+
+    A large bucket is open while its texts are of several components. Open buckets that share
+    a text are one cluster. Its components of a block and more fall into blocks of their own,
+    all smaller ones together into mixed blocks, and every two blocks that are not of one
+    component meet in one task, which compares all their texts by a product of matrices.
+    """
+    many = held.where(f"c > {ALL_PAIRS}").join(known, "node")
+    unsettled = many.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "key")
+    members = materialize(many.join(unsettled, ["band", "key"]).select("node", "least", "component"), "unsettled", compact=True)
+    if members.isEmpty():
+        return None
+    clusters = connected_components(members.select(F.col("node").alias("u"), F.col("least").alias("v"))).withColumnRenamed("component", "cluster")
+    sized = sets.select("node", F.length("grams").cast("long").alias("bytes"))
+    placed = members.select("node", "component").distinct().join(clusters, "node").join(sized, "node")
+    # Mixed blocks are marked by no component of their own.
+    whole = placed.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {BLOCK_TEXTS}").select("cluster", "component", F.col("component").alias("own"))
+    placed = placed.join(whole, ["cluster", "component"], "left")
+    width = F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum("bytes") / BLOCK_BYTES)
+    parts = placed.groupBy("cluster", "own").agg(F.ceil(width).alias("parts")).withColumnRenamed("cluster", "_c").withColumnRenamed("own", "_o")
+    placed = placed.join(parts, (F.col("cluster") == F.col("_c")) & F.col("own").eqNullSafe(F.col("_o")))
+    part = F.pmod(F.xxhash64("node"), "parts")
+    placed = placed.select("node", "component", "cluster", "own", F.xxhash64("cluster", F.coalesce(F.col("own").cast("string"), F.lit("mixed")), part).alias("block"))
+    placed = materialize(placed, "blocks", compact=True)
+    blocks = placed.select("cluster", "own", "block").distinct()
+    other = blocks.select("cluster", F.col("own").alias("_own"), F.col("block").alias("b"))
+    met = blocks.withColumnRenamed("block", "a").join(other, "cluster").where("a <= b and (own is null or _own is null or own <> _own)")
+    sides = met.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    rows = sides.join(placed.select("node", "component", "block").join(sets, "node").hint("shuffle_hash"), "block")
+    share_code(held.sparkSession)
+
+    def each(rows: pa.Table) -> pa.Table:
+        return _block_links(rows, similarity)
+
+    return rows.select("a", "b", "block", "node", "component", "grams").groupBy("a", "b").applyInArrow(each, "u bigint, v bigint")
+
+
 def similar_links(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(u, v): nodes of at least that similarity.
+    """(u, v): nodes of at least that similarity: all in small buckets, in large ones enough to give the same components.
 
     ``signed`` is a written table of one row a node: node bigint, id (of a document with its
     text) and keys. Texts without words have no link here. Texts move once, to meet the ids
     of those in any pair.
     """
-    pairs = materialize(candidate_pairs(signed.select("node", "keys")), "pairs", compact=True)
+    held = _buckets(signed)
+    pairs = materialize(candidate_pairs(signed, held), "pairs", compact=True)
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(signed.select("node", F.col("id").alias("_wanted")), "node")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     # By hash at every size, so that what moves grows evenly with the input.
@@ -125,4 +218,9 @@ def similar_links(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str
             keep = [_similar(a, b, similarity) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return map_texts(both.select("u", "v", "u_grams", "v_grams"), each, "u bigint, v bigint")
+    found = materialize(map_texts(both.select("u", "v", "u_grams", "v_grams"), each, "u bigint, v bigint"), "similar", compact=True)
+    if held.where(f"c > {ALL_PAIRS}").isEmpty():
+        return found
+    known = signed.select("node").join(connected_components(found), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    more = _between_components(held, materialize(known, "known", compact=True), sets, similarity)
+    return found if more is None else found.unionAll(more)
