@@ -98,3 +98,24 @@ def test_planted_copies_of_the_documents(spark):
     assert near and not [p for p in near if p[0] in kept and p[1] in kept]
     alone = set(text) - {d for ds in rare.values() if len(ds) > 1 for d in ds}
     assert alone <= kept
+
+
+def test_texts_behind_one_fingerprint_keep_their_links(spark, monkeypatch):
+    """Two texts of equal fingerprints, one of them similar to a third: one text stays, whatever the ids."""
+    monkeypatch.setattr(simhash, "fingerprint", lambda text, shingle, also=None: one(text, shingle, also) if b"alone" in (text or b"") else stub(text, shingle, also))
+    base = [f"w{k}" for k in range(100)]
+    near = " ".join([*base[:97], "x", "y", "z"])
+    first, third = " ".join(f"v{k}" for k in range(100)), near + " alone"
+    assert jaccard(near, third) >= 0.8 > jaccard(first, third)
+    for ids in ((1, 2, 3), (None, 2, 3), (1, None, 3), (1, 1, 3), (None, None, 3)):
+        docs = spark.createDataFrame(list(zip(ids, (first, near, third), strict=True)), "doc_id long, text string")
+        assert simhash.drop_near_duplicates(docs).count() == 1, ids
+
+
+one = simhash.fingerprint
+
+
+def stub(text, shingle, also=None):
+    """The same fingerprint for every text."""
+    one(text, shingle, also)
+    return 12345

@@ -51,9 +51,11 @@ def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text
 
     A null or wordless text has fingerprint zero; a text with fewer words than a shingle is
     one shingle. Repeated rows give repeated rows. Other columns are not read. ``keys`` adds
-    the keys of the text's MinHash bands.
+    the keys of the text's MinHash bands and a hash of the text.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if keys:
+        rows = rows.withColumn("digest", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,10 +64,10 @@ def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text
             values = np.array([fingerprint(t, shingle, also) for t, also in zip(utf8(batch, "text"), signs, strict=True)], np.uint64).view(np.int64)
             made = [batch.column(0), pa.array(values)]
             if keys:
-                made.append(pa.array([s.band_keys() for s in signs], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(made, ["doc_id", "fp", "keys"][: len(made)])
+                made += [pa.array([s.band_keys() for s in signs], pa.list_(pa.int64())), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(made, ["doc_id", "fp", "keys", "digest"][: len(made)])
 
-    return map_texts(rows, each, f"doc_id {kind}, fp bigint" + ", keys array<bigint>" * keys)
+    return map_texts(rows, each, f"doc_id {kind}, fp bigint" + ", keys array<bigint>, digest bigint" * keys)
 
 
 # --- how the bits are grouped and what each group may differ by -------------------------
@@ -249,6 +251,22 @@ def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
+def _similar_fingerprints(docs_fp: DataFrame, docs: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(u, v): fingerprints of which any two texts have at least that similarity.
+
+    Every different text is a node of its own, named by its hash; texts of one fingerprint are
+    of one component anyway. One row stands for all of equal text and id, whatever its id.
+    """
+    row = F.xxhash64("digest", "doc_id").alias("id")
+    signed = docs_fp.where("size(keys) > 0").select(F.col("digest").alias("node"), F.struct(row, "fp", "keys").alias("s")).groupBy("node").agg(F.min("s").alias("s"))
+    signed = materialize(signed.select("node", "s.*"), "signatures", compact=True)
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.xxhash64(F.xxhash64(text), F.col(id_col)).alias("id"), text.alias("text"))
+    found = similar_links(signed, rows, "id", "text", shingle, similarity)
+    end = lambda name: signed.select(F.col("node").alias(name), F.col("fp").alias(f"{name}_fp"))
+    return found.join(end("u"), "u").join(end("v"), "v").select(F.col("u_fp").alias("u"), F.col("v_fp").alias("v"))
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 2, similarity: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay when each component keeps the one with the smallest id.
 
@@ -263,9 +281,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 2, s
     docs_fp = materialize(fingerprints(docs, shingle, id_col, text_col, keys=similarity is not None), "docs_fp")
     more = None
     if similarity is not None:
-        # One text stands for a fingerprint: that of its smallest id.
-        signed = docs_fp.groupBy(F.col("fp").alias("node")).agg(F.min(F.struct("doc_id", "keys")).alias("s")).select("node", F.col("s.doc_id").alias("id"), "s.keys")
-        more = similar_links(materialize(signed, "signatures", compact=True), docs, id_col, text_col, shingle, similarity)
+        more = _similar_fingerprints(docs_fp, docs, shingle, similarity, id_col, text_col)
     classes = materialize(link_classes(docs_fp, distance, more), "classes", compact=True)
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     ids = docs_fp.join(classes, "fp").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(stays).alias("stays")).where("stays")

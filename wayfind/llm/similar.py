@@ -196,12 +196,21 @@ def _between_components(held: DataFrame, known: DataFrame, sets: DataFrame, simi
     return rows.select("a", "b", "block", "node", "component", "grams").groupBy("a", "b").applyInArrow(each, "u bigint, v bigint")
 
 
+def _known_components(signed: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, component) of every node by the links ``found`` and by equal fp, where ``signed`` has it."""
+    of = signed.select("node", (F.col("fp") if "fp" in signed.columns else F.col("node")).alias("fp"))
+    end = lambda name: of.select(F.col("node").alias(name), F.col("fp").alias(f"{name}_fp"))
+    links = found.join(end("u"), "u").join(end("v"), "v").select(F.col("u_fp").alias("u"), F.col("v_fp").alias("v"))
+    joined = connected_components(links).withColumnRenamed("node", "fp")
+    return of.join(joined, "fp", "left").select("node", F.coalesce("component", "fp").alias("component"))
+
+
 def similar_links(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(u, v): nodes of at least that similarity: all in small buckets, in large ones enough to give the same components.
 
     ``signed`` is a written table of one row a node: node bigint, id (of a document with its
-    text) and keys. Texts without words have no link here. Texts move once, to meet the ids
-    of those in any pair.
+    text) and keys; with a column fp, nodes of one fp are of one component whatever their links.
+    Texts without words have no link here. Texts move once, to meet the ids of those in any pair.
     """
     held = _buckets(signed)
     pairs = materialize(candidate_pairs(signed, held), "pairs", compact=True)
@@ -221,6 +230,6 @@ def similar_links(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str
     found = materialize(map_texts(both.select("u", "v", "u_grams", "v_grams"), each, "u bigint, v bigint"), "similar", compact=True)
     if held.where(f"c > {ALL_PAIRS}").isEmpty():
         return found
-    known = signed.select("node").join(connected_components(found), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    known = _known_components(signed, found)
     more = _between_components(held, materialize(known, "known", compact=True), sets, similarity)
     return found if more is None else found.unionAll(more)
