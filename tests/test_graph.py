@@ -106,6 +106,17 @@ def test_rank_equals_plain_passes(spark, monkeypatch, small):
     assert G.page_rank(frame.where("false"), edge).count() == 0
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_rank_leaves_out_edges_to_unknown_paths(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(G, "SMALL_GRAPH", 0)
+    nodes, links = ["a", "b", "c"], [("a", "b", 1.0), ("a", "gone", 3.0), ("b", "gone", 1.0), ("gone", "c", 1.0)]
+    edge = spark.createDataFrame(links, "source string, target string, weight double")
+    got = {r["path"]: r["rank"] for r in G.page_rank(spark.createDataFrame([(n,) for n in nodes], "path string"), edge).collect()}
+    want = plain_rank(nodes, links[:1])
+    assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-12 for n in nodes)
+
+
 def test_focus_boosts(spark):
     ranks = spark.createDataFrame([("a", 0.5), ("b", 0.5)], "path string, rank double")
     matches = spark.createDataFrame([("b", 2, True)], "path string, text_matches int, path_match boolean")

@@ -128,13 +128,14 @@ def ambiguity_groups(edges: DataFrame) -> DataFrame:
 def page_rank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
     """(path, rank): weighted PageRank from a uniform start, so many passes exactly.
 
-    ``edges`` has source, target and weight; parallel and self edges count. Files without an
-    outgoing edge spread their rank over all files. A pass is one join and one aggregation:
+    ``edges`` has source, target and weight; parallel and self edges count, edges from or
+    to paths outside ``nodes`` do not. Files without an outgoing edge spread their rank over all files. A pass is one join and one aggregation:
     parallel edges are summed before, the sum over files without edges is part of the same
     plan, and the table is written every few passes.
     """
     nodes = materialize(nodes.select("path").distinct(), "nodes")
-    summed = edges.groupBy("source", "target").agg(F.sum("weight").alias("weight"))
+    inside = edges.join(nodes.withColumnRenamed("path", "source"), "source", "left_semi").join(nodes.withColumnRenamed("path", "target"), "target", "left_semi")
+    summed = inside.groupBy("source", "target").agg(F.sum("weight").alias("weight"))
     out = summed.groupBy(F.col("source").alias("_s")).agg(F.sum("weight").alias("_total"))
     share = materialize(summed.join(out, F.col("source") == F.col("_s")).select("source", "target", (F.col("weight") / F.col("_total")).alias("share")), "shares")
     n = nodes.count()
