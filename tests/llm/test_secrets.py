@@ -20,19 +20,24 @@ def entropy_spans(text, base):
     out = []
     for m in re.finditer(secrets.CANDIDATE, text):
         s = m[0]
-        if len(re.findall("[0-9]", s)) < secrets.MIN_DIGITS or not re.search("[A-Za-z]", s) or any(re.search(p, s) for p in secrets.ALLOW_LIST):
-            continue
-        if any(a < m.end() and m.start() < b for a, _, b in base):
+        digits = len(re.findall("[0-9]", s)) >= secrets.MIN_DIGITS and re.search("[A-Za-z]", s)
+        if not digits and not (re.search("[a-z]", s) and re.search("[A-Z]", s)) or any(re.search(p, s) for p in secrets.ALLOW_LIST):
             continue
         hot = []
-        for _, chars, w, bits in secrets.ENTROPY_CLASSES:
+        for _, chars, w, bits, strict in secrets.ENTROPY_CLASSES:
+            least = bits if digits else strict
             for k in range(len(s) - w + 1):
                 part = s[k : k + w]
                 h = -sum(c / w * math.log2(c / w) for c in Counter(part).values())
-                if re.fullmatch(f"{chars}+", part) and h >= bits - 1e-9:
+                if least is not None and set(part) <= set(chars) and h >= least - 1e-9:
                     hot += [k, k + w]
-        if hot:
-            out.append((m.start() + min(hot), 3, m.start() + max(hot)))
+        if not hot:
+            continue
+        part, at = s[min(hot) : max(hot)], m.start() + min(hot)
+        end = at + len(part)
+        if any(re.search(p, part) for p in [*secrets.ALLOW_LIST, secrets.ALLOWED_PARTS]) or any(a <= at and end <= b for a, _, b in base):
+            continue
+        out.append((at, 3, end))
     return out
 
 
@@ -91,6 +96,35 @@ def test_redaction_keeps_rows_columns_and_clean_texts(spark):
             assert r["n_chars"] == len(r["text"]) and not base_spans(r["text"].replace("[SECRET]", " "))
 
 
+def test_long_tokens_and_many_matches(spark):
+    rng = random.Random(9)
+    of = lambda n, chars: "".join(rng.choice(chars) for _ in range(n))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [
+        (0, "ab1_" * 100_000, "", "ab1_" * 100_000),
+        (1, of(100_000, letters + "+/"), "entropy:0:100000", "[SECRET]"),
+        (2, "x " + of(2_000, letters), "entropy:2:2002", "x [SECRET]"),
+        (3, "a" * 1_000_000, "hex:0:1000000", "[SECRET]"),
+        (4, "é" + "x" * 5000 + " password" + " " * 100_000 + "=abcdefghijkl.", "assign:5002:105024", "é" + "x" * 5000 + " [SECRET]"),
+        (5, " ".join(["0123456789abcdef"] * 20_000), ",".join(f"hex:{17 * k}:{17 * k + 16}" for k in range(20_000)), " ".join(["[SECRET]"] * 20_000)),
+    ]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    spans = {r[0]: r[1] for r in secrets.with_spans(docs).select("doc_id", secrets.joined(secrets.F.col("secret_spans"))).collect()}
+    clean = {r[0]: r[1] for r in secrets.redact(docs).select("doc_id", "text").collect()}
+    for k, _, span, text in rows:
+        assert spans[k] == span, k
+        assert clean[k] == text, k
+
+
+def test_keys_with_few_digits_and_joined_keys_are_found(spark):
+    key = "xQzBvKpWmLrTgHsNdFyCjR"
+    texts = [key, f"example/{key}9a1", f"token=abcdefghijkl/{key}.x", "getCustomerAddressByIdentifierOrName", f"docs/of/{key[:18]}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r[0]: r[1] for r in secrets.with_spans(docs).select("doc_id", secrets.joined(secrets.F.col("secret_spans"))).collect()}
+    assert got == {k: expected(t)[1] for k, t in enumerate(texts)}
+    assert "entropy" in got[0] and "entropy" in got[1] and "entropy" not in got[3] and not got[4]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.with_spans(docs).count() == 0 and secrets.redact(docs).count() == 0

@@ -126,16 +126,17 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op5_sql() -> str:
-    quote = lambda x: x.replace("'", "''")
+    quote = lambda x: x.replace("'", "''").replace("++", "+")
     kinds = [*secrets.BASE_PATTERNS, ("entropy", secrets.CANDIDATE, 0, 20)]
     found = " union all ".join(
         f"select doc_id, {n} as ord, '{kind}' as kind, {least} as least, regexp_extract_all(t, '{quote(p)}') as found, regexp_extract_all(t, '{quote(p)}', {group}) as sized, regexp_split_to_array(t, '{quote(p)}') as pieces from d"
         for n, (kind, p, group, least) in enumerate(kinds)
     )
     allowed = " or ".join(f"regexp_matches(s, '{quote(p)}')" for p in secrets.ALLOW_LIST)
+    most = lambda w, bits: -1 if bits is None else (math.log2(w) - bits) * w + 1e-9
     windows = " union all ".join(
-        f"select doc_id, start, k, {w} as w, substr(s, k, {w}) as part, {(math.log2(w) - bits) * w + 1e-9!r}::double as most, '{chars}' as chars from (select *, unnest(range(1, length(s) - {w} + 2)) as k from candidates)"
-        for _, chars, w, bits in secrets.ENTROPY_CLASSES
+        f"select *, {w} as w, substr(s, k, {w}) as part, case when digits then {most(w, bits)!r} else {most(w, strict)!r} end::double as most, '[{chars}]+' as chars from (select *, unnest(range(1, length(s) - {w} + 2)) as k from candidates)"
+        for _, chars, w, bits, strict in secrets.ENTROPY_CLASSES
     )
     return f"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
@@ -144,12 +145,14 @@ each_one as (select *, unnest(range(1, len(found) + 1)) as i from found),
 spans as (select doc_id, ord, kind, found[i] as s, length(sized[i]) >= least as long_enough,
   coalesce(list_sum(list_transform(pieces[1:i], lambda x: length(x))), 0)::bigint + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0)::bigint as start from each_one),
 base as (select doc_id, ord, kind, start, start + length(s) as stop from spans where ord < 3 and long_enough),
-candidates as (select doc_id, s, start from spans c where ord = 3 and length(regexp_replace(s, '[^0-9]', '', 'g')) >= {secrets.MIN_DIGITS} and regexp_matches(s, '[A-Za-z]') and not ({allowed})
-  and not exists (select 1 from base b where b.doc_id = c.doc_id and b.start < c.start + length(s) and c.start < b.stop)),
+candidates as (select *, length(regexp_replace(s, '[^0-9]', '', 'g')) >= {secrets.MIN_DIGITS} and regexp_matches(s, '[A-Za-z]') as digits from spans
+  where ord = 3 and not ({allowed}) and (digits or (regexp_matches(s, '[a-z]') and regexp_matches(s, '[A-Z]')))),
 windows as ({windows}),
-hot as (select doc_id, 3 as ord, 'entropy' as kind, start + min(k - 1) as a, start + max(k - 1 + w) as stop from windows
-  where regexp_full_match(part, chars || '+') and list_sum(list_transform(map_values(list_aggregate(string_split(part, ''), 'histogram')), lambda c: c * log2(c))) <= most group by doc_id, start),
-every as (select * from base union all select * from hot),
+hot as (select doc_id, start, s, min(k - 1) as first, max(k - 1 + w) as last from windows
+  where regexp_full_match(part, chars) and list_sum(list_transform(map_values(list_aggregate(string_split(part, ''), 'histogram')), lambda c: c * log2(c))) <= most group by all),
+stretches as (select doc_id, 3 as ord, 'entropy' as kind, start + first as a, start + last as stop, substr(s, first + 1, last - first) as s from hot),
+every as (select * from base union all select * exclude s from stretches h where not ({allowed} or regexp_matches(s, '{secrets.ALLOWED_PARTS}'))
+  and not exists (select 1 from base b where b.doc_id = h.doc_id and b.start <= h.a and h.stop <= b.stop)),
 joined as (select doc_id, string_agg(kind || ':' || start || ':' || stop, ',' order by start, ord) as spans, string_agg(kind || ':' || start || ':' || stop, ',' order by start, ord) filter (ord < 3) as base,
   count(*) filter (ord = 0) as n_assign, count(*) filter (ord = 1) as n_access, count(*) filter (ord = 2) as n_hex from every group by doc_id)
 select d.doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
