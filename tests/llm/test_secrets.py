@@ -118,7 +118,7 @@ def test_long_tokens_and_many_matches(spark):
 
 def test_keys_with_few_digits_and_joined_keys_are_found(spark):
     key = "xQzBvKpWmLrTgHsNdFyCjR"
-    texts = [key, f"example/{key}9a1", f"token=abcdefghijkl/{key}.x", "getCustomerAddressByIdentifierOrName", f"docs/of/{key[:18]}"]
+    texts = [key, f"example/docs/path/{key}9a1", f"token=abcdefghijkl/{key}.x", "getCustomerAddressByIdentifierOrName", f"docs/of/{key[:18]}"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r[0]: r[1] for r in secrets.with_spans(docs).select("doc_id", secrets.joined(secrets.F.col("secret_spans"))).collect()}
     assert got == {k: expected(t)[1] for k, t in enumerate(texts)}
