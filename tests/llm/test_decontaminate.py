@@ -9,6 +9,8 @@ from wayfind.llm import decontaminate as D
 def brute(words, item):
     """Whether some diagonal has a stretch that is similar and long enough."""
     best = None
+    if len(item) < D.MIN_ITEM:
+        return next((k for k in range(len(words) - len(item) + 1) if words[k : k + len(item)] == item), None)
     for diagonal in range(-len(item) + 1, len(words)):
         same = [words[diagonal + k] == item[k] if 0 <= diagonal + k < len(words) else None for k in range(len(item))]
         for a, b in itertools.combinations(range(len(item) + 1), 2):
@@ -20,10 +22,12 @@ def brute(words, item):
     return best
 
 
-def test_masks_meet_every_run_of_13_with_2_and_of_15_with_3_substitutions():
-    for n, most in ((13, 2), (14, 2), (15, 3), (16, 3), (20, 4)):
-        for gaps in itertools.combinations(range(n), most):
-            assert any(all(s + k not in gaps for k, c in enumerate(m) if c == "1") for m in D.MASKS for s in range(n - len(m) + 1)), gaps
+def test_masks_meet_every_similar_run_often_enough():
+    for n in range(D.MIN_ITEM, 21):
+        for gaps in itertools.combinations(range(n), n // 5):
+            masks = [k[1:] for k in D.kinds_of(n)]
+            hits = sum(all(s + k not in gaps for k, c in enumerate(m) if c == "1") for m in masks for s in range(n - len(m) + 1))
+            assert hits >= (2 if n >= D.MIN_OVERLAP else 1), gaps
 
 
 def test_longest_stretch_equals_brute_force():
@@ -38,9 +42,9 @@ def test_longest_stretch_equals_brute_force():
 def test_equal_to_brute_force(spark):
     rng = random.Random(1)
     vocabulary = [f"w{k}" for k in range(300)]
-    items = [(k, [rng.choice(vocabulary) for _ in range(rng.randint(15, 22))]) for k in range(6)]
+    items = [(k, [rng.choice(vocabulary) for _ in range(n)]) for k, n in enumerate([15, 22, 18, 13, 12, 11, 10, 10, 9, 8, 7, 5, 2])]
     docs, want = [], set()
-    for n in range(60):
+    for n in range(160):
         words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 40))]
         if n % 2:
             k, item = rng.choice(items)
@@ -55,15 +59,24 @@ def test_equal_to_brute_force(spark):
     assert {r["doc_id"] for r in D.drop_contaminated(frame, bench).collect()} == {n for n, _ in docs} - {n for n, _ in want}
 
 
-def test_blocks_of_items_find_the_same(spark, monkeypatch):
+def test_a_full_filter_finds_the_same(spark, monkeypatch):
     path = "/root/testdata/sf0.001"
     docs, bench = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "benchmark"))
     key = lambda df: sorted((r["doc_id"], r["item_id"], r["start_token"]) for r in df.collect())
     whole = key(D.contamination(docs, bench))
-    monkeypatch.setattr(D, "BLOCK_TOKENS", 200)
+    kept = sorted(r["doc_id"] for r in D.drop_contaminated(docs, bench).collect())
+    assert kept == sorted({r["doc_id"] for r in docs.collect()} - {k[0] for k in whole})
+    monkeypatch.setattr(D, "MOST_FILTER_BITS", 1 << 7)
     assert key(D.contamination(docs, bench)) == whole
 
 
+def test_repetitive_texts(spark):
+    docs = spark.createDataFrame([(1, "a " * 20_000), (2, "a b " * 5_000), (3, "b " + "a " * 299)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "a " * 300), (8, "a b " * 100)], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["start_token"], r["n_tokens"], r["n_matched"]) for r in D.contamination(docs, bench).collect())
+    assert got == [(1, 7, 0, 300, 300), (2, 8, 0, 200, 200), (3, 7, 0, 300, 299)]
+
+
 def test_planted_passages_are_found(spark):
     path = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{path}/documents.parquet").collect()
@@ -76,8 +89,8 @@ def test_planted_passages_are_found(spark):
 
 def test_edge_rows(spark):
     docs = spark.createDataFrame([(1, None, 5), (2, "", 6), (None, "a b c d e f g h i j", 7), (3, "a b c d e f g h i j", 8), (3, "a b c d e f g h i j", 8)], "doc_id long, text string, item_id long")
-    bench = spark.createDataFrame([(1, "A b, c d e f g h i j!"), (2, None), (3, "a b"), (4, "")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, "A b, c d e f g h i j!"), (2, None), (3, "a x"), (4, ""), (5, "J")], "item_id long, text string")
     got = D.contamination(docs, bench).collect()
-    assert sorted((r["doc_id"] or 0, r["item_id"]) for r in got) == [(0, 1), (3, 1), (3, 1)]
+    assert sorted((r["doc_id"] or 0, r["item_id"]) for r in got) == [(0, 1), (0, 5), (3, 1), (3, 1), (3, 5), (3, 5)]
     assert D.contamination(docs, bench.where("false")).count() == 0 and D.contamination(docs.where("false"), bench).count() == 0
     assert D.drop_contaminated(docs, bench).columns == docs.columns and D.drop_contaminated(docs, bench).count() == 2
