@@ -1,16 +1,21 @@
 """Language identification by a linear-chain conditional random field over words.
 
 Each word of a text is labelled with a language. A word's score for a language is the sum
-of the learned weights of its features: the word itself (the lexicon), its prefixes and
-suffixes of one to four letters, and its letter n-grams of one to three, all hashed into
-one table. Between neighbouring words learned transition scores hold, and forward-backward
-gives each word its distribution over languages. A document's language is the one with the
-most expected words; the others show where it switches.
+of the learned weights of its features: the word itself, the set of languages in whose
+lexicon it is (a lexicon has the words of several sampled documents of the language), its
+prefixes and suffixes of one to four letters, and its letter n-grams of one to three, all
+hashed into one table. Between neighbouring words learned transition scores hold, and
+forward-backward gives each word its distribution over languages. A document's language is
+the one with the most expected words; the others show where it switches. A run of more than
+``LONGEST`` letters, such as a sentence of a script without spaces, is several words of so
+many letters, so that every letter of a text is read.
 
 Training takes a bounded sample of labelled documents (``SAMPLE_DOCS``, the first by a hash
-of their ids) to the driver. Their words are strung together into chains that switch
+of id and text; of one longer than ``SAMPLE_CHARS`` code points, so many at a place that the
+hash chooses) to the driver. Their words are strung together into chains that switch
 language where one document ends and another begins, so that transitions are learned
-from switches as well as from runs. The weights, of fixed size, go to the executors.
+from switches as well as from runs. The weights, of fixed size, and the lexicons, bounded
+by the sample, go to the executors.
 
 Forward-backward is computed in blocks of ``BLOCK`` words: products of the blocks' matrices
 first, then the vectors between blocks along each document, then all words of all blocks at
@@ -19,18 +24,22 @@ once. That is exact for texts of any length and needs no Python step for each wo
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfind.llm.batches import by_bytes, map_texts
 
-#: Labelled documents that training takes, and words of each chain.
+#: Labelled documents that training takes, code points of each at most, and words of each chain.
 SAMPLE_DOCS = 800
+SAMPLE_CHARS = 20_000
 CHAIN = 64
+#: Sampled documents of a language that a word of its lexicon is in at least.
+LEXICON_DOCS = 3
 FEATURES = 1 << 17
 ROUNDS = 25
 PENALTY = 2e-6
@@ -38,6 +47,8 @@ BLOCK = 32
 LONGEST = 24
 #: Bytes of text whose words are scored at once; each word takes some hundred bytes then.
 BATCH = 2 << 20
+#: Words whose scores a task keeps for its next batches.
+KEPT_WORDS = 200_000
 UNDETERMINED = "und"
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -47,13 +58,17 @@ _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased words reduced to their letters; words without a letter are left out."""
+    """Lower-cased words reduced to their letters, cut at ``LONGEST``; words without a letter are left out."""
     if not text:
         return []
     lower = text.lower()
     if lower.isascii():
-        return lower.translate(_ASCII_LETTERS).split()
-    return "".join([c if c.isalpha() else _GAP.get(c, "") for c in lower]).split()
+        words = lower.translate(_ASCII_LETTERS).split()
+    else:
+        words = "".join([c if c.isalpha() else _GAP.get(c, "") for c in lower]).split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [w[k : k + LONGEST] for w in words for k in range(0, len(w), LONGEST)]
 
 
 _GAP = dict.fromkeys(" \t\n\v\f\r", " ")
@@ -61,13 +76,11 @@ _ASCII_LETTERS = {k: (chr(k) if chr(k).isalpha() else _GAP.get(chr(k))) for k in
 
 
 def _letters(types: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the words, padded; of a longer word the first and last letters stay."""
-    half = LONGEST // 2
-    short = [w if len(w) <= LONGEST else w[:half] + w[-half:] for w in types]
-    size = np.fromiter(map(len, short), np.int64, len(short))
-    grid = np.zeros((len(short), LONGEST), np.uint64)
-    flat = np.frombuffer("".join(short).encode("utf-32-le"), np.uint32)
-    row = np.repeat(np.arange(len(short)), size)
+    """Code points of the words, padded to ``LONGEST``."""
+    size = np.fromiter(map(len, types), np.int64, len(types))
+    grid = np.zeros((len(types), LONGEST), np.uint64)
+    flat = np.frombuffer("".join(types).encode("utf-32-le"), np.uint32)
+    row = np.repeat(np.arange(len(types)), size)
     grid[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
     return grid, size
 
@@ -77,7 +90,18 @@ def _mix(h: np.ndarray, x: np.ndarray | int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def features(types: list[str]) -> list[np.ndarray]:
+def lexicons(docs: list[tuple[int, list[str]]]) -> dict[str, int]:
+    """For each word in a lexicon, a number of the set of languages in whose lexicons it is."""
+    seen = Counter((w, y) for y, words in docs for w in set(words))
+    sets: dict[str, list[int]] = {}
+    for (w, y), n in sorted(seen.items()):
+        if n >= LEXICON_DOCS:
+            sets.setdefault(w, []).append(y)
+    number: dict[tuple[int, ...], int] = {}
+    return {w: number.setdefault(tuple(ys), len(number) + 1) for w, ys in sets.items()}
+
+
+def features(types: list[str], lexicon: dict[str, int]) -> list[np.ndarray]:
     """Hashed feature columns of each word; FEATURES stands for none."""
     grid, size = _letters(types)
     last = grid[np.arange(len(types))[:, None], np.maximum(size[:, None] - 1 - np.arange(LONGEST), 0)] if types else grid
@@ -90,6 +114,8 @@ def features(types: list[str]) -> list[np.ndarray]:
     for k in range(LONGEST):
         whole = np.where(k < size, _mix(whole, grid[:, k]), whole)
     keep(whole, size > 0)
+    listed = np.fromiter((lexicon.get(w, 0) for w in types), np.uint64, len(types))
+    keep(_mix(np.full(len(types), 53, np.uint64), listed), listed > 0)
     for letters, kind in ((grid, 23), (last, 37)):
         h = np.full(len(types), kind, np.uint64)
         for k in range(4):
@@ -174,35 +200,55 @@ def marginals(scores: np.ndarray, starts: np.ndarray, trans: np.ndarray) -> np.n
 
 
 class Model:
-    """Labels, feature weights (one row more, of zeros, for none) and transition scores."""
+    """Labels, feature weights (one row more, of zeros, for none), transition scores and lexicons."""
 
-    def __init__(self, labels: list[str], weights: np.ndarray, trans: np.ndarray):
-        self.labels, self.weights, self.trans = labels, weights, trans
+    def __init__(self, labels: list[str], weights: np.ndarray, trans: np.ndarray, lexicon: dict[str, int]):
+        self.labels, self.weights, self.trans, self.lexicon = labels, weights, trans, lexicon
 
     def score_types(self, types: list[str]) -> np.ndarray:
-        return _scores(features(types), self.weights) if types else np.zeros((0, len(self.labels)))
+        return _scores(features(types, self.lexicon), self.weights) if types else np.zeros((0, len(self.labels)))
 
 
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
+class WordScores:
+    """Scores of words for a run of batches: words that were met before keep theirs."""
+
+    def __init__(self, model: Model):
+        self.model, self.row = model, {}
+        self.table = np.zeros((0, len(model.labels)))
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """One row for each of the words."""
+        new = [w for w in dict.fromkeys(words) if w not in self.row]
+        if len(self.row) + len(new) > KEPT_WORDS and self.row:
+            self.__init__(self.model)
+            new = list(dict.fromkeys(words))
+        if new:
+            self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
+            self.table = np.concatenate([self.table, self.model.score_types(new)])
+        return self.table[np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))]
 
 
 def _expected(scores: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals (chains, CHAIN, labels) and summed expected transitions of equal chains."""
-    chains, length, labels = scores.shape
-    fwd, bwd = np.empty_like(scores), np.zeros_like(scores)
-    fwd[:, 0] = scores[:, 0]
+    """Marginals (chains, CHAIN, labels) and summed expected transitions of equal chains.
+
+    Odds are scaled at every word, which changes neither.
+    """
+    length = scores.shape[1]
+    emit, step = np.exp(scores - scores.max(2, keepdims=True)), np.exp(trans - trans.max())
+    fwd, bwd = np.empty_like(emit), np.ones_like(emit)
+    fwd[:, 0] = emit[:, 0]
     for k in range(1, length):
-        fwd[:, k] = _log_sum(fwd[:, k - 1, :, None] + trans, 1) + scores[:, k]
+        now = (fwd[:, k - 1] @ step) * emit[:, k]
+        fwd[:, k] = now / now.sum(1, keepdims=True)
+    moves = np.zeros_like(trans)
     for k in range(length - 2, -1, -1):
-        bwd[:, k] = _log_sum(trans + (scores[:, k + 1] + bwd[:, k + 1])[:, None, :], 2)
-    z = _log_sum(fwd[:, -1], 1)
-    node = np.exp(fwd + bwd - z[:, None, None])
-    moves = np.zeros((labels, labels))
-    for k in range(length - 1):
-        moves += np.exp(fwd[:, k, :, None] + trans + (scores[:, k + 1] + bwd[:, k + 1])[:, None, :] - z[:, None, None]).sum(0)
-    return node, moves
+        after = emit[:, k + 1] * bwd[:, k + 1]
+        before = after @ step.T
+        bwd[:, k] = before / before.sum(1, keepdims=True)
+        both = (fwd[:, k] * before).sum(1, keepdims=True)
+        moves += step * ((fwd[:, k] / both).T @ after)
+    node = fwd * bwd
+    return node / node.sum(2, keepdims=True), moves
 
 
 def fit(texts: list[tuple[str, str]], seed: int = 7) -> Model | None:
@@ -212,7 +258,7 @@ def fit(texts: list[tuple[str, str]], seed: int = 7) -> Model | None:
     if not labels:
         return None
     if len(labels) == 1:
-        return Model(labels, np.zeros((FEATURES + 1, 1)), np.zeros((1, 1)))
+        return Model(labels, np.zeros((FEATURES + 1, 1)), np.zeros((1, 1)), {})
     rng, number = np.random.default_rng(seed), {lang: k for k, lang in enumerate(labels)}
     pieces = [(number[lang], words[k : k + CHAIN // 2]) for lang, words in docs for k in range(0, len(words), CHAIN // 2)]
     order = rng.permutation(len(pieces))
@@ -222,7 +268,8 @@ def fit(texts: list[tuple[str, str]], seed: int = 7) -> Model | None:
     index = {w: k for k, w in enumerate(types)}
     token = np.fromiter((index[w] for _, w in stream), np.int64, len(stream))
     gold = np.fromiter((y for y, _ in stream), np.int64, len(stream))
-    columns, n_labels = features(types), len(labels)
+    lexicon = lexicons([(number[lang], words) for lang, words in docs])
+    columns, n_labels = features(types, lexicon), len(labels)
     gold_moves = np.zeros((n_labels, n_labels))
     chained = gold.reshape(-1, CHAIN)
     np.add.at(gold_moves, (chained[:, :-1].ravel(), chained[:, 1:].ravel()), 1)
@@ -244,41 +291,42 @@ def fit(texts: list[tuple[str, str]], seed: int = 7) -> Model | None:
         seen_t += gradient_t**2
         weights -= 0.4 * gradient / np.sqrt(seen_w)
         trans -= 0.4 * gradient_t / np.sqrt(seen_t)
-    return Model(labels, weights, trans)
-
-
-def hash_order(id_col: Column) -> Column:
-    """The order in which documents are sampled."""
-    return F.xxhash64(id_col.cast("string"))
+    return Model(labels, weights, trans, lexicon)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model | None:
-    """A model from at most ``sample_docs`` of the labelled rows, the first by hash of their ids."""
+    """A model from at most ``sample_docs`` of the labelled rows, the first by hash of id and text.
+
+    Repeated rows may all be sampled; null ids are like any other. None if there is nothing to learn from.
+    """
+    text = F.col(text_col).cast("string")
+    h = F.xxhash64(F.col(id_col).cast("string"), text)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    chosen = rows.select(hash_order(F.col(id_col)).alias("h"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    n = rows.count()
-    if n > 2 * sample_docs:  # a share of the hashes holds the first ones; the limit is exact
+    pieces = F.ceil(F.length(text) / SAMPLE_CHARS).cast("int")
+    part = F.when(pieces > 1, F.substr(text, F.pmod(h, pieces).cast("int") * SAMPLE_CHARS + 1, F.lit(SAMPLE_CHARS))).otherwise(text)
+    chosen = rows.select(h.alias("h"), part.alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    first = lambda df: df.orderBy("h", "text", "lang").limit(sample_docs).collect()
+    n, few = rows.count(), []
+    if n > 2 * sample_docs:  # a share of the hashes holds the first ones, unless many rows are equal
         share = int(2**63 * (2 * min(1.0, 1.5 * sample_docs / n) - 1))
-        few = chosen.where(F.col("h") <= share).orderBy("h", "text", "lang").limit(sample_docs).collect()
-    else:
-        few = chosen.orderBy("h", "text", "lang").limit(sample_docs).collect()
+        few = first(chosen.where(F.col("h") <= share))
+    if len(few) < min(n, sample_docs):
+        few = first(chosen)
     return fit([(r["text"], r["lang"]) for r in few])
 
 
 # --- prediction ---------------------------------------------------------------------------
 
 
-def predict_batch(texts: list[str | None], model: Model) -> list[tuple[str, float, list[float]]]:
+def predict_batch(texts: list[str | None], scores: WordScores) -> list[tuple[str, float, list[float]]]:
     """Language, its share of the expected words, and all shares, for each text."""
-    per_text = [words_of(t) for t in texts]
-    index: dict[str, int] = {}
-    token = np.fromiter((index.setdefault(w, len(index)) for words in per_text for w in words), np.int64)
+    per_text, model = [words_of(t) for t in texts], scores.model
     sizes = np.fromiter(map(len, per_text), np.int64, len(per_text))
     some = np.flatnonzero(sizes)
     starts = (np.cumsum(sizes) - sizes)[some]
     out: list[tuple[str, float, list[float]]] = [(UNDETERMINED, 0.0, [0.0] * len(model.labels))] * len(texts)
     if len(some):
-        p = marginals(model.score_types(list(index))[token], starts, model.trans)
+        p = marginals(scores.of([w for words in per_text for w in words]), starts, model.trans)
         share = np.add.reduceat(p, starts, 0) / sizes[some, None]
         for k, s in zip(some.tolist(), share, strict=True):
             out[k] = (model.labels[int(s.argmax())], float(min(1.0, s.max())), s.tolist())
@@ -298,9 +346,9 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own, scores = sent.value, WordScores(sent.value)
         for batch in by_bytes(batches, "text", BATCH):
-            made = predict_batch(batch.column(1).to_pylist(), own)
+            made = predict_batch(batch.column(1).to_pylist(), scores)
             shares = pa.array([list(zip(own.labels, s, strict=True)) for _, _, s in made], pa.map_(pa.string(), pa.float64()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([lang for lang, _, _ in made], pa.string()), pa.array([s for _, s, _ in made], pa.float64()), shares],

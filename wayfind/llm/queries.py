@@ -105,10 +105,10 @@ OP2_SQL = _op2_sql()
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of every document; a quarter of them is held out of training."""
     docs = _read(spark, sf_dir, "documents")
-    out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = language_crf.train(docs.where(~out))
     found = language_crf.predict(docs, model)
-    return found.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
