@@ -108,7 +108,7 @@ def features(types: list[str], lexicon: dict[str, int]) -> list[np.ndarray]:
     columns = []
 
     def keep(h: np.ndarray, where: np.ndarray) -> None:
-        columns.append(np.where(where, (h >> np.uint64(20)) % np.uint64(FEATURES), np.uint64(FEATURES)).astype(np.int64))
+        columns.append(np.where(where, (h >> np.uint64(20)) % np.uint64(FEATURES), np.uint64(FEATURES)).astype(np.int32))
 
     whole = np.full(len(types), 11, np.uint64)
     for k in range(LONGEST):
@@ -133,11 +133,16 @@ def features(types: list[str], lexicon: dict[str, int]) -> list[np.ndarray]:
     return columns
 
 
-def _scores(columns: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
-    total = np.zeros((len(columns[0]), weights.shape[1]), np.float64)
-    for c in columns:
-        total += weights[c]
-    return total
+def _by_word(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of all words in a row, without those that a word has not, and where each word's begin."""
+    grid = np.stack(columns, 1)
+    there = grid < FEATURES
+    size = there.sum(1)
+    return grid[there], np.cumsum(size) - size
+
+
+def _scores(held: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(weights[held], starts, 0)
 
 
 # --- forward-backward ---------------------------------------------------------------------
@@ -200,13 +205,13 @@ def marginals(scores: np.ndarray, starts: np.ndarray, trans: np.ndarray) -> np.n
 
 
 class Model:
-    """Labels, feature weights (one row more, of zeros, for none), transition scores and lexicons."""
+    """Labels, feature weights, transition scores and lexicons."""
 
     def __init__(self, labels: list[str], weights: np.ndarray, trans: np.ndarray, lexicon: dict[str, int]):
         self.labels, self.weights, self.trans, self.lexicon = labels, weights, trans, lexicon
 
     def score_types(self, types: list[str]) -> np.ndarray:
-        return _scores(features(types, self.lexicon), self.weights) if types else np.zeros((0, len(self.labels)))
+        return _scores(*_by_word(features(types, self.lexicon)), self.weights) if types else np.zeros((0, len(self.labels)))
 
 
 class WordScores:
@@ -258,7 +263,7 @@ def fit(texts: list[tuple[str, str]], seed: int = 7) -> Model | None:
     if not labels:
         return None
     if len(labels) == 1:
-        return Model(labels, np.zeros((FEATURES + 1, 1)), np.zeros((1, 1)), {})
+        return Model(labels, np.zeros((FEATURES, 1)), np.zeros((1, 1)), {})
     rng, number = np.random.default_rng(seed), {lang: k for k, lang in enumerate(labels)}
     pieces = [(number[lang], words[k : k + CHAIN // 2]) for lang, words in docs for k in range(0, len(words), CHAIN // 2)]
     order = rng.permutation(len(pieces))
@@ -269,23 +274,22 @@ def fit(texts: list[tuple[str, str]], seed: int = 7) -> Model | None:
     token = np.fromiter((index[w] for _, w in stream), np.int64, len(stream))
     gold = np.fromiter((y for y, _ in stream), np.int64, len(stream))
     lexicon = lexicons([(number[lang], words) for lang, words in docs])
-    columns, n_labels = features(types, lexicon), len(labels)
+    (held, starts), n_labels = _by_word(features(types, lexicon)), len(labels)
+    of_word = np.repeat(np.arange(len(types)), np.diff(np.append(starts, len(held))))
     gold_moves = np.zeros((n_labels, n_labels))
     chained = gold.reshape(-1, CHAIN)
     np.add.at(gold_moves, (chained[:, :-1].ravel(), chained[:, 1:].ravel()), 1)
-    weights, trans = np.zeros((FEATURES + 1, n_labels)), np.zeros((n_labels, n_labels))
+    weights, trans = np.zeros((FEATURES, n_labels)), np.zeros((n_labels, n_labels))
     seen_w, seen_t = np.full_like(weights, 1e-8), np.full_like(trans, 1e-8)
     total = len(stream)
     for _ in range(ROUNDS):  # full-batch AdaGrad: the same rows give the same weights
-        node, moves = _expected(_scores(columns, weights)[token].reshape(-1, CHAIN, n_labels), trans)
+        node, moves = _expected(_scores(held, starts, weights)[token].reshape(-1, CHAIN, n_labels), trans)
         error = node.reshape(-1, n_labels)
         error[np.arange(total), gold] -= 1
         by_type = np.stack([np.bincount(token, error[:, y], len(types)) for y in range(n_labels)], 1)
         gradient = PENALTY * total * weights
-        for c in columns:
-            for y in range(n_labels):
-                gradient[:, y] += np.bincount(c, by_type[:, y], FEATURES + 1)
-        gradient[FEATURES] = 0
+        for y in range(n_labels):
+            gradient[:, y] += np.bincount(held, by_type[of_word, y], FEATURES)
         gradient_t = moves - gold_moves
         seen_w += gradient**2
         seen_t += gradient_t**2
