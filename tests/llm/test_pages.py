@@ -38,6 +38,29 @@ def test_revisits(spark):
     assert stored == {3: big, 4: "small", 2: "small", 7: tricky, 1: ""}
 
 
+def test_headers_and_ids_of_any_type(spark):
+    big = "x" * 120
+    pages = spark.createDataFrame([("a b/é>", "http://a/", big), ("zz", "http://z/", big), ("null", "u", "s"), (None, "v", "s")], "page_id string, url string, html string")
+    path = storage.scratch_path(spark, "test")
+    warc.write_archives(pages, path, date="2020-01-02T03:04:05Z")
+    read = warc.read_archives(spark, path, "string")
+    assert {(r["page_id"], r["record_type"], r["refers_to"]) for r in read.collect()} == {("a b/é>", "response", None), ("zz", "revisit", "a b/é>"), ("null", "response", None), (None, "response", None)}
+    text = "\n".join(r["value"] for r in spark.read.text(path).collect())
+    assert text.count("WARC-Date: 2020-01-02T03:04:05Z") == 4 and "WARC-Refers-To-Target-URI: http://a/" in text and "WARC-Refers-To-Date: 2020-01-02T03:04:05Z" in text
+
+
+def test_pieces_that_end_like_separators(spark):
+    texts = ["y" * 100 + end for end in ("\r\n", "\r\n\r", "\r\n\r\n", "\r", "\n", "\r\n\r\n\r\n\r\n", "\r\r\n\r\n")] + ["\r\n\r\n" * 200, "", "\r\n"]
+    pages = spark.createDataFrame([(k, "u", t, 0) for k, t in enumerate(texts)], PAGES)
+    path, got = resolved(spark, pages.coalesce(1))
+    assert [(g[0], g[2]) for g in sorted(got)] == [(k, hashlib.sha256(t.encode()).hexdigest()) for k, t in enumerate(texts)]
+    stream, data, out = warc.RecordStream(), b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" * 3, []
+    for k in range(len(data)):
+        out += stream.feed(data[k : k + 1])
+    stream.close()
+    assert [b for _, b in out] == [b"abc"] * 3
+
+
 def test_repeated_rows_and_empty_table(spark):
     big = "z" * 200
     pages = spark.createDataFrame([(1, "a", big, 1), (1, "a", big, 1), (2, "b", big, 1)], PAGES)
@@ -100,7 +123,7 @@ def test_aliases_and_precedence(spark):
     assert got == brute(pages, url_filter.RULES, edges)
     con = duckdb.connect()
     con.register("pages", frame.toPandas())
-    assert {r[0]: r[1:] for r in con.sql(queries.OP8_SQL).fetchall()} == got
+    assert {r[0]: r[1:5] for r in con.sql(queries.OP8_SQL).fetchall()} == got
     assert got[1][3] == "block" and got[12][3] == "allow" and got[5][3] == "block" and got[10][3] == "allow"
     assert url_filter.judge(frame).count() == len(pages) and url_filter.judge(frame.where("false")).count() == 0
     block_alias = [p for p in pages if p[0] in (1, 2)]

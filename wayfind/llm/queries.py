@@ -175,8 +175,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rule and the verdict for every page."""
-    return url_filter.judge(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+    """The rule and the verdict for every page, and what its aliases say (null: none has a rule)."""
+    return url_filter.judge(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "alias_verdict")
 
 
 def _attribute_sql(name: str) -> str:
@@ -216,7 +216,8 @@ both_ways as (select a, b from edges where a is not null and b is not null and a
 reach as (select a, b from both_ways union select r.a, w.b from reach r join both_ways w on r.b = w.a),
 near as (select r.a as node, bool_or({_rule_sql(_HOST.format("r.b"), _PATH.format("r.b"), "v")} = 'allow') as allowed, bool_or({_rule_sql(_HOST.format("r.b"), _PATH.format("r.b"), "v")} = 'block') as blocked from reach r group by r.a)
 select page_id, host, path, {_rule_sql("host", "path", "h || p")} as rule,
-  coalesce({_rule_sql("host", "path", "v")}, case when near.allowed then 'allow' when near.blocked then 'block' end, 'allow') as verdict
+  coalesce({_rule_sql("host", "path", "v")}, case when near.allowed then 'allow' when near.blocked then 'block' end, 'allow') as verdict,
+  case when near.allowed then 'allow' when near.blocked then 'block' end as alias_verdict
 from u left join near on u.node = near.node
 """
 
