@@ -131,8 +131,8 @@ SOURCES = {
     "ruby": ("class A\n  def run(x)\n    foo(x)\n  end\nend\n", {("class", "A", "unknown"), ("method", "run", "unknown")}, {("foo", "call")}),
     "java": ("package p.q;\nimport x.Y;\npublic class C {\n    private int v;\n    public void m() { h(); }\n}\n", {("module", "p.q", "unknown"), ("class", "C", "public"), ("field", "v", "private"), ("method", "m", "public"), ("import", "Y", "unknown")}, {("h", "call")}),
     "c_sharp": ("using System.Text;\nnamespace N {\n  public class C {\n    internal void M() { H(); }\n  }\n}\n", {("module", "N", "unknown"), ("class", "C", "public"), ("method", "M", "internal"), ("import", "Text", "unknown")}, {("H", "call")}),
-    "go": ('package p\nimport "a/b"\nfunc Run() { call(x) }\ntype t struct {\n\tName string\n}\n', {("module", "p", "unknown"), ("function", "Run", "public"), ("type", "t", "internal"), ("field", "Name", "public"), ("import", "b", "unknown")}, {("call", "call"), ("x", "call")}),
-    "lua": ('local h = require("a.b")\nfunction M.run() h.go(1) end\n', {("variable", "h", "internal"), ("import", "h", "unknown"), ("function", "run", "public")}, {("go", "call")}),
+    "go": ('package p\nimport "a/b"\nfunc Run() { call(x) }\ntype t struct {\n\tName string\n}\n', {("module", "p", "unknown"), ("function", "Run", "public"), ("struct", "t", "internal"), ("field", "Name", "public"), ("import", "a/b", "unknown")}, {("call", "call")}),
+    "lua": ('local h = require("a.b")\nfunction M.run() h.go(1) end\n', {("variable", "h", "internal"), ("import", "a.b", "unknown"), ("function", "run", "public")}, {("go", "call")}),
 }
 
 

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from wayfind.suite import history, scalars, streams, structure  # noqa: F401
+from wayfind.suite import history, parsing, scalars, streams, structure  # noqa: F401

@@ -37,6 +37,8 @@ class Language:
     containers: frozenset[str] = frozenset({"class", "struct", "trait", "interface", "enum", "module", "function", "method"})
     imports: tuple[str, ...] = ()
     types_upper: bool = False
+    #: (kind, what encloses a list of declarations as group 1, each of them within it).
+    blocks: tuple[tuple[str, str, str], ...] = ()
     _compiled: list = field(default_factory=list, compare=False, repr=False)
 
     def compiled(self) -> list[tuple[str, re.Pattern]]:
@@ -45,8 +47,22 @@ class Language:
         return self._compiled
 
 
+#: The kind of a reference by its form, in the order call, call of a member, member, type, any other; None: not reported.
+REFERENCE_FORMS = ("call", "member_call", "member", "type", "bare")
+REFERENCE_KINDS = {
+    "rust": ("identifier", "field", "field", "type", "identifier"),
+    "javascript": ("identifier", "field", "field", "identifier", "identifier"),
+    "typescript": ("identifier", "field", "field", "type", "identifier"),
+    "python": ("identifier", "identifier", "identifier", "identifier", "identifier"),
+    "ruby": ("identifier", "identifier", "identifier", "type", "identifier"),
+    "java": ("method", "method", None, "type", None),
+    "c_sharp": ("method", "method", None, "type", None),
+    "go": ("function", "method", "field", "type", None),
+    "lua": ("function", "function", "field", "identifier", "identifier"),
+}
+
 _MODIFIERS = frozenset("public private protected internal static final abstract const readonly override virtual sealed let var void int".split())
-_CONTROL = _MODIFIERS | frozenset("if for while switch catch return else do try with in of new function class typeof await yield case import export from as not and or".split())
+_CONTROL = _MODIFIERS | frozenset("if for while switch catch return else do try with in of new function class typeof await yield case import export from as not and or interface enum implements extends".split())
 _SCRIPT = Language(
     rf"{_SLASHES}|{_C_STRINGS}|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?",
     (
@@ -65,19 +81,19 @@ LANGUAGES: dict[str, Language] = {
             ("const", rf"\bconst\s+{_NAME}\s*:"), ("static", rf"\bstatic\s+(?:mut\s+)?{_NAME}\s*:"), ("module", rf"\bmod\s+{_NAME}"), ("macro", rf"\bmacro_rules!\s*{_NAME}"),
             ("field", rf"^\s+(?:pub(?:\([^)]*\))?\s+)?{_NAME}\s*:\s*[^:=\n]+,\s*$"),
         ),
-        frozenset("if for while match loop return fn let pub use mod struct enum trait impl type const static as in ref mut move where unsafe async await dyn crate super".split()),
+        frozenset("if for while match loop return fn let pub use mod struct enum trait impl type const static as in ref mut move where unsafe async await dyn crate super self macro_rules u8 u16 u32 u64 u128 usize i8 i16 i32 i64 i128 isize f32 f64 bool char str".split()),
         imports=(r"^\s*(?:pub\s+)?use\b[^;]*;",), types_upper=True,
     ),
     "javascript": _SCRIPT, "javascript_jsx": _SCRIPT, "typescript": _SCRIPT, "typescript_tsx": _SCRIPT,
     "python": Language(
         r"#[^\n]*|\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?",
-        (("function", rf"^\s*(?:async\s+)?def\s+{_NAME}"), ("class", rf"^\s*class\s+{_NAME}"), ("variable", rf"^{_NAME}\s*(?::[^=\n]+)?=[^=]")),
+        (("function", rf"^\s*(?:async\s+)?def\s+{_NAME}"), ("class", rf"^\s*class\s+{_NAME}"), ("variable", rf"^[ \t]*{_NAME}[ \t]*(?::[^=\n]+)?=(?!=)[^\n]*[^,\n]$")),
         frozenset("if for while return else elif def class import from as with try except finally lambda not and or in is pass raise yield assert del global nonlocal await async print".split()),
         imports=(r"^\s*(?:from\s+\S+\s+)?import\b[^\n]*",),
     ),
     "ruby": Language(
         r"#[^\n]*|\"(?:\\.|[^\"\\])*\"?|'(?:\\.|[^'\\])*'?|^=begin.*?^=end",
-        (("method", r"\bdef\s+(?:self\.)?([A-Za-z_]\w*[?!=]?)"), ("class", r"\bclass\s+([A-Z]\w*)"), ("module", r"\bmodule\s+([A-Z]\w*)"), ("variable", r"^\s*([A-Z][A-Z0-9_]*)\s*=[^=]")),
+        (("method", r"\bdef\s+(?:self\.)?([A-Za-z_]\w*[?!=]?)"), ("class", r"\bclass\s+([A-Z]\w*)"), ("module", r"\bmodule\s+([A-Z]\w*)"), ("variable", r"^\s*([a-z_]\w*)\s*=(?![=~>])")),
         frozenset("if unless while until return else elsif end def class module do begin rescue ensure case when then yield self nil true false and or not".split()), types_upper=True,
     ),
     "java": Language(
@@ -94,24 +110,29 @@ LANGUAGES: dict[str, Language] = {
         (
             ("module", r"^\s*namespace\s+([\w.]+)"), ("class", rf"\b(?:class|record)\s+{_NAME}"), ("struct", rf"\bstruct\s+{_NAME}"), ("interface", rf"\binterface\s+{_NAME}"), ("enum", rf"\benum\s+{_NAME}"),
             ("method", rf"^\s+(?:(?:public|private|protected|internal|static|virtual|override|async|abstract|sealed)\s+)+[\w<>\[\],.?]+\s+{_NAME}\s*\([^)]*\)\s*(?:=>|[{{;])"),
-            ("field", rf"^\s+(?:(?:public|private|protected|internal|static|readonly|const)\s+)+[\w<>\[\],.?]+\s+{_NAME}\s*[=;]"),
+            ("field", rf"^\s+(?:(?:public|private|protected|internal|static|readonly|const|virtual|override|required)\s+)+[\w<>\[\],.?]+\s+{_NAME}\s*(?:=|;|\{{\s*(?:get|set|init)\b)"),
         ),
         _CONTROL | frozenset("foreach throw base this lock using namespace is nameof".split()), imports=(r"^\s*using\b[^;(]*;",), types_upper=True,
     ),
     "go": Language(
         rf"{_SLASHES}|{_C_STRINGS}|`[^`]*`?|'(?:\\.|[^'\\\n])*'?",
         (
-            ("module", r"^package\s+(\w+)"), ("function", r"^func\s+([A-Za-z_]\w*)"), ("method", r"^func\s*\([^)]*\)\s*([A-Za-z_]\w*)"), ("type", r"^type\s+([A-Za-z_]\w*)"),
-            ("const", r"^const\s+([A-Za-z_]\w*)"), ("variable", r"^var\s+([A-Za-z_]\w*)"), ("field", r"^\t([A-Z]\w*)\s+[\w*\[\].]+\s*$"),
+            ("module", r"^package\s+(\w+)"), ("function", r"^func\s+([A-Za-z_]\w*)"), ("method", r"^func\s*\([^)]*\)\s*([A-Za-z_]\w*)"), ("struct", r"^type\s+([A-Za-z_]\w*)\s+struct\b"), ("interface", r"^type\s+([A-Za-z_]\w*)\s+interface\b"), ("type", r"^type\s+([A-Za-z_]\w*)"),
+            ("const", r"^\s*const\s+([A-Za-z_]\w*)"), ("variable", r"^\s*var\s+([A-Za-z_]\w*)"), ("variable", r"\b([A-Za-z_]\w*)[ \t]*(?=(?:,[ \t]*[A-Za-z_]\w*[ \t]*)*:=)"),
+        ),
+        frozenset("if for switch select return else func go defer range case package import type struct interface map chan var const break continue goto fallthrough default".split()),
+        imports=(r'^import\s*\([^)]*\)', r'^import\s+[^\n(]+'), types_upper=True,
+        blocks=(
+            ("const", r"^\s*const\s*\(([^)]*)\)", r"^\s*([A-Za-z_]\w*)"), ("variable", r"^\s*var\s*\(([^)]*)\)", r"^\s*([A-Za-z_]\w*)"), ("type", r"^type\s*\(([^)]*)\)", r"^\s*([A-Za-z_]\w*)"),
+            ("field", r"\bstruct\s*\{([^{}]*)\}", r"^\s*([A-Za-z_]\w*)[ \t]+[^\s(]"), ("method", r"\binterface\s*\{([^{}]*)\}", r"^\s*([A-Za-z_]\w*)\s*\("),
         ),
-        frozenset("if for switch select return else func go defer range case package import type struct interface map chan var const make append len cap new panic".split()),
-        imports=(r'^import\s*\([^)]*\)', r'^import\s+[^\n(]+'), types_upper=False,
     ),
     "lua": Language(
         r"--\[\[.*?(?:\]\]|\Z)|--[^\n]*|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?",
         (
             ("function", r"\bfunction\s+([A-Za-z_]\w*)\s*\("), ("function", r"\bfunction\s+[A-Za-z_]\w*\.([A-Za-z_]\w*)\s*\("), ("method", r"\bfunction\s+[A-Za-z_]\w*:([A-Za-z_]\w*)\s*\("),
-            ("variable", r"^local\s+([A-Za-z_]\w*)"), ("field", r"^[A-Za-z_]\w*\.([A-Za-z_]\w*)\s*="),
+            ("function", r"^\s*(?:local\s+)?(?:[A-Za-z_]\w*\.)?([A-Za-z_]\w*)\s*=\s*function\b"), ("variable", r"^\s*(?:local\s+)?([A-Za-z_]\w*)\s*=(?!=)"),
+            ("variable", r"^\s*local\s+(?!function\b)([A-Za-z_]\w*)"), ("field", r"^\s*[A-Za-z_]\w*\.([A-Za-z_]\w*)\s*=(?!=)"),
         ),
         frozenset("if for while return else elseif end function local then do repeat until not and or in nil true false require".split()),
         imports=(r"\blocal\s+[A-Za-z_]\w*\s*=\s*require\s*\(?[^)\n]*\)?",),
@@ -168,8 +189,8 @@ def visibility(lang: str, kind: str, name: str, line: str, nested: bool) -> str:
     return "internal" if low.startswith(("protected ", "internal ", "protected\t", "internal\t")) else "unknown"
 
 
-def _bodies(blanked: str, found: list[tuple[int, int, str, str]], containers: frozenset[str]) -> list[tuple[int, int, str]]:
-    """(start, end, name) of the braced bodies of containers."""
+def _bodies(blanked: str, found: list[tuple[int, int, str, str]], containers: frozenset[str], by_indent: bool) -> list[tuple[int, int, str]]:
+    """(start, end, name) of the bodies of containers: braced, or of the deeper lines that follow."""
     pairs, stack = {}, []
     for m in re.finditer(r"[{}]", blanked):
         if m[0] == "{":
@@ -180,13 +201,23 @@ def _bodies(blanked: str, found: list[tuple[int, int, str, str]], containers: fr
     from bisect import bisect_left
 
     out = []
-    for _, end, kind, name in found:
+    for start, end, kind, name in found if by_indent else ():
+        if kind in containers:
+            line = blanked.rfind("\n", 0, start) + 1
+            indent = len(blanked[line:]) - len(blanked[line:].lstrip(" \t"))
+            after = re.compile(rf"^[ \t]{{0,{indent}}}\S", re.MULTILINE).search(blanked, blanked.find("\n", end) + 1 or len(blanked))
+            out.append((end, after.start() if after else len(blanked), name))
+    for _, end, kind, name in () if by_indent else found:
         k = bisect_left(opens, end)
         if kind in containers and k < len(opens) and not re.search(r"[;}]", blanked[end : opens[k]]):
             out.append((opens[k], pairs[opens[k]], name))
     return out
 
 
+#: A Go method's receiver and a Lua function's table, up to the name.
+_OWNER = {"go": re.compile(r"^func\s*\(\s*(?:\w+\s+)?\*?\s*([A-Za-z_]\w*)[^)]*\)\s*$", re.MULTILINE), "lua": re.compile(r"\bfunction\s+([A-Za-z_]\w*)[.:]$")}
+
+
 def _unbalanced(blanked: str) -> int | None:
     """Where a bracket has no partner, or None."""
     stack, close = [], {")": "(", "]": "[", "}": "{"}
@@ -207,16 +238,18 @@ def imported_names(lang: str, statement: str) -> list[str]:
         return [n for n in last if re.fullmatch(r"\w+", n)]
     if lang == "python":
         tail = re.sub(r"^\s*(?:from\s+\S+\s+)?import\s+", "", statement).strip("() \n")
-        return [re.split(r"\s+as\s+", p.strip())[-1].split(".")[0] for p in tail.split(",") if p.strip() and p.strip() != "*"]
+        bound = [re.split(r"\s+as\s+", p.strip())[-1] for p in tail.split(",") if p.strip() and p.strip() != "*"]
+        return [part for name in bound for part in name.split(".")]
     if lang in ("java", "c_sharp"):
         name = re.sub(r"^\s*(?:import|using)\s+(?:static\s+)?|;$", "", statement.strip())
         return [name.split(".")[-1].strip()] if re.fullmatch(r"[\w.]+", name.strip()) else []
     if lang == "go":
-        return [(m[1] or m[2].rsplit("/", 1)[-1]) for m in re.finditer(r'(?:([\w.]+)\s+)?"([^"]+)"', re.sub(r"^import", "", statement))]
+        specs = re.finditer(r'(?:([\w.]+)\s+)?["`]([^"`]+)["`]', re.sub(r"^import", "", statement))
+        return [name for m in specs for name in (m[1], m[2]) if name and name not in "._"]
     if lang == "lua":
-        return re.findall(r"local\s+([A-Za-z_]\w*)", statement)
+        return re.findall(r"\brequire\s*\(?\s*[\"']([^\"'\n]+)", statement)
     inner = re.search(r"\{([^}]*)\}", statement)
-    names = [re.split(r"\s+as\s+|\s*:\s*", p.strip())[-1] for p in inner[1].split(",") if p.strip()] if inner else []
+    names = [n for p in inner[1].split(",") if p.strip() for n in re.split(r"\s+as\s+", re.sub(r"^type\s+", "", p.strip()))] if inner else []
     default = re.match(r"\s*import\s+(?:\*\s+as\s+)?([A-Za-z_$][\w$]*)", statement)
     return [*([default[1]] if default and default[1] != "type" else []), *names]
 
@@ -227,12 +260,13 @@ def _references(lang: str, spec: Language, blanked: str, taken: set[int]) -> Ite
     Names before a bracket, and all names inside a call's brackets, count as calls, up to the
     nearest block.
     """
+    kinds = dict(zip(REFERENCE_FORMS, REFERENCE_KINDS[lang.partition("_js")[0].partition("_ts")[0]], strict=True))
     stack: list[str] = []
-    before = ""
+    before, declared = "", False
     for m in re.finditer(r"[A-Za-z_$][\w$]*|[^\s\w$]", blanked):
         token = m[0]
         if token in "([{":
-            stack.append("block" if token == "{" else "call" if token == "(" and re.fullmatch(r"[\w$]+", before) and before not in spec.keywords else "group")
+            stack.append("block" if token == "{" else "call" if token == "(" and re.fullmatch(r"[\w$]+", before) and before not in spec.keywords and not declared else "group")
         elif token in ")]}":
             if stack:
                 stack.pop()
@@ -240,17 +274,25 @@ def _references(lang: str, spec: Language, blanked: str, taken: set[int]) -> Ite
             after = blanked[m.end() : m.end() + 20].lstrip()
             last_block = max((k for k, s in enumerate(stack) if s == "block"), default=-1)
             member = before == "." or (lang == "lua" and before == ":") or blanked[m.start() - 2 : m.start()] == "::"
-            if after.startswith("(") or (after.startswith("!") and lang == "rust"):
-                yield m.start(), m.end(), token, "method" if member else "function", "call"
-            elif "call" in stack[last_block + 1 :]:
-                yield m.start(), m.end(), token, "field" if member else "identifier", "call"
-            elif member:
-                yield m.start(), m.end(), token, "field", "member_reference"
-            elif spec.types_upper and token[0].isupper():
-                yield m.start(), m.end(), token, "type", "type_reference"
-            else:
-                yield m.start(), m.end(), token, "identifier", "bare_reference"
-        before = token
+            called = after.startswith("(") or (after.startswith("!") and lang == "rust")
+            is_type = token[0].isupper() and spec.types_upper
+            if lang.startswith(("typescript", "javascript")):
+                line = blanked[blanked.rfind("\n", 0, m.start()) + 1 : m.start()]
+                is_type = token[0].isupper() and (before in (":", "<", "|", "&", "extends", "implements", "as") or bool(re.search(r"\btype\s+[\w$]+[^=]*=[^;]*$", line)))
+                key = before in ("{", ",", ";") and stack[-1:] == ["block"] and after.startswith(":")
+                member = member or key or (lang.endswith("x") and after.startswith(("={", '="', "= ")) and bool(re.search(r"<[A-Za-z][^>]*\s$", line)))
+            made = called and before == "new"
+            form = "type" if is_type and (made or not called) and (lang == "ruby" or not member) and not lang.startswith("javascript") else "member_call" if called and member else "call" if called else "member" if member else "bare"
+            kind = kinds[form]
+            if lang == "lua" and form == "member_call" and before == ":":
+                kind = "method"
+            if lang.startswith("typescript") and token == "type" and re.match(r"[A-Za-z_$]", after):
+                kind = None  # it opens a declaration
+            if kind is not None:
+                inside = called or "call" in stack[last_block + 1 :]
+                evidence = "type_reference" if kind == "type" else "call" if kind == "method" or inside else "member_reference" if kind == "field" else "bare_reference"
+                yield m.start(), m.end(), token, kind, evidence
+        before, declared = token, m.start() in taken
 
 
 def parse(source: str, lang: str, max_symbols: int = 2_048) -> Parsed:
@@ -262,18 +304,30 @@ def parse(source: str, lang: str, max_symbols: int = 2_048) -> Parsed:
         for m in pattern.finditer(blanked):
             if m[1] not in spec.keywords and all(not (a <= m.start(1) < b) for a, b, *_ in found[-1:]):
                 found.append((m.start(1), m.end(1), kind, m[1]))
+    for kind, enclosing, each in spec.blocks:
+        for block in re.finditer(enclosing, blanked, re.MULTILINE):
+            for m in re.finditer(each, block[1], re.MULTILINE):
+                if m[1] not in spec.keywords:
+                    found.append((block.start(1) + m.start(1), block.start(1) + m.end(1), kind, m[1]))
     imports = [(m.start(), m.end(), m[0]) for p in spec.imports for m in re.finditer(p, source, re.MULTILINE) if blanked[m.start() : m.end()].strip()]
     first: dict[int, tuple[int, int, str, str]] = {}
     for row in found:
         if not any(a <= row[0] < b for a, b, _ in imports) or lang == "lua":
             first.setdefault(row[0], row)
     found = sorted(first.values())
-    bodies = _bodies(blanked, found, spec.containers)
+    bodies = _bodies(blanked, found, spec.containers, lang in ("python", "ruby", "lua"))
+    package = next((name for _, _, kind, name in found if kind == "module"), None) if lang == "go" else None
     lines = source.split("\n")
     rows = []
 
     def add(start: int, end: int, kind: str, role: str, name: str, context: str, seen: str, evidence: str) -> None:
         scope = [n for a, b, n in bodies if a < start < b]
+        if role == "definition":
+            owner = _OWNER[lang].search(blanked, blanked.rfind("\n", 0, start) + 1, start) if lang in _OWNER else None
+            if owner and owner[1] not in scope:
+                scope.append(owner[1])
+        if package and scope[:1] != [package]:
+            scope.insert(0, package)
         rows.append({"name": name[:NAME_CHARS], "kind": kind, "role": role, "scope": scope, "location": places.span(start, end), "context": context, "visibility": seen, "evidence": evidence})
 
     for start, end, kind, name in found:
