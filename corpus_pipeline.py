@@ -41,8 +41,8 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document, by source."""
-    return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    """The documents that the mix takes, how often and how many words of each, by source; the budget cuts off all others."""
+    return mixing.mix(docs).where("copies > 0").select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
 STAGES = [

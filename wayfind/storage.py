@@ -44,7 +44,16 @@ def materialize(df: DataFrame, label: str, compact: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/wayfind-tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._wayfind_path = path
+    return made
+
+
+def release(df: DataFrame | None) -> None:
+    """Remove the table that ``materialize`` returned, once nothing will read it again."""
+    path = getattr(df, "_wayfind_path", None)
+    if path in _written:
+        discard(df.sparkSession, path)
 
 
 def fresh(df: DataFrame, name: str) -> str:
