@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind.llm.batches import map_texts
-from wayfind.storage import materialize
+from wayfind.storage import materialize, release
 
 TRAINED_ROLE = "assistant"
 
@@ -112,7 +112,8 @@ def reply_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     members = chosen.select("leaf", F.col("leaf").alias("at"), F.lit(0).cast("long").alias("up"))
     for k, hop in enumerate(hops):
         above = members.join(hop, F.col("at") == F.col("_n")).select("leaf", F.col("jump").alias("at"), (F.col("up") + 2**k).alias("up"))
-        members = materialize(members.unionAll(above), "members", compact=True)
+        fewer, members = members, materialize(members.unionAll(above), "members", compact=True)
+        release(fewer)
     said = nodes.select(F.col("node").alias("_n"), "role", "text")
     turn = F.struct((-F.col("up")).alias("up"), "role", "text")
     paths = members.join(said, F.col("at") == F.col("_n")).groupBy("leaf").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
@@ -129,7 +130,7 @@ def linear_messages(rows: DataFrame, conv_col: str = "conv_id", turn_col: str =
     order = Window.partitionBy("tree").orderBy("turn", "role", "text")
     own = rows.select(F.col(conv_col).alias("tree"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     placed = own.withColumn("place", F.row_number().over(order))
-    name = lambda place: F.concat(F.coalesce(F.col("tree").cast("string"), F.lit("null")), F.lit("#"), place.cast("string"))
+    name = lambda place: F.concat(F.coalesce(F.concat(F.lit("="), F.col("tree").cast("string")), F.lit("null")), F.lit("#"), place.cast("string"))
     return placed.select(name(F.col("place")).alias("node"), F.when(F.col("place") > 1, name(F.col("place") - 1)).alias("parent"), "tree", F.lit(0.0).alias("score"), "role", "text")
 
 

@@ -2,8 +2,8 @@
 
 Each step is two aggregations and two equi-joins over the edge table, so a node with a
 third of all edges is pre-aggregated before its shuffle and its join can be split. The
-edge table is written to the shared folder between rounds; nothing is collected but two
-sums by which the end is recognised.
+edge table is written to the shared folder between rounds, and that of the round before
+removed; nothing is collected but two sums by which the end is recognised.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.storage import materialize
+from wayfind.storage import materialize, release
 
 MAX_ROUNDS = 100
 
@@ -40,7 +40,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges, before = materialize(edges, "edges", compact=True), None
     for _ in range(MAX_ROUNDS):
-        edges = materialize(_small_star(_large_star(edges)), "edges", compact=True)
+        last, edges = edges, materialize(_small_star(_large_star(edges)), "edges", compact=True)
+        release(last)
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h")).first()
         if now == before or not now["n"]:
             break
