@@ -52,7 +52,7 @@ def test_map(found):
     made = found.map()
     assert made["inventory"] == {"tracked": 12, "modified": 1, "untracked": 3}
     reasons = {o["path"]: o["reason"] for o in made["omissions"]}
-    assert reasons["src/link.rs"] == "symlink" and reasons["src/nul.rs"] == "binary" and reasons["vendor/v.js"] == "classified" and "src/ignored.rs" not in reasons
+    assert reasons["src/link.rs"] == "symlink" and reasons["src/nul.rs"] == "binary" and reasons["vendor/v.js"] == "classified" and reasons["src/ignored.rs"] == "ignored_untracked"
     edges = {(e["source"], e["target"], e["symbol"], e["resolution_reason"]) for e in made["edges"]}
     assert ("svc/service_test.go", "svc/service.go", "NewService", "same_module") in edges and ("src/lib.rs", "src/one.rs", "single", "imported_module") in edges
     assert not any(s == "src/use.rs" and n == "duplicate" for s, _, n, _ in edges)
@@ -61,6 +61,56 @@ def test_map(found):
     assert "secret" not in json.dumps(made, default=str)
 
 
+def test_quality_and_availability(found):
+    made = found.map()
+    assert made["availability"]["partial_path_names"] == ["src/broken.rs"] and made["availability"]["unsafe_paths"] == 1 and not made["availability"]["resource_limited"]
+    assert made["quality"]["issues"] == [] and made["cache"]["status"] == "disabled"  # only the focused path counts
+    whole = Repository(found.spark, found.path, MapSettings(), HistorySettings(now=NOW + 10))
+    assert whole.quality()["issues"] == ["partial"]
+    roots = {r["path"]: r for r in made["project_roots"]}
+    assert roots["."]["landmark_total"] > 0 and roots["."]["recommendation_total"] == 0
+
+
+def test_cache_modes(spark, repo, tmp_path):
+    table = str(tmp_path / "records")
+
+    def run(mode, now=NOW, files=()):
+        r = Repository(spark, str(repo), MapSettings(cache_mode=mode, cache_files=files), HistorySettings(now=now), table)
+        return r, r.cache_stats()
+
+    first, stats = run("manual")
+    n = first.eligible.count()
+    assert stats["unavailable"] == n and first.symbols.isEmpty() and {r["reason"] for r in first.omissions.collect()} >= {"cache_unavailable"}
+    first, stats = run("auto")
+    assert (stats["status"], stats["refreshed"], stats["hits"]) == ("refreshed", n, 0)
+    second, stats = run("auto")
+    assert (stats["status"], stats["refreshed"], stats["hits"]) == ("hit", 0, n)
+    assert sorted(map(str, second.symbols.collect())) == sorted(map(str, first.symbols.collect())) and sorted(map(str, second.findings.collect())) == sorted(map(str, first.findings.collect()))
+    was = (repo / "src/two.rs").read_text()
+    try:
+        (repo / "src/two.rs").write_text(was + "pub fn more() {}\n")
+        third, stats = run("manual")
+        assert stats["status"] == "stale" and stats["stale"] == 1 and third.quality()["issues"] == ["stale", "partial"]
+        third, stats = run("files", files=("./src/one.rs", "gone.rs"))
+        assert (stats["refreshed"], stats["unavailable"], stats["matched"], stats["unmatched"]) == (1, 1, 1, 1)
+        assert third.quality()["issues"] == ["incomplete", "partial"]
+        assert run("always", NOW + 5)[1]["refreshed"] == n
+    finally:
+        (repo / "src/two.rs").write_text(was)
+    assert cache_control(spark, table, "status").first()["records"] == 2 * n + 1
+    code, text = cli.run(["cache", "prune", table])
+    assert code == cli.OK and json.loads(text)["repositories"] == []
+    assert run("no_cache")[1]["status"] == "disabled"
+
+
+def test_strict_runs(repo, spark):
+    code, text = cli.run(["map", str(repo), "--strict", "--json", "--now", str(NOW)])
+    assert code == cli.STRICT and json.loads(text)["quality"]["issues"] == ["partial"]
+    assert cli.run(["map", str(repo), "--strict", "--json", "--now", str(NOW), "--focus-path", "src/one.rs"])[0] == cli.OK
+    assert cli.run(["map", str(repo), "--no-cache", "--cache-mode", "auto"])[0] == cli.USAGE and cli.run(["map", str(repo), "--cache-mode", "files"])[0] == cli.USAGE
+    assert "\x1b[1m# Source map" in cli.run(["map", str(repo), "--color", "always", "--now", str(NOW)])[1]
+
+
 def test_plan_and_explain(found):
     plan = found.reading_plan()["recommendations"]
     assert plan[0]["path"] == "README.md" and plan[0]["purpose"] == "start_here" and 5 <= len(plan) <= 10

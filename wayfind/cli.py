@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import argparse
 import os
+import re
 import sys
 import time
 
@@ -34,6 +35,12 @@ def arguments() -> argparse.ArgumentParser:
         p.add_argument("--now", type=int, default=None, help="reference time in epoch seconds")
         for flag in ("--exclude", "--focus", "--focus-path", "--bug-keyword", "--firefighting-keyword"):
             p.add_argument(flag, action="append", default=[])
+        p.add_argument("--color", choices=("auto", "always", "never"), default="auto")
+        p.add_argument("--cache-dir", default=None, help="a table of parse records, made where it is not")
+        caching = p.add_mutually_exclusive_group()
+        caching.add_argument("--cache-mode", choices=("auto", "always", "files", "manual"), default=None)
+        caching.add_argument("--no-cache", action="store_const", const="no_cache", dest="cache_mode")
+        p.add_argument("--cache-file", action="append", default=[])
         p.add_argument("--tokens", type=int, default=1_000)
         p.add_argument("--days", type=int, default=CHURN_DAYS)
         p.add_argument("--recent-days", type=int, default=RECENT_DAYS)
@@ -62,12 +69,13 @@ def arguments() -> argparse.ArgumentParser:
 def _repository(a: argparse.Namespace, path: str) -> Repository:
     top = discover(path)
     scope = resolve_scope(top, path)
-    maps = MapSettings(scope=scope, tokens=a.tokens, profile=a.profile, excludes=tuple(a.exclude), focuses=tuple(a.focus), focus_paths=tuple(a.focus_path))
+    maps = MapSettings(scope=scope, tokens=a.tokens, profile=a.profile, excludes=tuple(a.exclude), focuses=tuple(a.focus), focus_paths=tuple(a.focus_path),
+                       cache_mode=a.cache_mode or "auto", cache_files=tuple(a.cache_file))
     past = HistorySettings(
         now=a.now if a.now is not None else int(time.time()), scope=scope, days=a.days, recent_days=a.recent_days, bug_keywords=tuple(a.bug_keyword) or BUG_KEYWORDS,
         firefighting_keywords=tuple(a.firefighting_keyword) or FIREFIGHTING_KEYWORDS, substring=a.substring, include_emails=a.include_emails, limits=maps.limits,
     )
-    return Repository(local_session(), top, maps, past)
+    return Repository(local_session(), top, maps, past, a.cache_dir)
 
 
 def run(args: list[str]) -> tuple[int, str]:
@@ -101,6 +109,8 @@ def run(args: list[str]) -> tuple[int, str]:
             else:
                 made = repository.map() if a.command == "map" else repository.briefing()
         text = report.render_json(made) if a.format == "json" else report.render_markdown(made)
+        if a.format == "markdown" and getattr(a, "color", "never") != "never" and (a.color == "always" or sys.stdout.isatty()):
+            text = re.sub(r"^(#+ .*)$", "\x1b[1m\\1\x1b[0m", text, flags=re.MULTILINE)
     except RepositoryError as error:
         return UNSAFE, f"{error}\n"
     except report.TooLarge as error:
@@ -108,7 +118,7 @@ def run(args: list[str]) -> tuple[int, str]:
     except ValueError as error:
         return USAGE, f"{error}\n"
     strict = getattr(a, "strict", False)
-    issues = strict and (not made.get("completeness", {"authoritative": True})["authoritative"] or made.get("shortfall"))
+    issues = strict and (not made.get("completeness", {"authoritative": True})["authoritative"] or made.get("shortfall") or made.get("quality", {}).get("issues"))
     return (STRICT if issues else OK), text
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 MAX_RECORDS, MAX_BYTES, MAX_AGE_DAYS = 256, 32 << 20, 30
 KEY = ["repository_id", "path", "language", "query_digest"]
+RECORDS = "repository_id string, path string, language string, query_digest string, fingerprint string, created_at timestamp, bytes bigint, payload string"
 
 
 def fingerprint(content: Column) -> Column:
@@ -31,6 +32,44 @@ def lookup(files: DataFrame, cache: DataFrame, mode: str = "auto") -> DataFrame:
     return both.select(*files.columns, status.alias("cache_status"), F.coalesce("exact", "newest").alias("payload"))
 
 
+def records_of(parsed: DataFrame, now: Column) -> DataFrame:
+    """Records to keep from rows with the key columns, fingerprint and payload."""
+    return parsed.select(*KEY, "fingerprint", now.cast("timestamp").alias("created_at"), F.octet_length("payload").cast("long").alias("bytes"), "payload")
+
+
+def stats(looked: DataFrame) -> DataFrame:
+    """One row: hits (stale ones too), misses, refreshed, stale and unavailable files of a run.
+
+    ``looked`` has cache_status: hit, stale, refreshed (parsed now), forced (parsed whatever the
+    cache holds), disabled or unavailable.
+    """
+    n = lambda *kinds: F.count_if(F.col("cache_status").isin(*kinds))
+    return looked.agg(
+        n("hit", "stale").alias("hits"), n("refreshed", "unavailable").alias("misses"), n("refreshed", "forced").alias("refreshed"), n("stale").alias("stale"), n("unavailable").alias("unavailable")
+    )
+
+
+def plan(files: DataFrame, records: DataFrame, mode: str, requested: DataFrame | None = None) -> DataFrame:
+    """``files`` with cache_status and the payload to use; a null payload is to be parsed, unless unavailable.
+
+    auto parses what has no record of its content. always parses all, files the ``requested``
+    (path), and manual none; what is then without a record is unavailable, and manual serves
+    stale records. no_cache looks nothing up.
+    """
+    if mode in ("always", "no_cache"):
+        return files.withColumns({"cache_status": F.lit("forced" if mode == "always" else "disabled"), "payload": F.lit(None).cast("string")})
+    found = lookup(files, records, "manual" if mode == "manual" else "auto")
+    missing = F.col("payload").isNull()
+    if mode == "auto":
+        return found
+    if mode == "manual":
+        return found.withColumn("cache_status", F.when(missing, "unavailable").otherwise(F.col("cache_status")))
+    asked = requested.select("path").distinct().withColumn("_asked", F.lit(True))
+    both = found.join(asked, "path", "left")
+    status = F.when(F.col("_asked"), "forced").when(missing, "unavailable").otherwise(F.col("cache_status"))
+    return both.select(*files.columns, status.alias("cache_status"), F.when(F.col("_asked"), None).otherwise(F.col("payload")).alias("payload"))
+
+
 def retained(records: DataFrame, now: Column, max_records: int = MAX_RECORDS, max_bytes: int = MAX_BYTES, max_age_days: int = MAX_AGE_DAYS) -> DataFrame:
     """Records younger than the age, the newest of each repository up to both ceilings.
 

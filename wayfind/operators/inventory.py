@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfind.functions import paths as P
 from wayfind.functions import text as X
+from wayfind.functions.labels import actionable_limitation
 from wayfind.settings import MapSettings
 
 STATE_ORDER = ("modified", "untracked", "tracked", "unknown")
@@ -114,3 +115,20 @@ def collection_summary(total: int, returned: int, reason: str) -> dict[str, obje
     """What a bounded collection says of itself."""
     cut = returned < total
     return {"total": total, "returned": returned, "truncated": cut, "reason": reason if cut else None}
+
+
+def availability(files: DataFrame, omissions: DataFrame) -> dict[str, object]:
+    """Counts and names of what a map could not show in full.
+
+    ``files`` has path, status and limitations; ``omissions`` path and reason. Lists are in
+    order of path, as long as a map's ceilings let them be.
+    """
+    names = lambda df, where: [r["path"] for r in df.where(where).select("path").distinct().orderBy("path").collect()]
+    unsupported, unavailable = (names(omissions, F.col("reason") == r) for r in ("unsupported_language", "cache_unavailable"))
+    partial = names(files, "status = 'partial'")
+    over = omissions.where(F.col("reason").isin("traversal_error", "oversized")).limit(1).count() or files.where(F.exists("limitations", actionable_limitation)).limit(1).count()
+    return {
+        "unsupported_paths": len(unsupported), "partial_files": len(partial), "cache_unavailable_paths": len(unavailable), "resource_limited": bool(over),
+        "unsafe_paths": omissions.where(F.col("reason").isin("unsafe_path", "symlink")).count(),
+        "unsupported_path_names": unsupported, "partial_path_names": partial, "cache_unavailable_path_names": unavailable,
+    }

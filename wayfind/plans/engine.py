@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -24,6 +25,8 @@ class Repository:
     path: str
     map_settings: MapSettings
     history_settings: HistorySettings
+    #: A table of parse records; without one nothing is looked up or kept.
+    cache_path: str | None = None
 
     @cached_property
     def top(self) -> str:
@@ -71,42 +74,98 @@ class Repository:
             rows[name], sums[name] = report.bounded(df, most)
         rows["churn_sizes"] = report.rows_of(history.head_sizes(self.churn, blobs, s, most))
         out |= rows | {"collections": sums}
-        out["completeness"] = history.completeness(git.is_shallow(self.top), 0, any(x["truncated"] for x in sums.values()))
+        out["completeness"] = history.completeness(git.is_shallow(self.top), git.missing_objects(self.top), any(x["truncated"] for x in sums.values()))
         out["observations"] = history.observations(rows, {k: v["total"] for k, v in sums.items()})
         return out
 
     # --- map ------------------------------------------------------------------------------
 
     @cached_property
-    def candidates(self) -> DataFrame:
-        s = self.map_settings
-        work = materialize(worktree.read(self.spark, self.top, s.limits.file_bytes), "worktree")
+    def worktree(self) -> DataFrame:
+        return materialize(worktree.read(self.spark, self.top, self.map_settings.limits.file_bytes), "worktree")
+
+    @cached_property
+    def submodules(self) -> DataFrame:
+        """Paths that .gitmodules declares or the index holds as repositories."""
+        declared = landmarks.declared_submodules(self.worktree.where("path = '.gitmodules'").select(F.col("content").cast("string").alias("content")))
+        held = git.read(self.spark, "git_index", self.top).where("mode = '160000'").select("path")
+        return materialize(declared.unionAll(held).distinct(), "submodules", compact=True)
+
+    @cached_property
+    def nested(self) -> DataFrame:
+        """Repositories inside the repository that are no submodules."""
+        listing = self.spark.createDataFrame([(p,) for p in worktree.git_folders(self.top)], "path string")
+        return landmarks.nested_repositories(listing).join(self.submodules, "path", "left_anti")
+
+    @cached_property
+    def found(self) -> DataFrame:
+        """Tracked and visible paths in scope, with state and symlink flag."""
         index = git.read(self.spark, "git_index", self.top, content=True)
         links = index.select("path", (F.col("mode") == "120000").alias("symlink"), "mode", "content")
-        subs = links.where("mode = '160000'").select("path")
-        changed = inventory.modified_paths(links.where("mode <> '160000'"), work)
-        found = inventory.candidates(links.select("path", "symlink"), changed, work.where("not ignored").select("path", "symlink"), subs)
-        scoped = found.where(inventory.P.in_scope(F.col("path"), s.scope))
-        return materialize(inventory.gated(scoped.join(work.select("path", "content"), "path", "left"), s), "candidates")
+        changed = inventory.modified_paths(links.where("mode <> '160000'"), self.worktree)
+        found = inventory.candidates(links.select("path", "symlink"), changed, self.worktree.where("not ignored").select("path", "symlink"), self.submodules)
+        return materialize(found.where(inventory.P.in_scope(F.col("path"), self.map_settings.scope)), "found")
 
     @cached_property
-    def sources(self) -> DataFrame:
+    def candidates(self) -> DataFrame:
+        joined = self.found.join(self.worktree.select("path", "content"), "path", "left")
+        return materialize(inventory.gated(joined, self.map_settings), "candidates")
+
+    @cached_property
+    def eligible(self) -> DataFrame:
         """Files that pass every gate, up to the ceilings on files and bytes."""
         s = self.map_settings.limits
         passed = self.candidates.where("omission_reason is null").orderBy("path").limit(s.files)
         sized = passed.withColumns({"size": F.octet_length("content").cast("long"), "one": F.lit(1)})
         kept = inventory.greedy_within(sized.select("one", "path", "size"), ["one"], ["path"], "size", s.source_bytes).where("kept").select("path")
-        return materialize(passed.join(kept, "path", "left_semi").withColumnRenamed("state", "worktree_state"), "sources")
+        return materialize(passed.join(kept, "path", "left_semi").withColumnRenamed("state", "worktree_state"), "eligible")
+
+    @cached_property
+    def cache_requests(self) -> DataFrame:
+        """(path, matched) of the files that the caller named for the cache."""
+        named = self.spark.createDataFrame([(p,) for p in self.map_settings.cache_files], "named string")
+        asked = named.select(inventory.P.normalize_relative(F.col("named")).alias("path")).where("path is not null")
+        return inventory.cache_requests(asked, self.eligible)
+
+    @cached_property
+    def parsed(self) -> DataFrame:
+        """Every eligible file with its cache_status and what was found in it; what was parsed now is added to the cache."""
+        s, digest = self.map_settings, hashlib.sha256(self.top.encode()).hexdigest()
+        keys = [F.lit(digest).alias("repository_id"), "path", "language", F.lit(parser.query_digest()).alias("query_digest"), cache.fingerprint(F.col("content")).alias("fingerprint")]
+        mode = s.cache_mode if self.cache_path or s.cache_mode in ("manual", "files") else "no_cache"
+        records = cache_records(self.spark, self.cache_path)
+        looked = materialize(cache.plan(self.eligible.select(*keys, "worktree_state", "content"), records, mode, self.cache_requests.where("matched")), "looked")
+        known = F.col("payload").isNotNull() | (F.col("cache_status") == "unavailable")
+        made = parser.parse_payloads(looked.where(~known).drop("payload"), s.limits.symbols_per_file)
+        every = materialize(looked.where(known).drop("content").unionByName(made), "payloads")
+        if self.cache_path and mode != "no_cache":
+            now = F.timestamp_seconds(F.lit(self.history_settings.now))
+            cache.records_of(every.where(F.col("cache_status").isin("refreshed", "forced")), now).write.mode("append").parquet(self.cache_path)
+        return materialize(parser.read_payload(every).drop("payload"), "parsed")
+
+    @cached_property
+    def sources(self) -> DataFrame:
+        """The files that the map is about."""
+        held = self.parsed.where("cache_status <> 'unavailable'")
+        return held.select("path", "language", "worktree_state", "cache_status", F.coalesce("parsed.status", F.lit("complete")).alias("status"), F.coalesce("parsed.limitations", F.array().cast("array<string>")).alias("limitations"))
 
     @cached_property
     def omissions(self) -> DataFrame:
-        return self.candidates.where("omission_reason is not null").select("path", F.col("omission_reason").alias("reason")).orderBy("path", "reason")
+        gates = self.candidates.where("omission_reason is not null").select("path", F.col("omission_reason").alias("reason"))
+        ignored = inventory.ignored_paths(self.worktree.where(inventory.P.in_scope(F.col("path"), self.map_settings.scope)), self.found)
+        unavailable = self.parsed.where("cache_status = 'unavailable'").select("path", F.lit("cache_unavailable").alias("reason"))
+        return gates.unionAll(ignored.select("path", F.lit("ignored_untracked").alias("reason"))).unionAll(unavailable).orderBy("path", "reason")
 
     @cached_property
     def symbols(self) -> DataFrame:
         s = self.map_settings.limits
-        parsed = parser.parse_files(self.sources, s.symbols_per_file)
-        return materialize(graph.first_per_order(parsed, ["path", "seq"], s.symbols_total), "symbols")
+        return materialize(graph.first_per_order(parser.symbols_of(self.parsed), ["path", "seq"], s.symbols_total), "symbols")
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        broken = parser.findings_of(self.parsed)
+        groups = graph.ambiguity_groups(self.edges)
+        return broken.unionByName(groups.select("path", F.lit("ambiguous_reference").alias("kind"), F.lit(None).cast("int").alias("line"), F.concat("symbol", F.lit(" may mean "), "candidates", F.lit(" files")).alias("detail")))
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -126,18 +185,33 @@ class Repository:
     @cached_property
     def landmarks(self) -> DataFrame:
         files = self.candidates.where("coalesce(omission_reason, '') not in ('explicit_exclusion', 'unsafe_path')").select("path", "state")
-        return materialize(landmarks.landmarks(files, self.roots, self.map_settings), "landmarks")
+        return materialize(landmarks.landmarks(files, self.roots, self.map_settings, self.submodules, self.nested), "landmarks")
 
-    def map(self) -> dict[str, object]:
+    def recommendations(self, plan: dict | None) -> DataFrame:
+        rows = [(r["ordinal"], r["path"], r["project_root"]) for r in (plan or {}).get("recommendations", ())]
+        return self.spark.createDataFrame(rows, "ordinal int, path string, project_root string")
+
+    def cache_stats(self) -> dict[str, object]:
+        """What the cache did for this run."""
+        n = report.rows_of(cache.stats(self.parsed))[0]
+        asked = report.rows_of(self.cache_requests.agg(F.count_if("matched").alias("matched"), F.count_if(~F.col("matched")).alias("unmatched")))[0]
+        mode = self.map_settings.cache_mode if self.cache_path else "no_cache"
+        return {"status": cache.overall_status(mode, n["hits"], n["refreshed"], n["stale"]), **n, **asked}
+
+    def quality(self, plan: DataFrame | None = None, matches: DataFrame | None = None, history_complete: bool = True) -> dict[str, object]:
+        """The flags and issues of what this report is about."""
+        relevant = explaining.relevant_paths(plan, matches, self.sources, self.map_settings.focus_paths)
+        return report.rows_of(explaining.quality(relevant, self.sources, self.omissions, False, history_complete))[0]
+
+    def map(self, plan: dict | None = None) -> dict[str, object]:
         """The source map, bounded by its profile."""
         s = self.map_settings
         counts = graph.reference_counts(self.edges)
         chosen = selection.select_snippets(graph.snippet_scores(self.symbols, self.ranking, counts, s.focuses), s.selection_budget)
         shown = selection.project(
             {
-                "files": self.sources.select("path", "language", "worktree_state"), "omissions": self.omissions, "ranking": self.ranking, "landmarks": self.landmarks, "project_roots": self.roots,
-                "edges": self.edges, "findings": parser.parse_findings(self.sources, s.limits.symbols_per_file).unionByName(
-                    graph.ambiguity_groups(self.edges).select("path", F.lit("ambiguous_reference").alias("kind"), F.lit(None).cast("int").alias("line"), F.concat("symbol", F.lit(" may mean "), "candidates", F.lit(" files")).alias("detail"))),
+                "files": self.sources, "omissions": self.omissions, "ranking": self.ranking, "landmarks": self.landmarks, "project_roots": landmarks.root_totals(self.roots, self.landmarks, self.recommendations(plan)),
+                "edges": self.edges, "findings": self.findings,
             },
             s.profile,
             {"files": ["path"], "ranking": [F.col("score").desc(), "path"], "edges": ["source", "target", "symbol"], "findings": ["path", "line", "kind"], "project_roots": ["path"],
@@ -149,7 +223,8 @@ class Repository:
         elif s.profile == "evidence":
             rows = selection.halve(rows, 4 << 20)
         return {"title": "Source map", "inventory": report.rows_of(inventory.inventory(self.candidates))[0], **rows, "selection": {k: chosen[k] for k in ("token_budget", "estimated_tokens")},
-                "classifications": report.rows_of(inventory.classification_summary(self.candidates))[0]}
+                "classifications": report.rows_of(inventory.classification_summary(self.candidates))[0], "cache": self.cache_stats(),
+                "availability": inventory.availability(self.sources, self.omissions), "quality": self.quality()}
 
     # --- both -----------------------------------------------------------------------------
 
@@ -157,28 +232,45 @@ class Repository:
         s = self.history_settings
         bugs = history.keyword_paths(self.commits, self.commit_paths, s, s.bug_keywords)
         fires = history.keyword_paths(self.commits, self.commit_paths, s, s.firefighting_keywords)
-        files = self.sources.select("path", F.array().cast("array<string>").alias("limitations"))
+        files = self.sources.select("path", "limitations")
         rows = reading.candidate_rows(files, self.ranking, graph.degrees(self.edges), self.landmarks, self.roots, self.omissions, self.churn, history.bug_overlap(bugs, self.churn), fires)
         candidates = materialize(reading.with_manifests(reading.combine(rows), self.roots), "candidates")
         return reading.choose(reading.shortlist(candidates), report.rows_of(self.roots.orderBy("path")), fill_order)
 
     def briefing(self) -> dict[str, object]:
-        return {"title": "Briefing", **self.reading_plan(), "observations": self.history()["observations"], "inventory": report.rows_of(inventory.inventory(self.candidates))[0]}
+        plan, past = self.reading_plan(), self.history()
+        return {"title": "Briefing", **plan, "observations": past["observations"], "inventory": report.rows_of(inventory.inventory(self.candidates))[0],
+                "completeness": past["completeness"], "quality": self.quality(self.recommendations(plan) if plan["recommendations"] else None, history_complete=past["completeness"]["authoritative"])}
 
     def explain(self, target: str) -> dict[str, object]:
         s = self.history_settings
         bugs = history.bug_overlap(history.keyword_paths(self.commits, self.commit_paths, s, s.bug_keywords), self.churn)
-        found = explaining.explain(target, self.sources, self.symbols, self.edges, self.ranking, parser.parse_findings(self.sources), self.omissions, self.churn, bugs)
-        return {"title": f"Explain {target}", **{k: v if isinstance(v, str) else report.rows_of(v) for k, v in found.items()}}
+        found = explaining.explain(target, self.sources, self.symbols, self.edges, self.ranking, self.findings, self.omissions, self.churn, bugs)
+        matches = found["symbols"].select("path").unionAll(found["ranking"].select("path")).distinct()
+        matches = matches if not matches.isEmpty() else self.sources.select("path")
+        return {"title": f"Explain {target}", **{k: v if isinstance(v, str) else report.rows_of(v) for k, v in found.items()}, "quality": self.quality(matches=matches)}
+
+
+def cache_records(spark: SparkSession, path: str | None) -> DataFrame:
+    """The records of a cache table; none where there is no table yet."""
+    if path:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            return spark.read.schema(cache.RECORDS).parquet(path)
+    return spark.createDataFrame([], cache.RECORDS)
 
 
 def cache_control(spark: SparkSession, path: str, action: str, now: object = None) -> DataFrame | None:
-    """status, prune or clear of a cache table at a path; prune writes what is kept beside it."""
-    records = spark.read.parquet(path)
+    """status, prune or clear of a cache table at a path, as of ``now`` (None: the wall clock).
+
+    prune writes what is kept beside the table before it takes the table's place.
+    """
+    records = cache_records(spark, path)
+    now = F.current_timestamp() if now is None else F.lit(now)
     if action == "status":
         return cache.totals(records)
     if action == "prune":
-        kept = materialize(cache.retained(records, F.lit(now)), "cache")
+        kept = materialize(cache.retained(records, now), "cache")
         kept.write.mode("overwrite").parquet(path)
         return cache.totals(kept)
     if action == "clear":

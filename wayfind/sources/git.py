@@ -72,6 +72,14 @@ def is_shallow(repository: str) -> bool:
     return _git(repository, "rev-parse", "--is-shallow-repository", check=False).decode().strip() == "true"
 
 
+def missing_objects(repository: str) -> int:
+    """Objects of HEAD that a partial clone has not fetched; any other clone has them all."""
+    if not _git(repository, "config", "--get-regexp", r"^remote\..*\.promisor$", check=False).strip():
+        return 0
+    listed = _git(repository, "rev-list", "--objects", "--missing=print", "HEAD", check=False)
+    return sum(line.startswith(b"?") for line in listed.splitlines())
+
+
 def committed_mailmap(repository: str) -> list[tuple[str | None, str | None, str | None, str | None]]:
     """(proper_name, proper_email, commit_name, commit_email) entries of .mailmap at HEAD."""
     text = _git(repository, "cat-file", "blob", "HEAD:.mailmap", check=False).decode("utf-8", "replace")

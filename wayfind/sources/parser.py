@@ -10,12 +10,15 @@ brackets, or that Python refuses, gets a parse_error finding and status partial.
 from __future__ import annotations
 
 import ast
+import hashlib
+import json
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from wayfind.schemas import SYMBOLS
 from wayfind.session import share_code
@@ -145,6 +148,7 @@ class Parsed:
     symbols: list[dict]
     findings: list[dict]
     status: str = "complete"
+    cut: bool = False
 
 
 def _blank(source: str, pattern: str) -> str:
@@ -352,39 +356,64 @@ def parse(source: str, lang: str, max_symbols: int = 2_048) -> Parsed:
     if broken is not None:
         findings.append({"kind": "parse_error", "location": places.span(broken, broken), "detail": "the syntax is incomplete here"})
         status = "partial"
-    if len(rows) > max_symbols:
-        findings, status, rows = findings, "partial", rows[:max_symbols]
-    return Parsed([{"seq": k, **r} for k, r in enumerate(rows)], findings, status)
+    cut = len(rows) > max_symbols
+    if cut:
+        status, rows = "partial", rows[:max_symbols]
+    return Parsed([{"seq": k, **r} for k, r in enumerate(rows)], findings, status, cut)
 
 
-def parse_files(files: DataFrame, max_symbols: int = 2_048) -> DataFrame:
-    """Symbols of files (path, language, content), one file at a time, in the symbols' schema."""
+_OWN = "seq int, " + SYMBOLS.partition("language string, ")[2]
+PAYLOAD = f"struct<symbols array<struct<{_OWN}>>, findings array<struct<kind string, line int, detail string>>, status string, limitations array<string>>"
+
+
+def query_digest() -> str:
+    """A digest of all that decides what is found, so that records of another parser are not used."""
+    return hashlib.sha256(repr([(k, v.blank, v.patterns, v.blocks, v.imports, sorted(v.keywords)) for k, v in sorted(LANGUAGES.items())] + [REFERENCE_KINDS]).encode()).hexdigest()
+
+
+def parse_payloads(files: DataFrame, max_symbols: int = 2_048) -> DataFrame:
+    """``files`` (path, language, content and more) with ``payload``, what was found as JSON, in place of the content."""
     share_code(files.sparkSession)
-    names = [x.split(" ")[0] for x in SYMBOLS.replace("struct<start:struct<line:int,column:int>,end:struct<line:int,column:int>>", "s").split(", ")]
+    kept = [c for c in files.columns if c != "content"]
+
+    def one(content: object, language: str) -> str:
+        source = content if isinstance(content, str) else bytes(content).decode("utf-8", "replace")
+        found = parse(source, language, max_symbols)
+        limits = [f"The per-file symbol limit of {max_symbols} was reached."] if found.cut else []
+        findings = [{"kind": f["kind"], "line": f["location"]["start"]["line"], "detail": f["detail"]} for f in found.findings]
+        return json.dumps({"symbols": found.symbols, "findings": findings, "status": found.status, "limitations": limits})
 
     def each(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [
-                {"path": r.path, "language": r.language, **s}
-                for r in batch.itertuples(index=False)
-                for s in parse(bytes(r.content).decode("utf-8", "replace") if not isinstance(r.content, str) else r.content, r.language, max_symbols).symbols
-            ]
-            yield pd.DataFrame(rows, columns=names)
+            made = batch[kept].copy()
+            made["payload"] = [one(c, lang) for c, lang in zip(batch["content"], batch["language"], strict=True)]
+            yield made
 
-    return files.select("path", "language", "content").mapInPandas(each, SYMBOLS)
+    schema = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in kept) + ", payload string"
+    return files.select(*kept, "content").mapInPandas(each, schema)
 
 
-def parse_findings(files: DataFrame, max_symbols: int = 2_048) -> DataFrame:
+def read_payload(payloads: DataFrame) -> DataFrame:
+    """``payloads`` with the column ``parsed``, a struct of symbols, findings, status and limitations."""
+    return payloads.withColumn("parsed", F.from_json("payload", PAYLOAD))
+
+
+def symbols_of(read: DataFrame) -> DataFrame:
+    """The symbols of ``read_payload``'s rows, in the symbols' schema."""
+    found = read.select("path", "language", F.explode("parsed.symbols").alias("s")).select("path", "language", "s.*")
+    return found.select("path", "seq", "language", *(c for c in found.columns if c not in ("path", "seq", "language")))
+
+
+def findings_of(read: DataFrame) -> DataFrame:
     """(path, kind, line, detail) of what could not be parsed."""
-    share_code(files.sparkSession)
+    return read.select("path", F.explode("parsed.findings").alias("f")).select("path", "f.*")
 
-    def each(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                {"path": r.path, "kind": f["kind"], "line": f["location"]["start"]["line"], "detail": f["detail"]}
-                for r in batch.itertuples(index=False)
-                for f in parse(bytes(r.content).decode("utf-8", "replace") if not isinstance(r.content, str) else r.content, r.language, max_symbols).findings
-            ]
-            yield pd.DataFrame(rows, columns=["path", "kind", "line", "detail"])
-
-    return files.select("path", "language", "content").mapInPandas(each, "path string, kind string, line int, detail string")
+
+def parse_files(files: DataFrame, max_symbols: int = 2_048) -> DataFrame:
+    """Symbols of files (path, language, content), one file at a time, in the symbols' schema."""
+    return symbols_of(read_payload(parse_payloads(files.select("path", "language", "content"), max_symbols)))
+
+
+def parse_findings(files: DataFrame, max_symbols: int = 2_048) -> DataFrame:
+    """(path, kind, line, detail) of what could not be parsed."""
+    return findings_of(read_payload(parse_payloads(files.select("path", "language", "content"), max_symbols)))

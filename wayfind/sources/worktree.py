@@ -32,6 +32,17 @@ def walk(root: str, recursive: bool = False) -> Iterator[tuple[str, bool]]:
                 yield os.path.relpath(full, root), os.path.islink(full)
 
 
+def git_folders(root: str) -> list[str]:
+    """Paths below a folder that end in .git, but its own, sorted; nothing inside them is listed."""
+    out = []
+    for here, dirs, files in os.walk(root, followlinks=False):
+        if here != root and ".git" in (*dirs, *files):
+            out.append(os.path.relpath(os.path.join(here, ".git"), root))
+            dirs.clear()
+        dirs[:] = [d for d in dirs if d != ".git" and not os.path.islink(os.path.join(here, d))]
+    return sorted(out)
+
+
 def read_bounded(root: str, path: str, most: int) -> bytes | None:
     """Up to one byte more than ``most`` of a file, opened without following links; None if unreadable."""
     at = os.open(root, os.O_RDONLY | os.O_DIRECTORY)
