@@ -125,14 +125,16 @@ def ambiguity_groups(edges: DataFrame) -> DataFrame:
     )
 
 
-def page_rank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
+def page_rank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING, small: int | None = None) -> DataFrame:
     """(path, rank): weighted PageRank from a uniform start, so many passes exactly.
 
     ``edges`` has source, target and weight; parallel and self edges count, edges from or
     to paths outside ``nodes`` do not. Files without an outgoing edge spread their rank over all files. A pass is one join and one aggregation:
     parallel edges are summed before, the sum over files without edges is part of the same
-    plan, and the table is written every few passes.
+    plan, and the table is written every few passes. A graph of at most ``small`` files and edges
+    (None: ``SMALL_GRAPH``) is ranked on the driver, with the same result.
     """
+    small = SMALL_GRAPH if small is None else small
     nodes = materialize(nodes.select("path").distinct(), "nodes")
     inside = edges.join(nodes.withColumnRenamed("path", "source"), "source", "left_semi").join(nodes.withColumnRenamed("path", "target"), "target", "left_semi")
     summed = inside.groupBy("source", "target").agg(F.sum("weight").alias("weight"))
@@ -141,7 +143,7 @@ def page_rank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS,
     n = nodes.count()
     if not n:
         return nodes.select("path", F.lit(0.0).alias("rank"))
-    if n <= SMALL_GRAPH and share.limit(SMALL_GRAPH + 1).count() <= SMALL_GRAPH:
+    if n <= small and share.limit(small + 1).count() <= small:
         return _small_page_rank(nodes, share, iterations, damping)
     ranks = nodes.select("path", F.lit(1.0 / n).alias("rank"))
     for k in range(1, iterations + 1):

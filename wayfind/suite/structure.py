@@ -266,12 +266,25 @@ def _rank_sql() -> str:
   r0 as (select path, 1.0::double / (select count(*) from nodes) as rank from nodes), {passes}"""
 
 
-@register("page_rank", f"{_rank_sql()} select path, round((rank + case when path like '1%' then 0.35 else 0 end + case when path = '5' then 0.7 else 0 end) * 1e6)::bigint as score, ((path like '1%')::int + (path = '5')::int)::int as focus_matches from r{G.ITERATIONS}")
-def page_rank(spark, d):
-    """24 passes over the suppliers that follow each other in an order, with focus boosts."""
+_RANKED = f"{_rank_sql()} select path, round((rank + case when path like '1%' then 0.35 else 0 end + case when path = '5' then 0.7 else 0 end) * 1e6)::bigint as score, ((path like '1%')::int + (path = '5')::int)::int as focus_matches from r{G.ITERATIONS}"
+
+
+def _ranked(spark, d, small):
     nodes = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("path"))
     matches = nodes.select("path", F.col("path").startswith("1").cast("int").alias("text_matches"), (F.col("path") == "5").alias("path_match"))
-    return G.file_ranking(G.page_rank(nodes, _supplier_edges(spark, d)), matches)
+    return G.file_ranking(G.page_rank(nodes, _supplier_edges(spark, d), small=small), matches)
+
+
+@register("page_rank", _RANKED)
+def page_rank(spark, d):
+    """24 passes over the suppliers that follow each other in an order, with focus boosts."""
+    return _ranked(spark, d, None)
+
+
+@register("page_rank_distributed", _RANKED)
+def page_rank_distributed(spark, d):
+    """The same as joins and aggregations, whatever the graph's size."""
+    return _ranked(spark, d, 0)
 
 
 @register("focus_matches", f"""with {SYMBOLS_SQL}, f as (select distinct path from lines), s as (select path, bool_or(contains(lower(first_word), 'thon') or (first_word <> '' and contains(lower(line), 'thon'))) as a, bool_or(contains(lower(first_word), 'que') or (first_word <> '' and contains(lower(line), 'que'))) as b,
@@ -372,11 +385,12 @@ def parse_sources(spark, d):
     return parse_files(files).where("kind = 'method' and role = 'definition'").select("path", "name", F.element_at("scope", 1).alias("container"))
 
 
-@register("capabilities")
+@register("capabilities", """select * from (values ('rust', 'rs', true), ('javascript', 'js,mjs,cjs', true), ('javascript_jsx', 'jsx', true), ('typescript', 'ts,mts,cts', true), ('typescript_tsx', 'tsx', true),
+  ('python', 'py,pyi', true), ('ruby', 'rb,rake,gemspec', true), ('java', 'java', true), ('c_sharp', 'cs', true), ('go', 'go', true), ('lua', 'lua,rockspec', true)) as c(language, extensions, structural)""")
 def capabilities(spark, d):
     from wayfind.plans.report import capabilities as known
 
-    return known(spark)
+    return known(spark).withColumn("extensions", F.array_join("extensions", ","))
 
 
 @register("doctor")
