@@ -70,3 +70,34 @@ def test_edge_rows(spark):
     assert [r["doc_id"] for r in L.license_scan(docs).collect()] == [None]
     assert L.license_scan(docs.where("false")).count() == 0
     assert scan(None) == [] and scan("the mit") == []
+
+
+def brute(text):
+    """Templates with a window of the text whose longest common subsequence covers enough of them."""
+    words, found = L.words_of(text.encode()), set()
+    for name, texts in L.TEMPLATES.items():
+        for k, t in enumerate(texts):
+            own = L.words_of(t.encode())
+            width = len(own) + len(own) // 4 + 1
+            for start in range(0, max(1, len(words) - len(own) // 2), max(1, len(own) // 12)):
+                if lcs(own, words[start : start + width]) >= L.MIN_COVERAGE * len(own):
+                    found.add((name, k))
+                    break
+    return found
+
+
+def test_scan_equals_brute_force_over_all_windows():
+    """Of overlapping copies the scan keeps the fullest, so what else is found must overlap one that it keeps."""
+    rng = random.Random(12)
+    filler = "of the and to in is that it was for on by he as at his word line text some more".split()
+    pool = [(name, k, t.split()) for name, texts in L.TEMPLATES.items() for k, t in enumerate(texts) if len(t.split()) < 90]
+    for n in range(40):
+        name, k, words = rng.choice(pool)
+        share = rng.choice([0.0, 0.05, 0.1, 0.35])
+        copy = ["zz" if rng.random() < share else w for w in words]
+        text = " ".join(rng.choices(filler, k=rng.randint(0, 30)) + copy + rng.choices(filler, k=rng.randint(0, 30)))
+        got, want = {r[:2] for r in scan(text)}, brute(text)
+        assert got <= want, (n, got, want)
+        assert bool(got) == bool(want), (n, got, want)
+        if share == 0:
+            assert any(len(L.words_of(L.TEMPLATES[a][b].encode())) >= len(words) for a, b in got)
