@@ -36,6 +36,9 @@ def test_mix_is_near_targets_and_repeats(spark):
     assert sum(v[0] for v in by.values()) <= sum(r[1] for r in first)
     for (_, target), (taken, _) in by.items():
         assert abs(taken - target) <= 80
+    finish = [r["first_finish"] for r in mixing.mix(docs).collect()]
+    taken = [f for f in finish if f is not None]
+    assert taken == sorted(taken) and finish[: len(taken)] == taken  # in the order of the queue, then what it leaves out
 
 
 def test_hot_source_in_many_buckets(spark, monkeypatch):

@@ -83,7 +83,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix"
 
     (doc_id, size, source, source_size, target, copies, taken, first_finish): ``copies`` is how
     often the mix holds the document, ``taken`` its words in all copies, ``first_finish`` the
-    virtual time of its first copy, by which the mix can be range-sorted. A null text and a
+    virtual time of its first copy. Rows are range-sorted in the order of the queue, documents
+    beyond the budget last. As documents are whole, a source's taken words differ from its
+    target by less than its largest document and its share of the budget's rest. A null text and a
     text without words have size 0 and are never taken; null is a source of its own. Repeated
     rows are documents of their own. The order depends on ids, sizes and ``seed`` alone, so
     reruns agree. An empty table gives no rows.
@@ -113,10 +115,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix"
     cut = _cut(queue, budget)
     copies = sum((F.when(finish(k) <= F.lit(cut), 1).otherwise(0) for k in range(MAX_REPEATS)), F.lit(0))
     copies = F.when((F.col("size") > 0) & (F.col("target") > 0), copies).otherwise(F.lit(0))
-    return flow.select(
+    decided = flow.select(
         "doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"),
         F.when(copies > 0, finish(0)).alias("first_finish"),
     )
+    return decided.orderBy(F.col("first_finish").asc_nulls_last(), "source", "doc_id")
 
 
 def _cut(queue: DataFrame, budget: int) -> float:
