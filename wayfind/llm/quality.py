@@ -6,7 +6,8 @@ pass sums them over all documents of a language that are long enough and not lar
 symbols or capitals, which makes that language's references; only those few sums reach the driver. A
 second pass compares each text with the references by Jensen-Shannon distance (the square
 root of the divergence to base 2, from 0 to 1). A text is judged by the language whose
-common words it fits best, so a wrong language label does no harm.
+common words it fits best, so a wrong label does no harm, unless it names a language
+without a reference: such texts are judged by the counting rules alone.
 """
 
 from __future__ import annotations
