@@ -168,6 +168,12 @@ def test_cache_table(spark, tmp_path):
 def test_shared_tables(spark):
     df = storage.materialize(spark.range(10), "test")
     assert df.count() == 10 and "wayfind-tables/test-" in df.inputFiles()[0]
+    held = df.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(held)
+    storage.release(df)
+    storage.release(df)
+    storage.release(spark.range(3))
+    assert not os.path.exists(held)
     assert storage.fresh(spark.range(1).withColumnRenamed("id", "Near_x"), "near") == "_near"
 
 

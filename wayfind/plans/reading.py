@@ -141,7 +141,8 @@ def choose(candidates: list[dict], roots: list[dict], fill_order: str = "weakest
     project root, then a fill up to ten: from the weakest candidate on, as the fill has always
     been, or from the strongest.
     """
-    key = lambda c: (c["score"], c["strength"], tuple(-ord(x) for x in c["path"]))
+    by_path = sorted(candidates, key=lambda c: c["path"], reverse=True)
+    weakest = sorted(by_path, key=lambda c: (c["score"], c["strength"]))  # of equals the larger path first
     selected, taken = [], set()
 
     def take(c: dict | None) -> None:
@@ -150,7 +151,7 @@ def choose(candidates: list[dict], roots: list[dict], fill_order: str = "weakest
             taken.add(c["path"])
 
     def best(of) -> dict | None:
-        return max((c for c in candidates if of(c) and c["path"] not in taken), key=key, default=None)
+        return next((c for c in reversed(weakest) if of(c) and c["path"] not in taken), None)
 
     for purpose in PURPOSES:
         take(best(lambda c, p=purpose: c["purpose"] == p))
@@ -160,7 +161,7 @@ def choose(candidates: list[dict], roots: list[dict], fill_order: str = "weakest
     for r in roots:
         if len(selected) < MAX_PLAN:
             take(best(lambda c, p=r["path"]: c["project_root"] == p))
-    for c in sorted(candidates, key=key, reverse=fill_order == "strongest"):
+    for c in reversed(weakest) if fill_order == "strongest" else weakest:
         if len(selected) < MAX_PLAN and c["path"] not in taken:
             take(c)
     selected.sort(key=lambda c: (PURPOSES.index(c["purpose"]), -c["score"], c["path"]))

@@ -337,9 +337,19 @@ def reading_best(spark, d):
     return _contributions(spark, d).withColumn("n", F.row_number().over(best)).where("n = 1").select("purpose", "path", "score")
 
 
-@register("reading_plan")
+@register(
+    "reading_plan",
+    """with recursive c as (select list_extract(['start_here', 'architecture', 'runtime', 'tests', 'supporting_context'], l_linenumber % 5 + 1) as purpose, 'p' || l_partkey as path, min('r' || (l_suppkey % 9)) as project_root,
+      array_to_string(list_sort(list(distinct 'why ' || l_returnflag))[1:2], '; ') as reason, sum(l_quantity::bigint)::bigint as score, min(l_orderkey % 3)::int as weakness from lineitem group by 1, 2),
+    pick as (select 0 as step, []::varchar[] as taken, null::varchar as purpose, null::varchar as path, null::varchar as project_root, null::varchar as reason, 0::bigint as score
+      union all select step, taken, purpose, path, project_root, reason, score from (
+        select step + 1 as step, list_append(taken, c.path) as taken, c.purpose, c.path, c.project_root, c.reason, c.score, row_number() over (order by c.score desc, weakness, c.path, c.purpose) as n
+        from pick join c on not list_contains(taken, c.path) and case when step < 5 then c.purpose = list_extract(['start_here', 'architecture', 'runtime', 'tests', 'supporting_context'], step + 1) else c.project_root = 'r' || (step - 5) end
+        where step < 10) where n = 1)
+    select row_number() over (order by list_position(['start_here', 'architecture', 'runtime', 'tests', 'supporting_context'], purpose), score desc, path)::int as ordinal, purpose, path, project_root, reason from pick where step > 0""",
+)
 def reading_plan(spark, d):
-    """The whole sequential choice of ten paths; tested by hand-made cases."""
+    """The whole sequential choice of ten paths: the best of each purpose, then of each root."""
     roots = [{"path": f"r{k}", "manifests": []} for k in range(9)]
     chosen = R.choose(R.shortlist(_contributions(spark, d)), roots)["recommendations"]
     return spark.createDataFrame([(c["ordinal"], c["purpose"], c["path"], c["project_root"], c["reason"]) for c in chosen], "ordinal int, purpose string, path string, project_root string, reason string")
