@@ -9,12 +9,15 @@ they use, and it needs no executor to stay alive.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[str, SparkSession] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,13 +45,25 @@ def materialize(df: DataFrame, label: str, compact: bool = False) -> DataFrame:
     if compact:
         df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/wayfind-tables/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     _written[path] = spark
     made = spark.read.schema(df.schema).parquet(path)
     made._wayfind_path = path
     return made
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the jobs run inside go when each ends: its table replaces them."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def release(df: DataFrame | None) -> None:
     """Remove the table that ``materialize`` returned, once nothing will read it again."""
     path = getattr(df, "_wayfind_path", None)
