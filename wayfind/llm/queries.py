@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfind import storage
-from wayfind.llm import chat, decontaminate, language_crf, licenses, mixing, quality, secrets, simhash, url_filter, warc
+from wayfind.llm import chat, decontaminate, language_crf, licenses, mixing, quality, secrets, simhash, suffixes, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -266,6 +266,32 @@ from f
 """
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is cut from every document because an earlier one has it: passages of 50 bytes and more."""
+    found = suffixes.remove_repeats(_read(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP12_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select doc_id, i, substr(h, 2 * i + 1, 100) as s from (select doc_id, h, unnest(range(0, len(h) // 2 - 49)) as i from d)),
+hit as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by s) as least from w) where least < doc_id),
+marked as (select doc_id, i, case when i > lag(i) over (partition by doc_id order by i) + 50 then 1 else 0 end as opens from hit),
+grouped as (select doc_id, i, sum(opens) over (partition by doc_id order by i) as g from marked),
+spans as (select doc_id, min(i) as a, max(i) + 50 as b from grouped group by doc_id, g),
+left_over as (
+  select d.doc_id, s.a, substr(h, 2 * coalesce(lag(s.b) over (partition by d.doc_id order by s.a), 0) + 1, 2 * (s.a - coalesce(lag(s.b) over (partition by d.doc_id order by s.a), 0))) as part
+  from d join spans s on d.doc_id = s.doc_id
+  union all
+  select d.doc_id, 1000000000000, substr(h, 2 * coalesce(m.b, 0) + 1) from d left join (select doc_id, max(b) as b from spans group by doc_id) m on d.doc_id = m.doc_id),
+kept as (select doc_id, string_agg(part, '' order by a) as h from left_over group by doc_id),
+totals as (select doc_id, sum(b - a)::bigint as n_removed, count(*)::bigint as n_spans from spans group by doc_id)
+select d.doc_id, (len(d.h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(kept.h)) as kept_sha256
+from d join kept on d.doc_id = kept.doc_id left join totals on d.doc_id = totals.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": corpus_pipeline.run,
@@ -279,12 +305,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": op8_url_filter,
         "op9_chat_format": op9_chat_format,
         "op10_warc_revisits": op10_warc_revisits,
+        "op12_suffix_dedup": op12_suffix_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL where DuckDB can express the query."""
-    found = {"op1_mix_sources": OP1_SQL, "op2_quality_rules": OP2_SQL, "op5_secret_scan": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_chat_format": OP9_SQL, "op10_warc_revisits": OP10_SQL}
+    found = {"op1_mix_sources": OP1_SQL, "op2_quality_rules": OP2_SQL, "op5_secret_scan": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_chat_format": OP9_SQL, "op10_warc_revisits": OP10_SQL, "op12_suffix_dedup": OP12_SQL}
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found
