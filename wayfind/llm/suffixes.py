@@ -38,10 +38,10 @@ from wayfind.storage import materialize, release
 
 MIN_LENGTH = 50
 MAX_RUN = 256
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 BLOCK_BYTES = 1 << 20
 BUCKET_BYTES = 16 << 20
-TRANSFORM_BYTES = 2 << 20
+TRANSFORM_BYTES = 512 << 10
 HOT_BYTES = 1 << 20
 
 #: No byte of UTF-8: it ends every string of a transform.
@@ -129,16 +129,20 @@ def _rows(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tup
 
 def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
     """The places of ``data`` in the order of the ``depth`` bytes (at least) that follow each."""
-    n = len(data)
+    n, bits = len(data), np.uint64(21)
     key, reach = words_at(np.concatenate([data, np.full(7, END, np.uint8)]), ">"), 8
     order = np.argsort(key)
+    ordered = key[order]
     while reach < depth:
-        sorted_key = key[order]
-        rank = np.empty(2 * n, np.uint64)
-        rank[order] = np.cumsum(np.concatenate([[False], sorted_key[1:] != sorted_key[:-1]])).astype(np.uint64)
-        rank[n:] = n
-        key = (rank[:n] << np.uint64(32)) | rank[reach : reach + n]
-        order = np.argsort(key)
+        rank = np.full(n + reach, n, np.uint64)
+        rank[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]])).astype(np.uint64)
+        if n < 1 << 21:  # two ranks and the place fit one number
+            key = np.sort(((rank[:n] << bits | rank[reach:]) << bits) | np.arange(n, dtype=np.uint64))
+            order, ordered = (key & np.uint64((1 << 21) - 1)).astype(np.int64), key >> bits
+        else:
+            key = (rank[:n] << np.uint64(32)) | rank[reach:]
+            order = np.argsort(key)
+            ordered = key[order]
         reach *= 2
     return order
 
@@ -179,18 +183,19 @@ def prefix_cuts(data: np.ndarray, order: np.ndarray, min_length: int) -> np.ndar
     return cut[:n]
 
 
-def least_documents(strings: list[bytes], docs: np.ndarray, min_length: int) -> list[np.ndarray]:
-    """For each string the least document of each of its windows, over all strings."""
+def least_documents(strings: list[bytes], docs: np.ndarray, min_length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, place, least) of each window of each string: the least document that has it."""
     data = np.frombuffer(b"".join(s + bytes([END]) for s in strings), np.uint8)
     sizes = np.array([len(s) + 1 for s in strings])
-    first = np.cumsum(sizes) - sizes
     order = suffix_order(data, min_length)
     classes = np.flatnonzero(prefix_cuts(data, order, min_length))
     of_string = np.repeat(np.arange(len(strings)), sizes)
     least = np.minimum.reduceat(docs[of_string[order]], classes)
     found = np.empty(len(data), np.int64)
     found[order] = np.repeat(least, np.diff(np.append(classes, len(data))))
-    return [found[a : a + s - min_length] for a, s in zip(first.tolist(), sizes.tolist(), strict=True)]
+    place = np.arange(len(data)) - (np.cumsum(sizes) - sizes)[of_string]
+    windows = place < sizes[of_string] - min_length
+    return of_string[windows], place[windows], found[windows]
 
 
 # --- stages --------------------------------------------------------------------------------
@@ -360,13 +365,15 @@ def _expanded(strings: DataFrame, transforms: int, min_length: int) -> DataFrame
     """(string, least, earlier): for each string the runs of windows that a smaller document than ``least`` has."""
 
     def expand(table: pa.Table) -> pa.Table:
-        names, texts, docs = table["string"].to_pylist(), table["text"].to_pylist(), table["least"].to_numpy()
-        earlier = []
-        for doc, least in zip(docs.tolist(), least_documents(texts, docs, min_length), strict=True):
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], (least < doc).astype(np.int8), [0]])))
-            earlier.append([{"a": a, "b": b} for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)])
-        runs_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-        return pa.table({"string": pa.array(names, pa.binary()), "least": table["least"], "earlier": pa.array(earlier, runs_type)})
+        docs = table["least"].to_numpy()
+        string, place, least = least_documents(table["text"].to_pylist(), docs, min_length)
+        early = np.concatenate([[False], least < docs[string], [False]])
+        opens = np.flatnonzero(early[1:-1] & (~early[:-2] | (place == 0)))
+        last = np.append(place[1:] == 0, True)
+        closes = np.flatnonzero(early[1:-1] & (~early[2:] | last))
+        spans = pa.StructArray.from_arrays([pa.array(place[opens]), pa.array(place[closes] + 1)], names=["a", "b"])
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(string[opens], minlength=len(docs)))]).astype(np.int32)
+        return pa.table({"string": table["string"], "least": table["least"], "earlier": pa.ListArray.from_arrays(offsets, spans)})
 
     dealt = strings.select(F.pmod("anchor", F.lit(transforms)).alias("bucket"), "string", "text", "least")
     return dealt.groupBy("bucket").applyInArrow(expand, "string binary, least long, earlier array<struct<a: long, b: long>>")
@@ -424,13 +431,13 @@ def remove_repeats(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     their texts are equal or not. Texts shorter than ``min_length`` stay whole. Very long texts
     are read in overlapping pieces. An empty table gives no rows.
     """
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, docs._jdf.rdd().getNumPartitions())
-    texts = materialize(_batched(docs), "texts")
+    cores, parts = docs.sparkSession.sparkContext.defaultParallelism, docs._jdf.rdd().getNumPartitions()
+    texts = materialize(_batched(docs if parts >= cores else docs.select("doc_id", "text").repartition(cores)), "texts")
     n_bytes = texts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     # A window of n bytes has a run of its own in two of (n - gram) at most: bytes of anchors follow from bytes of text.
     buckets = 1 + 16 * n_bytes // (min_length - gram_of(min_length) + 2) // BUCKET_BYTES
     answers = materialize(_answered(_asked(texts, buckets, min_length)), "anchors")
-    found = materialize(_candidates(texts, answers, max(parts, 2 * n_bytes // BATCH_BYTES), min_length), "strings")
+    found = materialize(_candidates(texts, answers, max(parts, cores, n_bytes // (8 * BATCH_BYTES)), min_length), "strings")
     release(answers)
     strings = materialize(found.groupBy("anchor", "string").agg(F.first("text").alias("text"), F.min("least").alias("least")), "distinct-strings")
     sizes = strings.groupBy("anchor").agg(F.sum(F.octet_length("text")).alias("size"))
