@@ -35,18 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def materialize(df: DataFrame, label: str, compact: bool = False) -> DataFrame:
+def materialize(df: DataFrame, label: str, compact: bool = False, codec: str | None = None) -> DataFrame:
     """Write ``df`` once and return the table read back, with the same schema.
 
     ``compact`` is for the small tables of iterations: they are written by two tasks for each
-    core at most, as every round would else begin with many tiny files.
+    core at most, as every round would else begin with many tiny files. ``codec`` is a Parquet
+    codec for tables of texts, where the session's own is not close enough.
     """
     spark = df.sparkSession
     if compact:
         df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/wayfind-tables/{label}-{uuid.uuid4().hex}"
     with shuffles_removed(spark):
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     _written[path] = spark
     made = spark.read.schema(df.schema).parquet(path)
     made._wayfind_path = path
