@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfind import storage
-from wayfind.llm import chat, decontaminate, language_crf, licenses, mixing, quality, secrets, simhash, suffixes, url_filter, warc
+from wayfind.llm import chat, decontaminate, language_crf, licenses, manifest, mixing, quality, secrets, simhash, suffixes, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -292,6 +292,61 @@ from d join kept on d.doc_id = kept.doc_id left join totals on d.doc_id = totals
 """
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaf, proof and verification of every document; every seventh or so is tampered with."""
+    docs = _read(spark, sf_dir, "documents")
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    fields = [F.col(f) for f in manifest.FIELDS]
+    claimed = manifest.leaf_of([changed if f == "n_chars" else F.col(f) for f in manifest.FIELDS])
+    leaves = docs.select(manifest.tree_key("lang").alias("tree"), F.col("doc_id").alias("id"), manifest.leaf_of(fields).alias("hash"), claimed.alias("claimed"))
+    made = manifest.build(leaves, payload=["claimed"])
+    root = F.lit(made.root).cast("string")
+    proof = F.concat_ws("", F.transform("proof", lambda s: F.substring(s, 2, 64)))
+    return manifest.verified(made, "claimed").select(
+        F.col("id").alias("doc_id"), F.col("hash").alias("leaf"), "subroot", root.alias("root"), F.sha2(proof, 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == root).alias("verified")
+    )
+
+
+def _op13_sql(most: int = 24) -> str:
+    """Trees of up to 2 ** ``most`` leaves."""
+    field = lambda f, v: f"coalesce(octet_length(encode(({v})::varchar)) || ':' || ({v})::varchar, '-')"
+    leaf = lambda change: "sha256(" + " || ".join(field(f, f"n_chars + {change}" if f == "n_chars" else f) for f in manifest.FIELDS) + ")"
+    parts = [
+        "table_crc as materialized (select k, list_reduce(list_prepend(k, range(8)), lambda c, b: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v from (select unnest(range(256)) as k))",
+        "crcs as materialized (select list(v order by k) as t from table_crc)",
+        "docs as materialized (select documents.*, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) as crc from documents, crcs)",
+        f"leaves as materialized (select doc_id, lang, {leaf(0)} as leaf, case when crc % 7 = 0 then {leaf(1)} else {leaf(0)} end as claimed from docs)",
+        "l0 as materialized (select doc_id, lang as tree, leaf as hash, claimed, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as place, count(*) over (partition by lang) as n from leaves)",
+    ]
+
+    def tree(name: str, first: str) -> str:
+        parts.append(f"{name}0 as materialized ({first})")
+        for k in range(1, most + 1):
+            parts.append(
+                f"{name}{k} as materialized (select tree, case when n > 1 then place // 2 else place end as place, case when n > 1 then sha256(string_agg(hash, '' order by place)) else min(hash) end as hash, max((n + 1) // 2) as n from {name}{k - 1} group by tree, n, case when n > 1 then place // 2 else place end)"
+            )
+        return f"{name}{most}"
+
+    subroots = tree("s", "select tree, place, hash, n from l0")
+    root = tree("t", f"select 0 as tree, tree as of, row_number() over (order by tree nulls first) - 1 as place, hash, count(*) over () as n from {subroots}")
+    parts.append("p0 as materialized (select l0.*, claimed as folded, '' as proof, place as pos from l0)")
+    for k in range(most):
+        step = "case when s.hash is null then sha256(p.folded) when s.place < p.pos then sha256(s.hash || p.folded) else sha256(p.folded || s.hash) end"
+        parts.append(
+            f"p{k + 1} as materialized (select p.* exclude (folded, proof, pos, n), case when p.n > 1 then {step} else p.folded end as folded, case when p.n > 1 then p.proof || coalesce(s.hash, '') else p.proof end as proof, case when p.n > 1 then p.pos // 2 else p.pos end as pos, (p.n + 1) // 2 as n from p{k} p left join s{k} s on p.tree is not distinct from s.tree and p.n > 1 and s.place = xor(p.pos, 1))"
+        )
+    parts.append(f"q0 as materialized (select p.* exclude (pos, n), p.hash as leaf, t.place as pos, t.n, s.hash as subroot from p{most} p join t0 t on p.tree is not distinct from t.of join {subroots} s on p.tree is not distinct from s.tree)")
+    for k in range(most):
+        step = "case when s.hash is null then sha256(p.folded) when s.place < p.pos then sha256(s.hash || p.folded) else sha256(p.folded || s.hash) end"
+        parts.append(
+            f"q{k + 1} as materialized (select p.* exclude (folded, proof, pos, n), case when p.n > 1 then {step} else p.folded end as folded, case when p.n > 1 then p.proof || coalesce(s.hash, '') else p.proof end as proof, case when p.n > 1 then p.pos // 2 else p.pos end as pos, (p.n + 1) // 2 as n from q{k} p left join t{k} s on p.n > 1 and s.place = xor(p.pos, 1))"
+        )
+    return "with " + ", ".join(parts) + f" select doc_id, leaf, subroot, r.hash as root, sha256(proof) as proof_sha256, folded as folded_root, folded = r.hash as verified from q{most}, {root} r"
+
+
+OP13_SQL = _op13_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": corpus_pipeline.run,
@@ -306,12 +361,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_chat_format": op9_chat_format,
         "op10_warc_revisits": op10_warc_revisits,
         "op12_suffix_dedup": op12_suffix_dedup,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL where DuckDB can express the query."""
-    found = {"op1_mix_sources": OP1_SQL, "op2_quality_rules": OP2_SQL, "op5_secret_scan": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_chat_format": OP9_SQL, "op10_warc_revisits": OP10_SQL, "op12_suffix_dedup": OP12_SQL}
+    found = {"op1_mix_sources": OP1_SQL, "op2_quality_rules": OP2_SQL, "op5_secret_scan": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_chat_format": OP9_SQL, "op10_warc_revisits": OP10_SQL, "op12_suffix_dedup": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found

@@ -392,6 +392,15 @@ def _by_window(strings: DataFrame, min_length: int) -> DataFrame:
     return strings.select("string", "least").join(found, "string", "left").select("string", "least", F.coalesce("earlier", F.array().cast("array<struct<a: long, b: long>>")).alias("earlier"))
 
 
+def _covered(found: DataFrame, expanded: DataFrame, min_length: int) -> DataFrame:
+    """(row, covered): by document the bytes that repeats cover, as structs of start and end."""
+    places = found.select("string", F.octet_length("text").cast("long").alias("size"), F.explode(F.arrays_zip("rows", "docs", "starts")).alias("p"))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("size") - min_length + 1).alias("b")))
+    spans = places.join(expanded, "string").select("p.rows", "p.starts", F.explode(F.when(F.col("p.docs") > F.col("least"), whole).otherwise(F.col("earlier"))).alias("s"))
+    one = F.struct((F.col("starts") + F.col("s.a")).alias("start"), (F.col("starts") + F.col("s.b") + min_length - 1).alias("end"))
+    return spans.groupBy("rows").agg(F.array_agg(one).alias("covered")).withColumnRenamed("rows", "row")
+
+
 def _kept(texts: DataFrame, covered: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): the maximal removed spans of each text, and what is left."""
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -416,8 +425,7 @@ def _kept(texts: DataFrame, covered: DataFrame) -> DataFrame:
                 kept.append(b"".join(text[s:e] for s, e in zip([0, *(e for _, e in runs_of)], [*(s for s, _ in runs_of), len(text)], strict=True)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, spans_type), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    by_row = covered.groupBy("row").agg(F.array_agg(F.struct("start", "end")).alias("covered")).withColumnRenamed("row", "_of")
-    rows = texts.join(by_row, F.col("row") == F.col("_of"), "left").select("doc_id", "n_bytes", "text", "covered")
+    rows = texts.join(covered.withColumnRenamed("row", "_of"), F.col("row") == F.col("_of"), "left").select("doc_id", "n_bytes", "text", "covered")
     return map_texts(rows, cut, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 
@@ -432,23 +440,21 @@ def remove_repeats(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     are read in overlapping pieces. An empty table gives no rows.
     """
     cores, parts = docs.sparkSession.sparkContext.defaultParallelism, docs._jdf.rdd().getNumPartitions()
-    texts = materialize(_batched(docs if parts >= cores else docs.select("doc_id", "text").repartition(cores)), "texts")
+    texts = materialize(_batched(docs if parts >= cores else docs.select("doc_id", "text").repartition(cores)), "texts", codec="zstd")
     n_bytes = texts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     # A window of n bytes has a run of its own in two of (n - gram) at most: bytes of anchors follow from bytes of text.
     buckets = 1 + 16 * n_bytes // (min_length - gram_of(min_length) + 2) // BUCKET_BYTES
     answers = materialize(_answered(_asked(texts, buckets, min_length)), "anchors")
-    found = materialize(_candidates(texts, answers, max(parts, cores, n_bytes // (8 * BATCH_BYTES)), min_length), "strings")
+    found = materialize(_candidates(texts, answers, max(parts, cores, n_bytes // (8 * BATCH_BYTES)), min_length), "strings", codec="zstd")
     release(answers)
-    strings = materialize(found.groupBy("anchor", "string").agg(F.first("text").alias("text"), F.min("least").alias("least")), "distinct-strings")
+    strings = materialize(found.groupBy("anchor", "string").agg(F.first("text").alias("text"), F.min("least").alias("least")), "distinct-strings", codec="zstd")
     sizes = strings.groupBy("anchor").agg(F.sum(F.octet_length("text")).alias("size"))
-    hot = sizes.where(f"size > {HOT_BYTES}").select(F.col("anchor").alias("_hot"))
-    transforms = 1 + (sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // TRANSFORM_BYTES)
-    marked = strings.join(hot, F.col("anchor") == F.col("_hot"), "left")
-    marked = materialize(_expanded(marked.where("_hot is null"), transforms, min_length).unionAll(_by_window(marked.where("_hot is not null"), min_length)), "expanded")
+    hot = materialize(sizes.where(f"size > {HOT_BYTES}").select(F.col("anchor").alias("_hot")), "hot", compact=True)
+    transforms = 1 + strings.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // TRANSFORM_BYTES
+    cool, warm = strings.join(hot, F.col("anchor") == F.col("_hot"), "left_anti"), strings.join(hot, F.col("anchor") == F.col("_hot"), "left_semi")
+    expanded = materialize(_expanded(cool, transforms, min_length).unionAll(_by_window(warm, min_length)), "expanded")
     release(strings)
-    places = found.select("string", (F.octet_length("text")).cast("long").alias("size"), F.explode(F.arrays_zip("rows", "docs", "starts")).alias("p"))
-    places = places.join(marked, "string")
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("size") - min_length + 1).alias("b")))
-    spans = places.select("p.rows", "p.starts", F.explode(F.when(F.col("p.docs") > F.col("least"), whole).otherwise(F.col("earlier"))).alias("s"))
-    covered = spans.select(F.col("rows").alias("row"), (F.col("starts") + F.col("s.a")).alias("start"), (F.col("starts") + F.col("s.b") + min_length - 1).alias("end"))
+    covered = materialize(_covered(found, expanded, min_length), "covered")
+    release(found)
+    release(expanded)
     return _kept(texts, covered)
