@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfind import storage
-from wayfind.llm import chat, decontaminate, language_crf, licenses, manifest, mixing, quality, secrets, simhash, suffixes, url_filter, warc
+from wayfind.llm import chat, decontaminate, language_crf, licenses, manifest, mixing, quality, secrets, simhash, suffixes, trie, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -266,6 +266,53 @@ from f
 """
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each begun anew with turns of the first of its hundred."""
+    turns = storage.materialize(trie.ordered_turns(_read(spark, sf_dir, "conversations")), "turns")
+    convs = turns.where("place = 0").select("conv_id", "size", (F.col("conv_id") - F.col("conv_id") % 100).alias("base"), (F.crc32(F.col("conv_id").cast("string")) % 6).alias("h"))
+    taken = F.least("h", F.coalesce("base_size", F.lit(0))).alias("taken")
+    bases = convs.select(F.col("conv_id").alias("_b"), F.col("size").alias("base_size"))
+    convs = storage.materialize(convs.join(bases, F.col("base") == F.col("_b"), "left").select("conv_id", "base", "h", "size", taken), "convs", compact=True)
+    lent = turns.where("place < 6").select(F.col("conv_id").alias("_b"), "place", "said", "tokens").join(convs, (F.col("base") == F.col("_b")) & (F.col("place") < F.col("taken")))
+    own = turns.select(F.col("conv_id").alias("_c"), "place", "said", "tokens").join(convs, (F.col("conv_id") == F.col("_c")) & (F.col("place") >= F.col("h")))
+    rebuilt = lent.select("conv_id", "place", "said", "tokens").unionAll(own.select("conv_id", F.col("place") - F.col("h") + F.col("taken"), "said", "tokens"))
+    lengths = convs.select("conv_id", (F.col("taken") + F.greatest(F.col("size") - F.col("h"), F.lit(0))).alias("length"))
+    return trie.prefix_trie(rebuilt, lengths).drop("enters")
+
+
+_CRC_TABLE = "table_crc as materialized (select k, list_reduce(list_prepend(k, range(8)), lambda c, b: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v from (select unnest(range(256)) as k)), crcs as materialized (select list(v order by k) as t from table_crc)"
+
+
+def _crc_sql(id_column: str) -> str:
+    """CRC-32 of a decimal id, where ``t`` of ``crcs`` is in reach."""
+    chars = f"list_transform(string_split({id_column}::varchar, ''), lambda c: ascii(c)::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {chars}), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
+
+OP11_SQL = f"""
+with {_CRC_TABLE},
+turns as materialized (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as place
+  from conversations where conv_id is not null),
+sizes as (select conv_id, count(*) as size from turns group by conv_id),
+convs as materialized (select c.conv_id, c.h, c.size, c.base, least(c.h, coalesce(b.size, 0)) as taken from (select conv_id, size, conv_id - conv_id % 100 as base, {_crc_sql("conv_id")} % 6 as h from sizes, crcs) c left join sizes b on b.conv_id = c.base),
+rebuilt as materialized (
+  select c.conv_id, t.place, t.role, t.text from convs c join turns t on t.conv_id = c.base and t.place < c.taken
+  union all select c.conv_id, t.place - c.h + c.taken, t.role, t.text from convs c join turns t on t.conv_id = c.conv_id and t.place >= c.h),
+members as materialized (
+  select conv_id, place + 1 as depth, length(text) as tokens, string_agg(sha256(octet_length(encode(role)) || ':' || role || text), '' order by place) over (partition by conv_id order by place) as k from rebuilt
+  union all select conv_id, 0, 0, '' from convs),
+nodes as materialized (select k, depth, min(conv_id) as conv_id, count(*) as n_convs, min(tokens) as tokens from members group by k, depth),
+ups as materialized (select n.k, n.depth, m.k as up, m.depth as up_depth from nodes n join members m on m.conv_id = n.conv_id and m.depth <= n.depth),
+children as (select up as k, count(*) as n_children from ups where up_depth = depth - 1 group by up),
+parents as (select u.k, p.conv_id as parent_conv_id from ups u join nodes p on p.k = u.up where u.up_depth = u.depth - 1),
+inside as (select u.up as k, count(*) filter (c.k is null) as n_leaves, sum((n.n_convs - 1) * n.tokens) as saved_tokens from ups u join nodes n on n.k = u.k left join children c on c.k = u.k group by u.up),
+ends as (select m.k, string_agg(m.conv_id::varchar, ',' order by m.conv_id) as ids from members m join (select conv_id, max(depth) as depth from members group by conv_id) l on l.conv_id = m.conv_id and l.depth = m.depth group by m.k)
+select n.conv_id, n.depth::bigint as depth, p.parent_conv_id, n.n_convs::bigint as n_convs, coalesce(c.n_children, 0)::bigint as n_children, i.n_leaves::bigint as n_leaves, i.saved_tokens::bigint as saved_tokens, sha256(coalesce(e.ids, '')) as ends_sha256
+from nodes n join inside i on i.k = n.k left join parents p on p.k = n.k left join children c on c.k = n.k left join ends e on e.k = n.k
+"""
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is cut from every document because an earlier one has it: passages of 50 bytes and more."""
     found = suffixes.remove_repeats(_read(spark, sf_dir, "documents"))
@@ -312,9 +359,8 @@ def _op13_sql(most: int = 24) -> str:
     field = lambda f, v: f"coalesce(octet_length(encode(({v})::varchar)) || ':' || ({v})::varchar, '-')"
     leaf = lambda change: "sha256(" + " || ".join(field(f, f"n_chars + {change}" if f == "n_chars" else f) for f in manifest.FIELDS) + ")"
     parts = [
-        "table_crc as materialized (select k, list_reduce(list_prepend(k, range(8)), lambda c, b: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v from (select unnest(range(256)) as k))",
-        "crcs as materialized (select list(v order by k) as t from table_crc)",
-        "docs as materialized (select documents.*, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) as crc from documents, crcs)",
+        _CRC_TABLE,
+        f"docs as materialized (select documents.*, {_crc_sql('doc_id')} as crc from documents, crcs)",
         f"leaves as materialized (select doc_id, lang, {leaf(0)} as leaf, case when crc % 7 = 0 then {leaf(1)} else {leaf(0)} end as claimed from docs)",
         "l0 as materialized (select doc_id, lang as tree, leaf as hash, claimed, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as place, count(*) over (partition by lang) as n from leaves)",
     ]
@@ -360,6 +406,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": op8_url_filter,
         "op9_chat_format": op9_chat_format,
         "op10_warc_revisits": op10_warc_revisits,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_suffix_dedup": op12_suffix_dedup,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
@@ -367,7 +414,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL where DuckDB can express the query."""
-    found = {"op1_mix_sources": OP1_SQL, "op2_quality_rules": OP2_SQL, "op5_secret_scan": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_chat_format": OP9_SQL, "op10_warc_revisits": OP10_SQL, "op12_suffix_dedup": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
+    found = {"op1_mix_sources": OP1_SQL, "op2_quality_rules": OP2_SQL, "op5_secret_scan": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_chat_format": OP9_SQL, "op10_warc_revisits": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_suffix_dedup": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found

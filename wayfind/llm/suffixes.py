@@ -39,8 +39,8 @@ from wayfind.storage import materialize, release
 MIN_LENGTH = 50
 MAX_RUN = 256
 BATCH_BYTES = 4 << 20
-BLOCK_BYTES = 1 << 20
-BUCKET_BYTES = 16 << 20
+BLOCK_BYTES = 128 << 10
+BUCKET_BYTES = 4 << 20
 TRANSFORM_BYTES = 512 << 10
 HOT_BYTES = 1 << 20
 
@@ -88,17 +88,19 @@ def runs(pieces: list[tuple[int, int, bytes]], min_length: int) -> tuple[np.ndar
     if not len(data) or sizes.max() < min_length:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
     ends = np.cumsum(sizes)
-    least = anchors(np.ascontiguousarray(data), min_length)
-    piece = np.repeat(np.arange(len(sizes)), np.maximum(sizes - min_length + 1, 0))
-    first = np.cumsum(np.maximum(sizes - min_length + 1, 0)) - np.maximum(sizes - min_length + 1, 0)
-    place = np.arange(len(piece)) - first[piece]
-    least = least[(ends - sizes)[piece] + place]
-    new = np.ones(len(piece), bool)
-    new[1:] = (least[1:] != least[:-1]) | (piece[1:] != piece[:-1])
-    at = np.flatnonzero(new)
-    since = np.arange(len(piece)) - np.repeat(at, np.diff(np.append(at, len(piece))))
-    at = np.flatnonzero(since % MAX_RUN == 0)
-    return piece[at], place[at], np.diff(np.append(at, len(piece))), least[at]
+    least = anchors(data, min_length)
+    changes = np.flatnonzero(least[1:] != least[:-1]) + 1
+    at = np.union1d(changes, (ends - sizes)[sizes >= min_length])
+    piece = np.searchsorted(ends, at, "right")
+    stop = ends[piece] - min_length + 1  # of the piece's windows
+    whole = at < stop
+    windows = (np.minimum(np.append(at[1:], len(least)), stop) - at)[whole]
+    at, piece = at[whole], piece[whole]
+    cuts = -(-windows // MAX_RUN)
+    if cuts.max() > 1:
+        step = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        at, piece, windows = np.repeat(at, cuts) + step * MAX_RUN, np.repeat(piece, cuts), np.minimum(np.repeat(windows, cuts) - step * MAX_RUN, MAX_RUN)
+    return piece, at - (ends - sizes)[piece], windows, least[at]
 
 
 def blocks(texts: Iterable[tuple[int, bytes]], min_length: int) -> Iterator[list[tuple[int, int, bytes]]]:
