@@ -93,7 +93,7 @@ def test_equals_brute_force(spark, n):
 
 
 def test_hot_anchors_split_into_windows(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "HOT_BYTES", 100)
+    monkeypatch.setattr(suffixes, "HOT_RUNS", 2)
     docs = texts(5, 40, 150)
     assert got(suffixes.remove_repeats(spark.createDataFrame(docs, COLUMNS), 20)) == cut_slowly(docs, 20)
 

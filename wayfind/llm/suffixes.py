@@ -15,16 +15,18 @@ One transform of all texts would be one task's work, so suffixes are dealt out b
   wherever they are. Runs end at ``MAX_RUN`` windows, so that periodic texts do not add up.
 * Batches of documents send the anchors they have, sorted and packed by hash range, and get
   those back that a second document has too. All else cannot repeat and is never moved.
-* Equal strings are aggregated, with the least document of each, and strings are grouped by
-  anchor: all copies of a window meet in one group, whose transform is expanded there.
-* An anchor with more than ``HOT_BYTES`` of different strings is split into its windows.
+* Of the anchors they got back, batches send each different string once, packed and compressed
+  by bucket of anchors; all copies of a window meet in one bucket, whose transforms are expanded
+  there, and the answer goes back to the batch, which keeps where it has its strings.
+* An anchor with more than ``HOT_RUNS`` runs is split: each of its windows is a string of its
+  own, dealt out by its bytes. So a bucket holds a hot string once for each batch, not document.
 
 Between the steps are Parquet tables in the shared folder, so a lost executor costs its tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +40,12 @@ from wayfind.storage import materialize, release
 
 MIN_LENGTH = 50
 MAX_RUN = 256
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 BLOCK_BYTES = 128 << 10
 BUCKET_BYTES = 4 << 20
-TRANSFORM_BYTES = 512 << 10
-HOT_BYTES = 1 << 20
+HOT_RUNS = 1 << 14
+#: Transforms of a bucket of strings, and the bytes of strings, copies of other batches included, for one.
+TRANSFORMS, TRANSFORM_BYTES = 4, 512 << 10
 
 #: No byte of UTF-8: it ends every string of a transform.
 END = 0xFF
@@ -225,37 +228,45 @@ def _batched(docs: DataFrame) -> DataFrame:
     return map_texts(rows, cut, "batch long, row long, doc_id long, n_bytes long, text binary")
 
 
+def packed(data: bytes) -> bytes:
+    return pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+
+
+def _record(names: Sequence[str], columns: Iterable) -> pa.RecordBatch:
+    """A batch of columns of whole numbers or bytes."""
+    arrays = [pa.array(c, pa.binary() if len(c) and isinstance(c[0], bytes) else pa.int64()) for c in columns]
+    return pa.RecordBatch.from_arrays(arrays, names=names)
+
+
 def _asked(texts: DataFrame, buckets: int, min_length: int) -> DataFrame:
-    """(bucket, batch, anchors, several): the anchors of each batch, sorted and cut by hash range.
+    """(bucket, batch, anchors, tally): the anchors of each batch, sorted and cut by hash range.
 
-    ``anchors`` packs numbers of 64 bits; ``several`` has a byte for each, 1 if two documents of
-    the batch have it.
+    ``anchors`` packs numbers of 64 bits; ``tally`` has 16 bits for each: twice the runs that the
+    batch has of it, and one more if two documents have it.
     """
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch_of, held = None, []
 
         def told() -> Iterator[pa.RecordBatch]:
-            if not held:
+            keys, rows = (np.concatenate(x) for x in zip(*held, strict=True)) if held else ([], [])
+            if not len(keys):
                 return
-            keys, rows = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(keys, kind="stable")
             keys, rows = keys[order], rows[order]
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             several = np.maximum.reduceat(rows, first) != np.minimum.reduceat(rows, first)
+            tally = (2 * np.minimum(np.diff(np.append(first, len(keys))), (1 << 15) - 1) + several).astype(np.uint16)
             keys = keys[first]
             bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist()
             spans = list(zip(at, [*at[1:], len(keys)], strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(bucket[at].astype(np.int64)),
-                    pa.array([batch_of] * len(at), pa.int64()),
-                    pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()),
-                    pa.array([several[a:b].astype(np.uint8).tobytes() for a, b in spans], pa.binary()),
-                ],
-                names=["bucket", "batch", "anchors", "several"],
-            )
+            columns = [bucket[at].tolist(), [batch_of] * len(at), [keys[a:b].tobytes() for a, b in spans], [tally[a:b].tobytes() for a, b in spans]]
+            yield _record(["bucket", "batch", "anchors", "tally"], columns)
 
         def rows_of(group: list[tuple[int, bytes]]) -> None:
             for pieces in blocks(group, min_length):
@@ -276,159 +287,250 @@ def _asked(texts: DataFrame, buckets: int, min_length: int) -> DataFrame:
         yield from told()
 
     rows = texts.where(f"doc_id is not null and n_bytes >= {min_length}").select("batch", "row", "text")
-    return map_texts(rows, ask, "bucket long, batch long, anchors binary, several binary")
+    return map_texts(rows, ask, "bucket long, batch long, anchors binary, tally binary")
 
 
 def _answered(asked: DataFrame) -> DataFrame:
-    """(batch, anchors): of the anchors of each batch those that more than one document has."""
+    """(batch, n, anchors, hot): of the anchors of each batch those that more than one document has, and a byte for each."""
 
     def answer(table: pa.Table) -> pa.Table:
         lists = [np.frombuffer(x, np.uint64) for x in table["anchors"].to_pylist()]
         keys = np.concatenate(lists)
-        several = np.frombuffer(b"".join(table["several"].to_pylist()), np.uint8)
+        tally = np.frombuffer(b"".join(table["tally"].to_pylist()), np.uint16)
         order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
+        ordered, tally = keys[order], tally[order]
         first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-        group, starts = np.cumsum(first) - 1, np.flatnonzero(first)
-        shared = (np.diff(np.append(starts, len(keys))) > 1) | (np.maximum.reduceat(several[order], starts) > 0)
-        found = np.empty(len(keys), bool)
-        found[order] = shared[group]
-        ends = np.cumsum([len(x) for x in lists])
-        kept = [x[f].tobytes() for x, f in zip(lists, np.split(found, ends[:-1]), strict=True)]
-        return pa.table({"batch": table["batch"], "anchors": pa.array(kept, pa.binary())})
-
-    return asked.groupBy("bucket").applyInArrow(answer, "batch long, anchors binary").where("length(anchors) > 0")
-
-
-def _candidates(texts: DataFrame, answers: DataFrame, parts: int, min_length: int) -> DataFrame:
-    """(anchor, string, text, least, rows, docs, starts): the strings whose anchor repeats.
-
-    One row for each string of a batch, with all places where the batch has it; ``string`` is a
-    hash of 128 bits, ``least`` the least document.
-    """
+        starts = np.flatnonzero(first)
+        sizes = np.diff(np.append(starts, len(keys)))
+        shared = (sizes > 1) | (np.maximum.reduceat(tally & 1, starts) > 0)
+        hot = np.add.reduceat(tally >> 1, starts, dtype=np.int64) > HOT_RUNS
+        state = np.empty(len(keys), np.uint8)  # 0: no other document, 1: shared, 2: hot too
+        state[order] = np.repeat(shared.astype(np.uint8) * (1 + hot), sizes)
+        states = np.split(state, np.cumsum([len(x) for x in lists])[:-1])
+        kept = [x[f > 0].tobytes() for x, f in zip(lists, states, strict=True)]
+        marks = [(f[f > 0] == 2).astype(np.uint8).tobytes() for f in states]
+        return pa.table({"batch": table["batch"], "n": pa.array([len(m) for m in marks], pa.int64()), "anchors": pa.array(kept, pa.binary()), "hot": pa.array(marks, pa.binary())})
+
+    return asked.groupBy("bucket").applyInArrow(answer, "batch long, n long, anchors binary, hot binary").where("n > 0")
+
+
+def _with_texts(told: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
+    """For each batch first the rows of ``told`` (batch, a, b, c), then its documents, as (batch, kind, row, doc_id, a, b, c)."""
+    none = F.lit(None)
+    left = told.select("batch", F.lit(0).alias("kind"), none.cast("long").alias("row"), none.cast("long").alias("doc_id"), "a", "b", "c")
+    right = texts.select("batch", F.lit(1).alias("kind"), "row", "doc_id", F.col("text").alias("a"), none.cast("binary").alias("b"), none.cast("binary").alias("c"))
+    return left.unionAll(right).repartition(parts, "batch").sortWithinPartitions("batch", "kind")
+
+
+class _Strings:
+    """The different strings of one batch, and where the batch has each."""
+
+    FIELDS = ("bucket", "batch", "size", "texts", "sizes", "least", "sub", "n_places", "places")
+    SCHEMA = "bucket long, batch long, size long, texts binary, sizes binary, least binary, sub binary, n_places long, places binary"
+
+    def __init__(self, buckets: int):
+        self.buckets, self.known = buckets, {}
+
+    def add(self, text: bytes, key: int, row: int, doc: int, start: int) -> None:
+        if (seen := self.known.get(text)) is None:
+            seen = self.known[text] = (key, [], [], [])
+        seen[1].append(row)
+        seen[2].append(doc)
+        seen[3].append(start)
+
+    def told(self, batch: int | None) -> Iterator[pa.RecordBatch]:
+        """One row for each bucket: strings packed with their sizes, least documents and transforms, and their places apart."""
+        if not self.known:
+            return
+        texts, found = list(self.known), list(self.known.values())
+        slot = np.array([f[0] for f in found], np.uint64) * MULTIPLIERS[0] >> np.uint64(32)
+        slot = (slot * np.uint64(self.buckets * TRANSFORMS) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        cuts = np.flatnonzero(np.diff(slot[order] // TRANSFORMS)) + 1
+        rows = []
+        for mine in np.split(order, cuts):
+            said, held = [texts[k] for k in mine.tolist()], [found[k] for k in mine.tolist()]
+            counts = np.array([len(f[1]) for f in held], np.int64)
+            places = np.concatenate([counts, *(np.array([x for f in held for x in f[k]], np.int64) for k in (1, 2, 3))])
+            data = b"".join(said)
+            least = np.array([min(f[2]) for f in held], np.int64)
+            sub = (slot[mine] % TRANSFORMS).astype(np.uint8)
+            sizes = np.array([len(t) for t in said], np.uint32)
+            rows.append((int(slot[mine[0]]) // TRANSFORMS, batch, len(data), packed(data), sizes.tobytes(), packed(least.tobytes()), sub.tobytes(), int(counts.sum()), packed(places.tobytes())))
+        self.known = {}
+        yield _record(self.FIELDS, zip(*rows, strict=True))
+
+
+def _candidates(texts: DataFrame, answers: DataFrame, parts: int, buckets: int, min_length: int) -> DataFrame:
+    """The strings whose anchor repeats, of every batch, by bucket, as ``_Strings`` packs them."""
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batch_of, known, found = None, [], {}
-
-        def told() -> Iterator[pa.RecordBatch]:
-            if found:
-                rows = list(found.values())
-                columns = [
-                    pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array(list(found), pa.binary()),
-                    pa.array([r[1] for r in rows], pa.binary()),
-                    pa.array([min(r[3]) for r in rows], pa.int64()),
-                    *(pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (2, 3, 4)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "string", "text", "least", "rows", "docs", "starts"])
-                found.clear()
+        batch_of, known, strings = None, [], _Strings(buckets)
 
         def search(group: list[tuple[tuple[int, int], bytes]]) -> None:
-            wanted = np.sort(np.concatenate(known)) if known else np.zeros(0, np.uint64)
-            known[:] = [wanted]
-            for pieces in blocks(group, min_length) if len(wanted) else ():
+            if not (known and group):
+                return
+            if len(known) > 1:
+                keys, hot = (np.concatenate(x) for x in zip(*known, strict=True))
+                order = np.argsort(keys)
+                known[:] = [(keys[order], hot[order])]
+            wanted, hot = known[0]
+            for pieces in blocks(group, min_length):
                 piece, place, windows, keys = runs(pieces, min_length)
                 at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
                 hit = wanted[at] == keys
-                ends = place + windows + min_length - 1
-                for k, a, b, key in zip(piece[hit].tolist(), place[hit].tolist(), ends[hit].tolist(), keys[hit].view(np.int64).tolist(), strict=True):
+                for k, a, n, key, split in zip(piece[hit].tolist(), place[hit].tolist(), windows[hit].tolist(), keys[hit].tolist(), hot[at[hit]].tolist(), strict=True):
                     (row, doc), offset, data = pieces[k]
-                    said = data[a:b]
-                    name = xxhash.xxh3_128_digest(said)
-                    if (seen := found.get(name)) is None:
-                        seen = found[name] = (key, said, [], [], [])
-                    seen[2].append(row)
-                    seen[3].append(doc)
-                    seen[4].append(offset + a)
+                    if split:
+                        for b in range(a, a + n):
+                            text = data[b : b + min_length]
+                            strings.add(text, xxhash.xxh64_intdigest(text), row, doc, offset + b)
+                    else:
+                        strings.add(data[a : a + n + min_length - 1], key, row, doc, offset + a)
 
         group, size = [], 0
-        for batch, kind, row, doc, data in _rows(batches):
+        for batch, kind, row, doc, data, marks, _ in _rows(batches, "a"):
             if batch != batch_of or size > BLOCK_BYTES:
                 search(group)
                 group, size = [], 0
             if batch != batch_of:
-                yield from told()
+                yield from strings.told(batch_of)
                 batch_of, known = batch, []
             if kind == 0:
-                known.append(np.frombuffer(data, np.uint64))
-            else:
+                order = np.frombuffer(data, np.uint64)
+                known.append((order, np.frombuffer(marks, np.uint8)))
+            elif doc is not None and len(data) >= min_length:
                 group.append(((row, doc), data))
                 size += len(data)
         search(group)
-        yield from told()
-
-    left = answers.select("batch", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("doc_id"), F.col("anchors").alias("text"))
-    right = texts.where(f"doc_id is not null and n_bytes >= {min_length}").select("batch", F.lit(1).alias("kind"), "row", "doc_id", "text")
-    both = left.unionAll(right).repartition(parts, "batch").sortWithinPartitions("batch", "kind")
-    return map_texts(both, find, "anchor long, string binary, text binary, least long, rows array<long>, docs array<long>, starts array<long>")
-
-
-def _expanded(strings: DataFrame, transforms: int, min_length: int) -> DataFrame:
-    """(string, least, earlier): for each string the runs of windows that a smaller document than ``least`` has."""
+        yield from strings.told(batch_of)
 
-    def expand(table: pa.Table) -> pa.Table:
-        docs = table["least"].to_numpy()
-        string, place, least = least_documents(table["text"].to_pylist(), docs, min_length)
-        early = np.concatenate([[False], least < docs[string], [False]])
-        opens = np.flatnonzero(early[1:-1] & (~early[:-2] | (place == 0)))
-        last = np.append(place[1:] == 0, True)
-        closes = np.flatnonzero(early[1:-1] & (~early[2:] | last))
-        spans = pa.StructArray.from_arrays([pa.array(place[opens]), pa.array(place[closes] + 1)], names=["a", "b"])
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(string[opens], minlength=len(docs)))]).astype(np.int32)
-        return pa.table({"string": table["string"], "least": table["least"], "earlier": pa.ListArray.from_arrays(offsets, spans)})
-
-    dealt = strings.select(F.pmod("anchor", F.lit(transforms)).alias("bucket"), "string", "text", "least")
-    return dealt.groupBy("bucket").applyInArrow(expand, "string binary, least long, earlier array<struct<a: long, b: long>>")
+    told = answers.select("batch", F.col("anchors").alias("a"), F.col("hot").alias("b"), F.lit(None).cast("binary").alias("c"))
+    return map_texts(_with_texts(told, texts, parts), find, _Strings.SCHEMA)
 
 
-def _by_window(strings: DataFrame, min_length: int) -> DataFrame:
-    """As ``_expanded``, for strings of hot anchors: each window is a group of its own.
+def _expanded(strings: DataFrame, min_length: int) -> DataFrame:
+    """(bucket, batch, least, n_early, early): for each string of a batch the least document that has it, and earlier windows.
 
-    Equal windows are aggregated before they are moved, so no group has more than one text.
+    ``least`` packs a number for each string; ``early`` the number of runs of windows that a
+    smaller document than ``least`` has, for each string, then their first and their last but one.
     """
-    n = F.octet_length("text") - min_length
-    each = strings.select("string", "least", F.posexplode(F.transform(F.sequence(F.lit(0), n), lambda k: F.substring(F.col("text"), k + 1, F.lit(min_length)))).alias("k", "w"))
-    least = each.groupBy("w").agg(F.min("least").alias("first"))
-    runs_of = F.array_agg(F.struct(F.col("k").cast("long").alias("a"), (F.col("k") + 1).cast("long").alias("b")))
-    found = each.join(least, "w").where("first < least").groupBy("string").agg(runs_of.alias("earlier"))
-    return strings.select("string", "least").join(found, "string", "left").select("string", "least", F.coalesce("earlier", F.array().cast("array<struct<a: long, b: long>>")).alias("earlier"))
-
-
-def _covered(found: DataFrame, expanded: DataFrame, min_length: int) -> DataFrame:
-    """(row, covered): by document the bytes that repeats cover, as structs of start and end."""
-    places = found.select("string", F.octet_length("text").cast("long").alias("size"), F.explode(F.arrays_zip("rows", "docs", "starts")).alias("p"))
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("size") - min_length + 1).alias("b")))
-    spans = places.join(expanded, "string").select("p.rows", "p.starts", F.explode(F.when(F.col("p.docs") > F.col("least"), whole).otherwise(F.col("earlier"))).alias("s"))
-    one = F.struct((F.col("starts") + F.col("s.a")).alias("start"), (F.col("starts") + F.col("s.b") + min_length - 1).alias("end"))
-    return spans.groupBy("rows").agg(F.array_agg(one).alias("covered")).withColumnRenamed("rows", "row")
 
-
-def _kept(texts: DataFrame, covered: DataFrame) -> DataFrame:
+    def expand(table: pa.Table) -> pa.Table:
+        number, texts, subs, docs, rows = {}, [], [], [], []
+        for size, data, sizes, least, sub in zip(*(table[c].to_pylist() for c in ("size", "texts", "sizes", "least", "sub")), strict=True):
+            sizes, data = np.frombuffer(sizes, np.uint32), unpacked(data, size)
+            ends = np.cumsum(sizes, dtype=np.int64).tolist()
+            mine = []
+            for a, b, s, doc in zip([0, *ends], ends, sub, np.frombuffer(unpacked(least, 8 * len(sizes)), np.int64).tolist(), strict=False):
+                text = data[a:b]
+                if (k := number.setdefault(text, len(texts))) == len(texts):
+                    texts.append(text)
+                    subs.append(s)
+                    docs.append(doc)
+                elif doc < docs[k]:
+                    docs[k] = doc
+                mine.append(k)
+            rows.append(np.array(mine))
+        docs, subs = np.array(docs, np.int64), np.array(subs)
+        of, first, last = [], [], []
+        for s in np.unique(subs):
+            mine = np.flatnonzero(subs == s)
+            string, place, least = least_documents([texts[k] for k in mine.tolist()], docs[mine], min_length)
+            early = np.concatenate([[False], least < docs[mine][string], [False]])
+            ends = np.append(place[1:] == 0, True)
+            opens, closes = np.flatnonzero(early[1:-1] & (~early[:-2] | (place == 0))), np.flatnonzero(early[1:-1] & (~early[2:] | ends))
+            of.append(mine[string[opens]])
+            first.append(place[opens])
+            last.append(place[closes] + 1)
+        of, first, last = (np.concatenate(x) for x in (of, first, last))
+        order = np.argsort(of, kind="stable")
+        of, first, last = of[order], first[order], last[order]
+        counts = np.bincount(of, minlength=len(docs))
+        starts = np.cumsum(counts) - counts
+        leasts, totals, early = [], [], []
+        for mine in rows:
+            n = counts[mine]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[mine], n)
+            leasts.append(packed(docs[mine].tobytes()))
+            totals.append(len(at))
+            early.append(packed(np.concatenate([n, first[at], last[at]]).astype(np.int64).tobytes()))
+        return pa.table({"bucket": table["bucket"], "batch": table["batch"], "least": pa.array(leasts, pa.binary()), "n_early": pa.array(totals, pa.int64()), "early": pa.array(early, pa.binary())})
+
+    rows = strings.select("bucket", "batch", "size", "texts", "sizes", "least", "sub")
+    return rows.groupBy("bucket").applyInArrow(expand, "bucket long, batch long, least binary, n_early long, early binary")
+
+
+def _covered(strings: DataFrame, expanded: DataFrame, min_length: int) -> DataFrame:
+    """(batch, a, b, c): rows of documents and the starts and ends of what repeats cover in them, packed."""
+
+    def cover(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sizes, n_places, places, least, n_early, early in (r for x in batches for r in zip(*(c.to_pylist() for c in x.columns), strict=True)):
+            sizes = np.frombuffer(sizes, np.uint32).astype(np.int64)
+            n = len(sizes)
+            least = np.frombuffer(unpacked(least, 8 * n), np.int64)
+            places = np.frombuffer(unpacked(places, 8 * (n + 3 * n_places)), np.int64)
+            row, doc, start = places[n:].reshape(3, n_places)
+            of = np.repeat(np.arange(n), places[:n])
+            early = np.frombuffer(unpacked(early, 8 * (n + 2 * n_early)), np.int64)
+            counts, (first, last) = early[:n], early[n:].reshape(2, n_early)
+            later, own = doc > least[of], np.flatnonzero(doc == least[of])
+            runs_of = counts[of[own]]
+            at = np.arange(runs_of.sum()) - np.repeat(np.cumsum(runs_of) - runs_of, runs_of) + np.repeat((np.cumsum(counts) - counts)[of[own]], runs_of)
+            own = np.repeat(own, runs_of)
+            rows = np.concatenate([row[later], row[own]])
+            starts = np.concatenate([start[later], start[own] + first[at]])
+            ends = np.concatenate([start[later] + sizes[of[later]], start[own] + last[at] + min_length - 1])
+            yield _record(["batch", "a", "b", "c"], [[batch], [rows.tobytes()], [starts.tobytes()], [ends.tobytes()]])
+
+    right = expanded.select(F.col("bucket").alias("_k"), F.col("batch").alias("_b"), "least", "n_early", "early")
+    both = strings.select("bucket", "batch", "sizes", "n_places", "places").join(right, (F.col("bucket") == F.col("_k")) & (F.col("batch") == F.col("_b")))
+    return map_texts(both.select("batch", "sizes", "n_places", "places", "least", "n_early", "early"), cover, "batch long, a binary, b binary, c binary").where("length(a) > 0")
+
+
+def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """The union of spans, as maximal ones in order."""
+    order = np.argsort(starts, kind="stable")
+    starts, reach = starts[order], np.maximum.accumulate(ends[order])
+    new = np.flatnonzero(np.concatenate([[True], starts[1:] > reach[:-1]]))
+    return list(zip(starts[new].tolist(), reach[np.append(new[1:], len(starts)) - 1].tolist(), strict=True))
+
+
+def _kept(texts: DataFrame, covered: DataFrame, parts: int) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): the maximal removed spans of each text, and what is left."""
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
-            spans, kept = [], []
-            lists = batch.column(3)
-            flat, places = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            starts, ends = (np.asarray(flat.field(k)) for k in (0, 1))
-            for text, at, n in zip(batch.column(2).to_pylist(), np.cumsum(places) - places, places, strict=True):
-                if not n:
-                    spans.append([])
-                    kept.append(text)
-                    continue
-                a, b = starts[at : at + n], ends[at : at + n]
-                order = np.argsort(a, kind="stable")
-                a, reach = a[order], np.maximum.accumulate(b[order])
-                new = np.flatnonzero(np.concatenate([[True], a[1:] > reach[:-1]]))
-                runs_of = list(zip(a[new].tolist(), reach[np.append(new[1:], n) - 1].tolist(), strict=True))
-                spans.append([{"start": s, "end": e} for s, e in runs_of])
-                kept.append(b"".join(text[s:e] for s, e in zip([0, *(e for _, e in runs_of)], [*(s for s, _ in runs_of), len(text)], strict=True)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, spans_type), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
-
-    rows = texts.join(covered.withColumnRenamed("row", "_of"), F.col("row") == F.col("_of"), "left").select("doc_id", "n_bytes", "text", "covered")
-    return map_texts(rows, cut, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+        batch_of, known, ready, done = None, [], False, []
+
+        def told() -> pa.RecordBatch:
+            columns = [pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in d[2]] for d in done], spans_type), pa.array([d[3] for d in done], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "spans", "kept"])
+
+        held = 0
+        for batch, kind, row, doc, data, starts, ends in _rows(batches, "a"):
+            if batch != batch_of:
+                batch_of, known, ready = batch, [], False
+            if kind == 0:
+                known.append(tuple(np.frombuffer(x, np.int64) for x in (data, starts, ends)))
+                continue
+            if known and not ready:
+                rows, starts, ends = (np.concatenate(x) for x in zip(*known, strict=True))
+                order = np.argsort(rows, kind="stable")
+                known = [(rows[order], starts[order], ends[order])]
+            ready = True
+            a, b = np.searchsorted(known[0][0], [row, row + 1]) if known else (0, 0)
+            spans = merged(known[0][1][a:b], known[0][2][a:b]) if b > a else []
+            kept = b"".join(data[s:e] for s, e in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(data)], strict=True))
+            done.append((doc, len(data), spans, kept))
+            held += len(data)
+            if held > 8 * BLOCK_BYTES:
+                yield told()
+                done, held = [], 0
+        if done:
+            yield told()
+
+    return map_texts(_with_texts(covered, texts, parts), cut, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 
 def remove_repeats(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
@@ -447,16 +549,13 @@ def remove_repeats(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     # A window of n bytes has a run of its own in two of (n - gram) at most: bytes of anchors follow from bytes of text.
     buckets = 1 + 16 * n_bytes // (min_length - gram_of(min_length) + 2) // BUCKET_BYTES
     answers = materialize(_answered(_asked(texts, buckets, min_length)), "anchors")
-    found = materialize(_candidates(texts, answers, max(parts, cores, n_bytes // (8 * BATCH_BYTES)), min_length), "strings", codec="zstd")
+    known = answers.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    size = known * (min_length + (min_length - gram_of(min_length)) // 2)
+    parts = max(parts, cores, n_bytes // (4 * BATCH_BYTES))
+    strings = materialize(_candidates(texts, answers, parts, 1 + size // (TRANSFORMS * TRANSFORM_BYTES), min_length), "strings")
     release(answers)
-    strings = materialize(found.groupBy("anchor", "string").agg(F.first("text").alias("text"), F.min("least").alias("least")), "distinct-strings", codec="zstd")
-    sizes = strings.groupBy("anchor").agg(F.sum(F.octet_length("text")).alias("size"))
-    hot = materialize(sizes.where(f"size > {HOT_BYTES}").select(F.col("anchor").alias("_hot")), "hot", compact=True)
-    transforms = 1 + strings.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // TRANSFORM_BYTES
-    cool, warm = strings.join(hot, F.col("anchor") == F.col("_hot"), "left_anti"), strings.join(hot, F.col("anchor") == F.col("_hot"), "left_semi")
-    expanded = materialize(_expanded(cool, transforms, min_length).unionAll(_by_window(warm, min_length)), "expanded")
+    expanded = materialize(_expanded(strings, min_length), "expanded")
+    covered = materialize(_covered(strings, expanded, min_length), "covered", codec="zstd")
     release(strings)
-    covered = materialize(_covered(found, expanded, min_length), "covered")
-    release(found)
     release(expanded)
-    return _kept(texts, covered)
+    return _kept(texts, covered, parts)
