@@ -4,7 +4,7 @@ No grammars are at hand, so declarations are found by patterns on a source whose
 and strings are blanked, references by scanning its identifiers with the brackets around
 them; whether Python parses is asked of its own parser. What this subset cannot see
 (overloads, generated names, macros' insides) is not reported; a file with unbalanced
-brackets, or that Python refuses, gets a parse_error finding and status partial.
+brackets, or that Python refuses, gets a parse_error finding for each misfit and status partial.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfind.operators.syntax import MAX_DEPTH
 from wayfind.schemas import SYMBOLS
 from wayfind.session import share_code
 
@@ -222,15 +223,24 @@ def _bodies(blanked: str, found: list[tuple[int, int, str, str]], containers: fr
 _OWNER = {"go": re.compile(r"^func\s*\(\s*(?:\w+\s+)?\*?\s*([A-Za-z_]\w*)[^)]*\)\s*$", re.MULTILINE), "lua": re.compile(r"\bfunction\s+([A-Za-z_]\w*)[.:]$")}
 
 
-def _unbalanced(blanked: str) -> int | None:
-    """Where a bracket has no partner, or None."""
-    stack, close = [], {")": "(", "]": "[", "}": "{"}
+def _misfits(blanked: str) -> Iterator[tuple[int, str]]:
+    """(place, what) of each bracket that does not fit; reading goes on after it. Nodes over the depth limit are left out."""
+    partner, depth, stack = {")": "(", "]": "[", "}": "{"}, 0, []
     for m in re.finditer(r"[()\[\]{}]", blanked):
         if m[0] in "([{":
+            depth += 1
+            if depth == MAX_DEPTH + 1:
+                yield m.start(), f"Syntax deeper than {MAX_DEPTH} levels is left out."
             stack.append((m[0], m.start()))
-        elif not stack or stack.pop()[0] != close[m[0]]:
-            return m.start()
-    return stack[-1][1] if stack else None
+        elif not stack:
+            yield m.start(), f"unexpected {m[0]}"
+        else:
+            depth -= 1
+            opener, at = stack.pop()
+            if opener != partner[m[0]]:
+                yield at, f"closed otherwise: {opener} {m[0]}"
+    for opener, at in stack:
+        yield at, f"unclosed {opener}"
 
 
 def imported_names(lang: str, statement: str) -> list[str]:
@@ -347,14 +357,14 @@ def parse(source: str, lang: str, max_symbols: int = 2_048) -> Parsed:
         add(start, end, kind, "reference", name, compact(lines[places.at(start)["line"] - 1]), "unknown", evidence)
     rows.sort(key=lambda r: (r["location"]["start"]["line"], r["location"]["start"]["column"], r["role"], r["name"]))
     findings, status = [], "complete"
-    broken = _unbalanced(blanked) if lang != "ruby" else None
-    if lang == "python":
+    broken = sorted(_misfits(blanked)) if lang != "ruby" else []
+    if lang == "python" and not broken:
         try:
             ast.parse(source)
         except (SyntaxError, ValueError, RecursionError) as error:
-            broken = places.starts[min(len(places.starts), max(1, getattr(error, "lineno", 1) or 1)) - 1]
-    if broken is not None:
-        findings.append({"kind": "parse_error", "location": places.span(broken, broken), "detail": "the syntax is incomplete here"})
+            broken = [(places.starts[min(len(places.starts), max(1, getattr(error, "lineno", 1) or 1)) - 1], "the syntax is incomplete here")]
+    for at, detail in broken:
+        findings.append({"kind": "parse_error", "location": places.span(at, at), "detail": detail})
         status = "partial"
     cut = len(rows) > max_symbols
     if cut:
