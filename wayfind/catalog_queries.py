@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from wayfind.suite import history, parsing, reports, scalars, streams, structure, syntax  # noqa: F401
+from wayfind.suite import history, parsing, reports, scalars, streams, structure, syntax, trees  # noqa: F401
