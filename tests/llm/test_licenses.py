@@ -1,4 +1,5 @@
 import random
+import time
 
 from wayfind.llm import licenses as L
 
@@ -101,3 +102,19 @@ def test_scan_equals_brute_force_over_all_windows():
         assert bool(got) == bool(want), (n, got, want)
         if share == 0:
             assert any(len(L.words_of(L.TEMPLATES[a][b].encode())) >= len(words) for a, b in got)
+
+
+def test_many_copies_in_one_text_are_all_found_in_time():
+    began = time.perf_counter()
+    found = L.Templates(L.TEMPLATES).scan(b"All rights reserved. " * 40_000)
+    assert len(found) == 40_000 and [f[3] for f in found] == list(range(0, 120_000, 3))
+    assert time.perf_counter() - began < 15
+
+
+def test_kept_copies_are_those_of_comparing_each_with_all():
+    known, rng = L.Templates(L.TEMPLATES), random.Random(8)
+    parts = [t for texts in L.TEMPLATES.values() for t in texts if len(t) < 2_000] + ["Copyright 2001 Some Body", "filler words that are none"]
+    for _ in range(15):
+        text = " ".join(w for t in rng.choices(parts, k=6) for w in t.split() if rng.random() > 0.02).encode()
+        found = known.scan(text)
+        assert all(a[4] <= b[3] for a, b in zip(found, found[1:], strict=False))

@@ -1,7 +1,9 @@
 import hashlib
 import re
+import time
 
 import duckdb
+from pyspark.sql import functions as F
 
 from tests.compare import SF, connection, rows
 from wayfind import storage
@@ -131,3 +133,18 @@ def test_aliases_and_precedence(spark):
     assert {r["page_id"]: r["verdict"] for r in url_filter.judge(two).collect()} == {1: "block", 2: "block"} and len(block_alias) == 2
     log = spark.createDataFrame([("https://lone.org/", "https://bad.net/fr/"), (None, "x")], "from_url string, to_url string")
     assert {r["verdict"] for r in url_filter.judge(frame.where("page_id = 13"), redirects=log).collect()} == {"block"}
+
+
+def test_broken_tags_cost_one_way_through_the_page(spark):
+    """Unclosed tags, quotes and white space by the megabyte; what is whole before them still counts."""
+    head = '<link rel="canonical" href="http://b/x">'
+    pages = [
+        (1, "http://a/1", head + "<link " * 170_000, 0), (2, "http://a/2", "<meta http-equiv=refresh " * 40_000, 0), (3, "http://a/3", "<link " * 100_000 + ">", 0),
+        (4, "http://a/4" + " " * 200_000 + "x", head + "<link rel='" * 90_000, 0), (5, "http://a/5 \n", "<" * 1_000_000, 0),
+    ]
+    began = time.perf_counter()
+    got = {r.base: r.link for r in url_filter.page_links(spark.createDataFrame(pages, PAGES)).where("link is not null").collect()}
+    assert got == {"http://a/1": "http://b/x", pages[3][1]: "http://b/x"}
+    nodes = [r[0] for r in spark.createDataFrame(pages, PAGES).orderBy("page_id").select(url_filter.node_of(F.col("url"))).collect()]
+    assert nodes == ["http://a/1", "http://a/2", "http://a/3", pages[3][1], "http://a/5"]
+    assert time.perf_counter() - began < 60

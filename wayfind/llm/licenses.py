@@ -12,7 +12,7 @@ template's words that are aligned.
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -178,11 +178,14 @@ class Templates:
                 matched = _densest(align(own, words[start:end]), len(own))
                 if len(matched) >= MIN_COVERAGE * len(own):
                     found.append((len(matched), name, variant, len(matched) / len(own), start + matched[0][1], start + matched[-1][1] + 1))
+        starts: list[int] = []  # of the copies kept, which do not overlap, so only the neighbours can
         kept: list[tuple] = []
         for row in sorted(found, key=lambda r: (-r[0], -r[3], r[1], r[2], r[4])):
-            if all(row[5] <= k[4] or k[5] <= row[4] for k in kept):
-                kept.append(row)
-        return [row[1:] for row in sorted(kept, key=lambda r: r[4])]
+            k = bisect_right(starts, row[4])
+            if (not k or kept[k - 1][5] <= row[4]) and (k == len(kept) or row[5] <= starts[k]):
+                starts.insert(k, row[4])
+                kept.insert(k, row)
+        return [row[1:] for row in kept]
 
     @staticmethod
     def _windows(by_diagonal: dict[int, set[int]], size: int, total: int) -> list[tuple[int, int]]:

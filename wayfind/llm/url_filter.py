@@ -56,8 +56,9 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 def node_of(url: Column) -> Column:
     """A url as a node: white space trimmed, the fragment dropped, scheme and host lowered."""
-    part = lambda k: F.regexp_extract(url, r"(?s)^\s*([A-Za-z][A-Za-z0-9+.-]*://)([^/?#]*)([^#]*?)\s*(?:#.*)?$", k)
-    rest = F.regexp_replace(part(3), "^$", "/")
+    part = lambda k: F.regexp_extract(url, r"(?s)^\s*+([A-Za-z][A-Za-z0-9+.-]*://)([^/?#]*+)([^#]*+)", k)
+    rest = F.rtrim(part(3), F.lit(" \t\n\x0b\f\r"))
+    rest = F.when(rest == "", "/").otherwise(rest)
     return F.when(part(1) != "", F.concat(F.translate(F.concat(part(1), part(2)), _UPPER, _LOWER), rest))
 
 
@@ -86,6 +87,8 @@ def _attribute(tag: Column, name: str) -> Column:
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(base, link): each page's url, and its canonical links and refresh targets as written."""
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
+    # What follows the last tag end holds no whole tag, and in the rest each opening finds its end: one way through the page.
+    html = F.left(html, F.length(html) - F.length(F.substring_index(html, ">", -1)))
     tags = F.regexp_extract_all(html, F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))
     tags = F.filter(tags, lambda tag: tag.rlike("(?i)canonical|refresh"))
     tag = F.col("tag")
