@@ -1,12 +1,14 @@
 import os
 import subprocess
+from dataclasses import replace
 
 import pytest
 
 from wayfind.operators import history as H
+from wayfind.operators import trees as T
 from wayfind.plans import report
 from wayfind.plans.engine import Repository
-from wayfind.settings import BUG_KEYWORDS, FIREFIGHTING_KEYWORDS, HistorySettings, MapSettings
+from wayfind.settings import BUG_KEYWORDS, COMPACT, FIREFIGHTING_KEYWORDS, HistorySettings, MapSettings
 from wayfind.sources import git
 
 NOW = 1_700_000_000
@@ -116,7 +118,9 @@ def test_observations():
     assert made["contributors"]["window"] == "overall" and made["activity"]["busiest"]["month"] == "2020-02"
     assert made["firefighting"]["paths"][0] == {"path": "b", "commits": 2}
     assert H.observations({}, {}) == []
-    assert H.completeness(True, 0, True) == {"status": "shallow", "authoritative": False}
+    assert H.completeness(True, 0, {"paths": 0}) == {"status": "shallow", "authoritative": False}
+    assert H.completeness(False, 0, {"paths": 3, "commits": 0}) == {"status": "partial", "authoritative": False, "losses": {"paths": 3}}
+    assert H.completeness(True, 0, {"unread_commits": 1})["status"] == "missing_objects"
 
 
 def test_whole_history_report(spark, repo):
@@ -127,3 +131,62 @@ def test_whole_history_report(spark, repo):
     assert "## Churn" in report.render_markdown(made)
     with pytest.raises(report.TooLarge):
         report.render_json(made, ceiling=10)
+
+
+def test_tree_comparison_equals_git_and_skips_equal_subtrees(spark, repo):
+    """Changed paths of every commit by joint descent over the objects themselves, and by Git's own diff."""
+    lines = sh(repo, "log", "--format=%H %T %P").split("\n")
+    commits = {x[0]: (x[1], x[2:]) for line in lines if (x := line.split())}
+    plain = [(c, commits[p[0]][0] if p else None, tree) for c, (tree, p) in commits.items() if len(p) < 2]
+    opened = []
+
+    def lookup(wanted):
+        opened.extend(r["tree"] for r in wanted.collect())
+        return git.tree_lookup(str(repo))(wanted)
+
+    found, lost = T.changed_paths(spark.createDataFrame(plain, "id string, old string, new string"), lookup)
+    assert {(r["id"], r["path"]) for r in found.collect()} == {(r["id"], r["path"]) for r in git.read(spark, "git_paths", str(repo)).where("path is not null").collect()}
+    assert lost.collect() == [] and len(opened) < 2 * sum(len(sh(repo, "ls-tree", "-r", "-t", t).split("\n")) for _, _, t in plain)
+    top = sh(repo, "rev-parse", "HEAD^{tree}").strip()
+    walked, lost = T.walk(spark.createDataFrame([("h", top)], "id string, tree string"), git.tree_lookup(str(repo)), prune=lambda p: p == "src")
+    assert {(r["path"], r["mode"], r["oid"]) for r in walked.collect()} == {(r["path"], r["mode"], r["oid"]) for r in git.read(spark, "git_tree", str(repo)).where("path not like 'src/%'").collect()}
+    assert lost.collect() == []
+
+
+def test_ceilings_of_trees_count_what_they_leave_out(spark):
+    entries = [("r", f"f{k}", "100644", f"o{k}") for k in range(6)] + [("r", "d", T.DIRECTORY, "s"), ("r", "gone", T.DIRECTORY, "x"), ("s", "a", "100644", "1"), ("s", "a", "100644", "2"), ("s", "b", "100644", "3")]
+    lookup = T.stored(spark.createDataFrame(entries, "tree string, name string, mode string, oid string"))
+    roots = spark.createDataFrame([("h", "r"), ("empty", "none")], "id string, tree string")
+    losses = lambda got: {(r["id"], r["reason"]): r["n"] for r in got[1].collect()}
+    whole = T.walk(roots, lookup)
+    assert losses(whole) == {("h", "missing"): 1, ("h", "collisions"): 1, ("empty", "missing"): 1}
+    assert sorted(r["path"] for r in whole[0].collect()) == ["d/a", "d/b", *(f"f{k}" for k in range(6))]
+    assert losses(T.walk(roots, lookup, max_nodes=4))["h", "nodes"] == 6 and losses(T.walk(roots, lookup, max_entries=3))["h", "entries"] == 5
+    assert losses(T.walk(roots, lookup, max_depth=1))["h", "depth"] == 2
+    pairs = spark.createDataFrame([("c", None, "r"), ("same", "r", "r"), ("d", "r", None)], "id string, old string, new string")
+    changed = T.changed_paths(pairs, lookup)
+    assert sorted((r["id"], r["path"], r["before"], r["after"]) for r in changed[0].collect() if r["path"] in ("d/b", "f0")) == [("c", "d/b", None, "3"), ("c", "f0", None, "o0"), ("d", "d/b", "3", None), ("d", "f0", "o0", None)]
+    assert losses(T.changed_paths(pairs, lookup, max_paths=5)) == {(i, r): n for i in ("c", "d") for r, n in (("missing", 1), ("collisions", 1), ("paths", 3))}
+
+
+def test_completeness_goes_by_what_the_scan_lost(spark, repo, monkeypatch):
+    def status(limits):
+        return Repository(spark, str(repo), MapSettings(), HistorySettings(now=NOW, limits=limits)).history()["completeness"]
+
+    assert status(replace(COMPACT, history_items=1)) == {"status": "complete", "authoritative": True}  # shown in part, counted in full
+    assert status(replace(COMPACT, commits=2)) == {"status": "partial", "authoritative": False, "losses": {"commits": 4}}
+
+
+def test_damaged_clone_is_said_to_miss_objects(spark, repo, tmp_path):
+    clone = tmp_path / "damaged"
+    subprocess.run(["git", "clone", "-q", "--no-hardlinks", str(repo), str(clone)], check=True, capture_output=True)
+    for pack in list((clone / ".git/objects/pack").glob("*.pack")):
+        moved = tmp_path / pack.name
+        pack.rename(moved)
+        with moved.open("rb") as data:
+            subprocess.run(["git", "-C", str(clone), "unpack-objects", "-q"], stdin=data, check=True)
+    tree = sh(repo, "rev-parse", "HEAD:src").strip()
+    (clone / ".git/objects" / tree[:2] / tree[2:]).unlink()
+    lost = git.read(spark, "git_paths", str(clone)).where("path is null").collect()
+    assert [r["lost"] for r in lost] == [-1]
+    assert H.completeness(False, 0, Repository(spark, str(clone), MapSettings(), HistorySettings(now=NOW)).losses)["status"] == "missing_objects"

@@ -167,10 +167,15 @@ def head_sizes(counts: DataFrame, blobs: DataFrame, settings: HistorySettings, t
     return folded.select("path", "commits", "size_bytes", rate.alias("commits_per_kib_milli"), "size_status")
 
 
-def completeness(shallow: bool, missing_objects: int, truncated: bool) -> dict[str, object]:
-    """Status by precedence, and whether counts can be relied on."""
-    status = "missing_objects" if missing_objects else "shallow" if shallow else "partial" if truncated else "complete"
-    return {"status": status, "authoritative": status == "complete"}
+def completeness(shallow: bool, missing_objects: int, losses: dict[str, int]) -> dict[str, object]:
+    """Status by precedence, and whether counts can be relied on.
+
+    ``losses`` counts what the scan of commits and paths left out, by reason. What a report does not
+    show for want of room is no loss: its counts are still right.
+    """
+    lost = {k: n for k, n in losses.items() if n}
+    status = "missing_objects" if missing_objects or lost.get("unread_commits") else "shallow" if shallow else "partial" if lost else "complete"
+    return {"status": status, "authoritative": status == "complete"} | ({"losses": lost} if lost else {})
 
 
 def observations(report: dict[str, list[dict]], totals: dict[str, int]) -> list[dict[str, object]]:

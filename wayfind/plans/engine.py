@@ -43,8 +43,20 @@ class Repository:
 
     @cached_property
     def commit_paths(self) -> DataFrame:
+        return self.read_paths.where("path is not null").select("id", "path")
+
+    @cached_property
+    def read_paths(self) -> DataFrame:
+        """Changed paths, and rows without one for what the source could not show."""
         return materialize(git.read(self.spark, "git_paths", self.top), "commit-paths")
 
+    @cached_property
+    def losses(self) -> dict[str, int]:
+        """What the sources left out: commits over the ceiling, paths over a commit's, commits whose trees cannot be read."""
+        lost = self.read_paths.where("path is null").agg(F.sum(F.greatest("lost", F.lit(0))).alias("paths"), F.count_if(F.col("lost") < 0).alias("unread")).first()
+        over = max(0, git.commit_count(self.top) - self.history_settings.limits.commits)
+        return {"commits": over, "paths": lost["paths"] or 0, "unread_commits": lost["unread"]}
+
     @cached_property
     def commits(self) -> DataFrame:
         return history.scoped_commits(self.all_commits, self.commit_paths, self.history_settings.scope)
@@ -74,7 +86,7 @@ class Repository:
             rows[name], sums[name] = report.bounded(df, most)
         rows["churn_sizes"] = report.rows_of(history.head_sizes(self.churn, blobs, s, most))
         out |= rows | {"collections": sums}
-        out["completeness"] = history.completeness(git.is_shallow(self.top), git.missing_objects(self.top), any(x["truncated"] for x in sums.values()))
+        out["completeness"] = history.completeness(git.is_shallow(self.top), git.missing_objects(self.top), self.losses)
         out["observations"] = history.observations(rows, {k: v["total"] for k, v in sums.items()})
         return out
 

@@ -11,8 +11,9 @@ from __future__ import annotations
 import os
 import re
 import subprocess
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -27,10 +28,17 @@ class RepositoryError(ValueError):
     """The folder is no repository, or the scope is not inside it."""
 
 
-def _git(repository: str, *args: str, check: bool = True) -> bytes:
-    env = {"PATH": os.environ.get("PATH", ""), "GIT_CONFIG_NOSYSTEM": "1", "GIT_CONFIG_GLOBAL": os.devnull, "GIT_OPTIONAL_LOCKS": "0", "LC_ALL": "C", "GIT_NO_REPLACE_OBJECTS": "1"}
+def _environment() -> dict[str, str]:
+    return {"PATH": os.environ.get("PATH", ""), "GIT_CONFIG_NOSYSTEM": "1", "GIT_CONFIG_GLOBAL": os.devnull, "GIT_OPTIONAL_LOCKS": "0", "LC_ALL": "C", "GIT_NO_REPLACE_OBJECTS": "1"}
+
+
+def _command(repository: str, *args: str) -> list[str]:
     safe = ["-c", f"safe.directory={repository}", "-c", "core.fsmonitor=false", "-c", "core.hooksPath=/dev/null", "-c", "diff.external=", "-c", "core.quotePath=false"]
-    done = subprocess.run(["git", *safe, "-C", repository, *args], capture_output=True, env=env, check=False)
+    return ["git", *safe, "-C", repository, *args]
+
+
+def _git(repository: str, *args: str, check: bool = True) -> bytes:
+    done = subprocess.run(_command(repository, *args), capture_output=True, env=_environment(), check=False)
     if check and done.returncode:
         raise RepositoryError(done.stderr.decode(errors="replace").strip() or f"git {args[0]} failed")
     return done.stdout
@@ -95,6 +103,71 @@ def mailmap_entry(line: str) -> tuple[str | None, str | None, str | None, str |
     return (name, None, None, email) if other_email is None else (name, email, other_name, other_email)
 
 
+def _record(record: bytes) -> tuple[str, str, str]:
+    """(mode, oid, path) of a line of ls-tree."""
+    meta, _, path = record.partition(b"\t")
+    mode, _, oid = meta.decode().split()
+    return mode, oid, path.decode("utf-8", "replace")
+
+
+def objects(repository: str, oids: Iterable[str]) -> Iterator[tuple[str, bytes | None]]:
+    """(kind, content) of objects in order, by one process for all of them; ("missing", None) for one that is not there."""
+    oids = iter(oids)
+    if (oid := next(oids, None)) is None:
+        return
+    git = subprocess.Popen(_command(repository, "cat-file", "--batch"), stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, env=_environment() | {"GIT_NO_LAZY_FETCH": "1"})
+    try:
+        while oid is not None:
+            git.stdin.write(f"{oid}\n".encode())
+            git.stdin.flush()
+            said = git.stdout.readline().split()
+            if len(said) == 3:
+                yield said[1].decode(), git.stdout.read(int(said[2]) + 1)[:-1]
+            elif said[-1:] == [b"missing"]:
+                yield "missing", None
+            else:
+                raise RepositoryError(f"object {oid} cannot be read")
+            oid = next(oids, None)
+    finally:
+        git.stdin.close()
+        git.stdout.close()
+        git.wait()
+
+
+def tree_entries(content: bytes, oid_bytes: int) -> Iterator[tuple[str, str, str]]:
+    """(name, mode, oid) of each entry of a tree object."""
+    at = 0
+    while at < len(content):
+        space, end = content.index(b" ", at), content.index(b"\0", at)
+        mode, name = content[at:space].decode().zfill(6), content[space + 1 : end].decode("utf-8", "replace")
+        at = end + 1 + oid_bytes
+        yield name, mode, content[end + 1 : at].hex()
+
+
+def tree_lookup(repository: str) -> Callable[[DataFrame], DataFrame]:
+    """The entries (tree, name, mode, oid) of trees by id, for ``operators.trees``: one process for each partition of ids."""
+
+    def entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted, rows = batch.column(0).to_pylist(), []
+            for tree, (kind, content) in zip(wanted, objects(repository, wanted), strict=True):
+                if kind == "tree":
+                    rows += [(tree, *e) for e in tree_entries(content, len(tree) // 2)]
+            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["tree", "name", "mode", "oid"])
+
+    def lookup(wanted: DataFrame) -> DataFrame:
+        share_code(wanted.sparkSession)
+        return wanted.select("tree").mapInArrow(entries, "tree string, name string, mode string, oid string")
+
+    return lookup
+
+
+def commit_count(repository: str) -> int:
+    """Commits that HEAD reaches, whatever ceiling a reader has."""
+    return int(_git(repository, "rev-list", "--count", "HEAD")) if head(repository) else 0
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
@@ -122,7 +195,7 @@ class CommitReader(_Reader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         limit = ["-n", self.options["max_commits"]] if "max_commits" in self.options else []
-        raw = _git(self.path, "log", "--date-order", *limit, f"--format={self.FORMAT}", "HEAD", check=False)
+        raw = _git(self.path, "log", "--date-order", *limit, f"--format={self.FORMAT}", "HEAD") if head(self.path) else b""
         for seq, record in enumerate(raw.split(b"\x00\x01\x00\n")[:-1]):
             oid, parents, name, email, author, committer, message = (x.decode("utf-8", "replace") for x in record.split(b"\0"))
             yield seq, oid, parents.split(), name, email, int(author), int(committer), message.rstrip("\n")
@@ -138,12 +211,14 @@ class GitCommits(_Source):
 
 class TreeReader(_Reader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for record in _git(self.path, "ls-tree", "-r", "-z", "--full-tree", self.options.get("tree", "HEAD"), check=False).split(b"\0"):
-            if record:
-                meta, _, path = record.partition(b"\t")
-                mode, kind, oid = meta.decode().split()
-                text = path.decode("utf-8", "replace")
-                yield text, mode, oid, (_git(self.path, "cat-file", "blob", oid) if self.options.get("content") == "true" and kind == "blob" else None)
+        tree = self.options.get("tree", "HEAD")
+        if tree == "HEAD" and not head(self.path):
+            return
+        listed = [_record(r) for r in _git(self.path, "ls-tree", "-r", "-z", "--full-tree", tree).split(b"\0") if r]
+        wanted = (oid for mode, oid, _ in listed if mode != "160000") if self.options.get("content") == "true" else ()
+        contents = objects(self.path, wanted)
+        for mode, oid, path in listed:
+            yield path, mode, oid, (next(contents)[1] if self.options.get("content") == "true" and mode != "160000" else None)
 
 
 class GitTree(_Source):
@@ -158,12 +233,14 @@ class GitTree(_Source):
 
 class IndexReader(_Reader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for record in _git(self.path, "ls-files", "-s", "-z", check=False).split(b"\0"):
-            if record:
-                meta, _, path = record.partition(b"\t")
-                mode, oid, stage = meta.decode().split()
-                content = _git(self.path, "cat-file", "blob", oid, check=False) if self.options.get("content") == "true" and mode != "160000" else None
-                yield path.decode("utf-8", "replace"), mode, oid, int(stage), content
+        listed = []
+        for record in filter(None, _git(self.path, "ls-files", "-s", "-z").split(b"\0")):
+            meta, _, path = record.partition(b"\t")
+            listed.append((*meta.decode().split(), path.decode("utf-8", "replace")))
+        content = self.options.get("content") == "true"
+        contents = objects(self.path, (oid for mode, oid, *_ in listed if mode != "160000") if content else ())
+        for mode, oid, stage, path in listed:
+            yield path, mode, oid, int(stage), (next(contents)[1] if content and mode != "160000" else None)
 
 
 class GitIndex(_Source):
@@ -180,22 +257,33 @@ class CommitRange(InputPartition):
 
 
 class PathReader(_Reader):
-    """Paths that each non-merge commit changed against its first parent, renames not followed."""
+    """Paths that each non-merge commit changed against its first parent, renames not followed.
+
+    A commit shows ``MAX_CHANGED_PATHS`` at most; one more row without a path has the number that it
+    ``lost`` to that, or -1 where its trees cannot be read.
+    """
 
     def partitions(self) -> list[InputPartition]:
-        raw = _git(self.path, "rev-list", "--parents", "HEAD", check=False).decode().split("\n")
+        raw = _git(self.path, "rev-list", "--parents", "HEAD").decode().split("\n") if head(self.path) else []
         ids = [(x[0], x[1] if len(x) > 1 else None) for line in raw if (x := line.split()) and len(x) < 3]
         return [CommitRange(ids[k : k + COMMITS_PER_PARTITION]) for k in range(0, len(ids), COMMITS_PER_PARTITION)] or [CommitRange([])]
 
     def read(self, partition: CommitRange) -> Iterator[tuple]:
         for oid, parent in partition.ids:
-            raw = _git(self.path, "diff-tree", "-r", "-z", "--no-renames", "--name-only", parent or EMPTY_TREES[len(oid)], oid, check=False)
-            for path in [x for x in raw.split(b"\0") if x][:MAX_CHANGED_PATHS]:
-                yield oid, path.decode("utf-8", "replace")
+            try:
+                raw = _git(self.path, "diff-tree", "-r", "-z", "--no-renames", "--name-only", parent or EMPTY_TREES[len(oid)], oid)
+            except RepositoryError:
+                yield oid, None, -1
+                continue
+            paths = [x for x in raw.split(b"\0") if x]
+            for path in paths[:MAX_CHANGED_PATHS]:
+                yield oid, path.decode("utf-8", "replace"), 0
+            if len(paths) > MAX_CHANGED_PATHS:
+                yield oid, None, len(paths) - MAX_CHANGED_PATHS
 
 
 class GitPaths(_Source):
-    reads, columns = PathReader, "id string, path string"
+    reads, columns = PathReader, "id string, path string, lost bigint"
 
     @classmethod
     def name(cls) -> str:
