@@ -9,8 +9,10 @@ into equality of keys, and a reference is joined once for all its repeats in a f
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind.functions import modules as M
@@ -174,16 +176,26 @@ def _small_page_rank(nodes: DataFrame, share: DataFrame, iterations: int, dampin
     return nodes.sparkSession.createDataFrame(list(zip(paths, rank.tolist(), strict=True)), "path string, rank double")
 
 
+def focus_terms(focuses: tuple[str, ...]) -> list[str]:
+    """Terms as they are sought: without white space around, in small letters, as often as they are named."""
+    return [f.strip().lower() for f in focuses if f.strip()]
+
+
+def _held(terms: list[str], *columns: str) -> Column:
+    """The places in ``terms`` of those that one of the columns holds, any number of them."""
+    texts = [F.lower(F.coalesce(c, F.lit(""))) for c in columns]
+    named = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(t).alias("t")) for k, t in enumerate(terms))) if terms else F.array().cast("array<struct<k:int,t:string>>")
+    return F.transform(F.filter(named, lambda x: reduce(lambda a, b: a | b, (F.contains(text, x["t"]) for text in texts))), lambda x: x["k"])
+
+
 def focus_matches(symbols: DataFrame, files: DataFrame, focuses: tuple[str, ...], focus_paths: tuple[str, ...]) -> DataFrame:
     """(path, text_matches, path_match): focus terms that a file's path or a symbol holds, and whether a focus path includes it."""
-    terms = [f.strip().lower() for f in focuses if f.strip()]
-    in_path = sum((F.lower("path").contains(t).cast("int") * 2**k for k, t in enumerate(terms)), F.lit(0))
-    base = files.select("path", in_path.alias("bits"), P.focus_includes(F.col("path"), focus_paths).alias("path_match"))
-    held = lambda t: F.lower("name").contains(t) | F.lower(F.coalesce("context", F.lit(""))).contains(t)
-    in_symbols = sum((held(t).cast("int") * 2**k for k, t in enumerate(terms)), F.lit(0))
-    found = symbols.groupBy("path").agg(F.bit_or(in_symbols).alias("more"))
-    both = base.join(found, "path", "left").withColumn("bits", F.col("bits").bitwiseOR(F.coalesce("more", F.lit(0))))
-    return both.select("path", F.bit_count("bits").cast("int").alias("text_matches"), "path_match")
+    terms = focus_terms(focuses)
+    base = files.select("path", P.focus_includes(F.col("path"), focus_paths).alias("path_match"))
+    in_path = files.select("path", F.explode(_held(terms, "path")).alias("term"))
+    in_symbols = symbols.select("path", F.explode(_held(terms, "name", "context")).alias("term"))
+    found = in_path.unionAll(in_symbols).distinct().groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("text_matches"))
+    return base.join(found, "path", "left").select("path", F.coalesce("text_matches", F.lit(0)).alias("text_matches"), "path_match")
 
 
 def file_ranking(ranks: DataFrame, matches: DataFrame) -> DataFrame:
@@ -197,9 +209,7 @@ def file_ranking(ranks: DataFrame, matches: DataFrame) -> DataFrame:
 def snippet_scores(symbols: DataFrame, ranking: DataFrame, counts: DataFrame, focuses: tuple[str, ...] = ()) -> DataFrame:
     """Definitions with their score: the file's, 1,000 for each use, 250,000 for each focus."""
     defs = symbols.where("role = 'definition'")
-    terms = [f.strip().lower() for f in focuses if f.strip()]
-    held = lambda t: F.lower("name").contains(t) | F.lower(F.coalesce("context", F.lit(""))).contains(t)
-    hits = sum((held(t).cast("long") for t in terms), F.lit(0).cast("long"))
+    hits = F.size(_held(focus_terms(focuses), "name", "context")).cast("long")
     joined = defs.join(ranking.select("path", F.col("score").alias("file_score")), "path", "left").join(counts, ["path", "name"], "left")
     score = F.coalesce("file_score", F.lit(0)) + F.coalesce("references", F.lit(0)) * 1_000 + hits * 250_000
     return joined.withColumn("score", score.cast("long")).drop("file_score", "references")

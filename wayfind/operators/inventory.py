@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind.functions import paths as P
 from wayfind.functions import text as X
 from wayfind.functions.labels import actionable_limitation
 from wayfind.settings import MapSettings
+from wayfind.storage import materialize
 
 STATE_ORDER = ("modified", "untracked", "tracked", "unknown")
 
@@ -88,8 +91,8 @@ def gated(found: DataFrame, settings: MapSettings) -> DataFrame:
 def greedy_within(rows: DataFrame, group: list[str], order: list[str], size: str, budget: int) -> DataFrame:
     """``rows`` with ``kept``: in each group, in order, each is taken if it still fits, else passed over.
 
-    A choice depends on all before it, so the rows of one repository meet in one fold; their
-    number is bounded by the ceiling on files.
+    A choice depends on all before it, so the rows of a group meet in one fold: for many small
+    groups. ``greedy_rounds`` does the same for large ones.
     """
     held = rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*order, size))).alias("rows"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("out"))
@@ -103,6 +106,49 @@ def greedy_within(rows: DataFrame, group: list[str], order: list[str], size: str
     return zipped.select(*group, *(F.col(f"z.rows.{c}").alias(c) for c in [*order, size]), F.col("z.kept").alias("kept"))
 
 
+def greedy_rounds(rows: DataFrame, group: list[str], order: list[str], size: str, budget: int) -> DataFrame:
+    """As ``greedy_within``, for groups of any size: rounds of running sums instead of a fold.
+
+    In a round all rows before the first that does not fit are taken, that one is passed over, and
+    of the rows after it those stay that are no larger than what is left. Rounds are as many as
+    the rows passed over for want of a little, few where sizes vary. Running sums go over sorted
+    partitions first and over the partitions' totals then, so that no task has a whole group.
+    A null size never fits; a negative one is refused.
+    """
+    keys = [*group, *order, size]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(*keys).repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    table = materialize(dealt.withColumn("_part", F.shiftright("_at", 33)), "greedy")
+    if table.where(F.col(size) < 0).limit(1).count():
+        raise ValueError(f"{size} must not be negative")
+    same = [F.col(g).eqNullSafe(F.col(f"_g{k}")) for k, g in enumerate(group)]
+    named = [F.col(g).alias(f"_g{k}") for k, g in enumerate(group)]
+    fits = reduce(lambda a, b: a & b, same, F.lit(True))
+    left = materialize(table.select(*group).distinct().select(*named, F.lit(budget).cast("long").alias("_left")), "left", compact=True)
+    rest, taken = table.where(F.col(size) <= budget).select(*group, size, "_at", "_part"), []
+    rest = materialize(rest, "rest")
+    while rest.limit(1).count():
+        sums = rest.groupBy("_part", *group).agg(F.sum(size).alias("_sum"))
+        before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.select(F.col("_part").alias("_p"), *named, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+        within = Window.partitionBy("_part", *group).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+        run = rest.withColumn("_run", F.sum(size).over(within)).join(sums, (F.col("_part") == F.col("_p")) & fits).drop("_p", *(f"_g{k}" for k in range(len(group))))
+        run = run.withColumn("_run", F.col("_run") + F.col("_before")).drop("_before").join(F.broadcast(left) if not group else left, fits)
+        run = materialize(run, "run")
+        first = run.groupBy(*(f"_g{k}" for k in range(len(group)))).agg(F.min(F.when(F.col("_run") > F.col("_left"), F.col("_at"))).alias("_first"), F.max(F.when(F.col("_run") <= F.col("_left"), F.col("_run"))).alias("_used"), F.max("_left").alias("_had"))
+        left = materialize(first.select(*(f"_g{k}" for k in range(len(group))), (F.col("_had") - F.coalesce("_used", F.lit(0))).alias("_left"), "_first"), "left", compact=True)
+        took = run.where("_run <= _left").select("_at")
+        taken.append(took)
+        later = run.select(*group, size, "_at", "_part").join(left, fits).where((F.col("_at") > F.col("_first")) & (F.col(size) <= F.col("_left")))
+        rest = materialize(later.select(*group, size, "_at", "_part"), "rest")
+        left = left.drop("_first")
+    every = table.select("_at").limit(0)
+    for more in taken:
+        every = every.unionAll(more)
+    marked = table.join(every.select(F.col("_at").alias("_taken")), F.col("_at") == F.col("_taken"), "left")
+    return marked.select(*keys, F.col("_taken").isNotNull().alias("kept"))
+
+
 def classification_summary(files: DataFrame) -> DataFrame:
     """(paths, generated, vendor, minified, source_map): a path may count under several kinds."""
     kinds = F.transform(P.classify(F.col("path")), lambda c: c["kind"])

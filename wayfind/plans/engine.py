@@ -128,8 +128,8 @@ class Repository:
         """Files that pass every gate, up to the ceilings on files and bytes."""
         s = self.map_settings.limits
         passed = self.candidates.where("omission_reason is null").orderBy("path").limit(s.files)
-        sized = passed.withColumns({"size": F.octet_length("content").cast("long"), "one": F.lit(1)})
-        kept = inventory.greedy_within(sized.select("one", "path", "size"), ["one"], ["path"], "size", s.source_bytes).where("kept").select("path")
+        sized = passed.select("path", F.octet_length("content").cast("long").alias("size"))
+        kept = inventory.greedy_rounds(sized, [], ["path"], "size", s.source_bytes).where("kept").select("path")
         return materialize(passed.join(kept, "path", "left_semi").withColumnRenamed("state", "worktree_state"), "eligible")
 
     @cached_property

@@ -92,6 +92,26 @@ def byte_budget(spark, d):
     return I.greedy_within(rows, ["l_orderkey"], ["l_linenumber", "l_partkey"], "size", 60)
 
 
+@register("byte_budget_single", """with s as (select l_orderkey, l_linenumber, l_quantity::bigint as size, row_number() over (order by l_orderkey, l_linenumber, l_quantity) as n from lineitem),
+  folded as (select list_reduce(list_prepend({'used': 0::bigint, 'kept': []::bigint[], 'n': 0::bigint, 'size': 0::bigint}, list({'used': 0::bigint, 'kept': []::bigint[], 'n': n, 'size': size} order by n)),
+    lambda a, x: case when a.used + x.size <= 2000 then {'used': a.used + x.size, 'kept': list_append(a.kept, x.n), 'n': 0::bigint, 'size': 0::bigint} else a end).kept as kept from s)
+  select l_orderkey, l_linenumber, size, n in (select unnest(kept) from folded) as kept from s""")
+def byte_budget_single(spark, d):
+    """All lines as the files of one repository, under one budget: no task has them all."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("size"))
+    return I.greedy_rounds(rows, [], ["l_orderkey", "l_linenumber"], "size", 2000)
+
+
+@register("byte_budget_rounds", """with recursive s as (select l_orderkey % 7 as g, l_orderkey, l_linenumber, l_quantity::bigint as size, row_number() over (partition by l_orderkey % 7 order by l_orderkey, l_linenumber, l_quantity) as n from lineitem where l_orderkey % 50 < 7),
+  f as (select g, l_orderkey, l_linenumber, size, n, size <= 300 as kept, case when size <= 300 then size else 0 end as used from s where n = 1
+    union all select s.g, s.l_orderkey, s.l_linenumber, s.size, s.n, f.used + s.size <= 300, case when f.used + s.size <= 300 then f.used + s.size else f.used end from f join s on s.g = f.g and s.n = f.n + 1)
+  select g, l_orderkey, l_linenumber, size, kept from f""")
+def byte_budget_rounds(spark, d):
+    """Seven repositories of many files each."""
+    rows = table(spark, d, "lineitem").where("l_orderkey % 50 < 7").select((F.col("l_orderkey") % 7).alias("g"), "l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("size"))
+    return I.greedy_rounds(rows, ["g"], ["l_orderkey", "l_linenumber"], "size", 300)
+
+
 # --- landmarks ----------------------------------------------------------------------------
 
 _ROOTS = f"""{WITH}, manifests as (select distinct regexp_replace(path, '/[^/]*$', '') as root, path as manifest, case when ends_with(path, 'Cargo.toml') then 'rust' else 'node' end as family from paths where regexp_matches(path, '/(Cargo[.]toml|package[.]json)$')),
@@ -287,6 +307,17 @@ def page_rank_distributed(spark, d):
     return _ranked(spark, d, 0)
 
 
+@register("focus_matches_many", f"""with {SYMBOLS_SQL}, f as (select distinct path from lines), terms as (select chr((97 + i // 10)::int) || chr((97 + i % 10)::int) || case when i % 3 = 0 then 'n' else '' end as t from (select unnest(range(200)) as i)),
+ hits as (select path, t from f, terms where contains(lower(path), t) union select path, t from words, terms where contains(lower(first_word), t) or (first_word <> '' and contains(lower(line), t))
+   or (((length(line) > 100) or (seq = 2 and doc_id % 3 = 0)) and contains(lower(last_word), t)))
+ select f.path, count(t)::int as text_matches, false as path_match from f left join hits using (path) group by f.path""")
+def focus_matches_many(spark, d):
+    """Two hundred focus terms at once."""
+    own = _symbols(spark, d)
+    terms = tuple(chr(97 + i // 10) + chr(97 + i % 10) + ("n" if i % 3 == 0 else "") for i in range(200))
+    return G.focus_matches(own, own.select("path").distinct(), terms, ())
+
+
 @register("focus_matches", f"""with {SYMBOLS_SQL}, f as (select distinct path from lines), s as (select path, bool_or(contains(lower(first_word), 'thon') or (first_word <> '' and contains(lower(line), 'thon'))) as a, bool_or(contains(lower(first_word), 'que') or (first_word <> '' and contains(lower(line), 'que'))) as b,
   bool_or(length(line) > 100 and contains(lower(last_word), 'thon')) as c, bool_or(length(line) > 100 and contains(lower(last_word), 'que')) as e, bool_or(seq = 2 and doc_id % 3 = 0 and contains(lower(last_word), 'thon')) as g, bool_or(seq = 2 and doc_id % 3 = 0 and contains(lower(last_word), 'que')) as h from words group by path)
   select path, ((a or c or g)::int + (b or e or h)::int)::int as text_matches, starts_with(path, 'pkg1/') as path_match from f join s using (path)""")
