@@ -7,6 +7,7 @@ import pytest
 
 from wayfind import cli, storage
 from wayfind.plans.engine import Repository, cache_control
+from wayfind.sources.snapshots import Snapshots
 from wayfind.settings import HistorySettings, MapSettings
 from wayfind.sources import git, worktree
 from wayfind.streaming.activity import keyword_alerts
@@ -156,13 +157,18 @@ def test_command_line(repo, tmp_path, spark):
 
 def test_cache_table(spark, tmp_path):
     path = str(tmp_path / "cache")
-    spark.sql("select 'r' as repository_id, 'a' as path, timestamp'2024-01-01' as created_at, 5L as bytes").write.parquet(path)
     import datetime
 
+    from wayfind.operators.cache import RECORDS
+
+    none = ", ".join(f"null as {c}" for c in ("language", "query_digest", "fingerprint", "payload"))
+    table = Snapshots(spark, path, RECORDS)
+    table.append(spark.sql(f"select 'r' as repository_id, 'a' as path, timestamp'2024-01-01' as created_at, 5L as bytes, {none}").select(*(c.split()[0] for c in RECORDS.split(", "))))
+
     assert cache_control(spark, path, "status").first()["bytes"] == 5
     assert cache_control(spark, path, "prune", datetime.datetime(2024, 1, 5)).first()["records"] == 1
     cache_control(spark, path, "clear")
-    assert spark.read.parquet(path).count() == 0
+    assert table.read().count() == 0 and table.versions() == [1, 2, 3]
 
 
 def test_shared_tables(spark):

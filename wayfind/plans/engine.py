@@ -14,6 +14,7 @@ from wayfind.plans import explain as explaining
 from wayfind.plans import reading, report
 from wayfind.settings import HistorySettings, MapSettings
 from wayfind.sources import git, parser, worktree
+from wayfind.sources.snapshots import Snapshots
 from wayfind.storage import materialize
 
 
@@ -152,7 +153,7 @@ class Repository:
         every = materialize(looked.where(known).drop("content").unionByName(made), "payloads")
         if self.cache_path and mode != "no_cache":
             now = F.timestamp_seconds(F.lit(self.history_settings.now))
-            cache.records_of(every.where(F.col("cache_status").isin("refreshed", "forced")), now).write.mode("append").parquet(self.cache_path)
+            Snapshots(self.spark, self.cache_path, cache.RECORDS).append(cache.records_of(every.where(F.col("cache_status").isin("refreshed", "forced")), now))
         return materialize(parser.read_payload(every).drop("payload"), "parsed")
 
     @cached_property
@@ -265,27 +266,22 @@ class Repository:
 
 def cache_records(spark: SparkSession, path: str | None) -> DataFrame:
     """The records of a cache table; none where there is no table yet."""
-    if path:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-            return spark.read.schema(cache.RECORDS).parquet(path)
-    return spark.createDataFrame([], cache.RECORDS)
+    return Snapshots(spark, path, cache.RECORDS).read() if path else spark.createDataFrame([], cache.RECORDS)
 
 
 def cache_control(spark: SparkSession, path: str, action: str, now: object = None) -> DataFrame | None:
     """status, prune or clear of a cache table at a path, as of ``now`` (None: the wall clock).
 
-    prune writes what is kept beside the table before it takes the table's place.
+    prune and clear commit a new version; a run that adds records meanwhile loses none.
     """
-    records = cache_records(spark, path)
+    table = Snapshots(spark, path, cache.RECORDS)
     now = F.current_timestamp() if now is None else F.lit(now)
     if action == "status":
-        return cache.totals(records)
+        return cache.totals(table.read())
     if action == "prune":
-        kept = materialize(cache.retained(records, now), "cache")
-        kept.write.mode("overwrite").parquet(path)
-        return cache.totals(kept)
+        table.replace(lambda records: cache.retained(records, now))
+        return cache.totals(table.read())
     if action == "clear":
-        records.limit(0).write.mode("overwrite").parquet(path)
+        table.replace(lambda records: records.limit(0))
         return None
     raise ValueError(f"unknown cache action {action!r}")
