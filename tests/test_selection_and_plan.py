@@ -121,3 +121,19 @@ def test_explain_targets(spark):
     assert (kind("./src/a.rs"), kind("run"), kind("M::run"), kind("other/b.rs"), kind("zzz")) == ("path", "symbol", "symbol", "path", "unmatched")
     with pytest.raises(ValueError):
         kind(" ")
+
+
+def test_shrunk_rows_are_those_that_shrinking_leaves(spark):
+    from wayfind.operators import selection
+
+    rows = [(c, k, "x" * ((k * 7 + len(c)) % 23), None) for c in ("findings", "edges", "omissions", "other") for k in range(9)]
+    df = spark.createDataFrame(rows, "collection string, place long, path string, note string")
+    df = df.withColumn("tokens", selection.text_tokens(df, ["path", "note"]))
+    report = {c: [{"path": r[2], "note": None} for r in rows if r[0] == c] for c in ("findings", "edges", "omissions")}
+    whole = selection.payload_tokens(report)
+    for budget in (0, 1, whole // 3, whole // 2, whole - 1, whole, whole + 5):
+        left = selection.shrink(report, budget)
+        got = selection.shrunk(df, budget).collect()
+        assert {c: sorted(r["place"] for r in got if r["collection"] == c) for c in report} == {c: list(range(len(v))) for c, v in left.items()}
+        assert sum(r["collection"] == "other" for r in got) == 9
+    assert selection.shrunk(df.limit(0), 5).collect() == []

@@ -163,18 +163,32 @@ def collection_summary(total: int, returned: int, reason: str) -> dict[str, obje
     return {"total": total, "returned": returned, "truncated": cut, "reason": reason if cut else None}
 
 
-def availability(files: DataFrame, omissions: DataFrame) -> dict[str, object]:
-    """Counts and names of what a map could not show in full.
+def collection_rows(name: str, rows: DataFrame, most: int, reason: str = "collection_limit") -> DataFrame:
+    """(name, total, returned, truncated, reason) of a collection of which ``most`` rows are shown, counted where it is."""
+    total = F.count(F.lit(1))
+    return rows.agg(total.alias("total")).select(
+        F.lit(name).alias("name"), "total", F.least("total", F.lit(most).cast("long")).alias("returned"), (F.col("total") > most).alias("truncated"), F.when(F.col("total") > most, reason).alias("reason")
+    )
+
+
+def availability_row(files: DataFrame, omissions: DataFrame) -> DataFrame:
+    """One row of counts and names of what a map could not show in full.
 
-    ``files`` has path, status and limitations; ``omissions`` path and reason. Lists are in
-    order of path, as long as a map's ceilings let them be.
+    ``files`` has path, status and limitations; ``omissions`` path and reason; nulls count nowhere.
+    Lists are distinct, in order of path, as long as a map's ceilings let them be.
     """
-    names = lambda df, where: [r["path"] for r in df.where(where).select("path").distinct().orderBy("path").collect()]
-    unsupported, unavailable = (names(omissions, F.col("reason") == r) for r in ("unsupported_language", "cache_unavailable"))
-    partial = names(files, "status = 'partial'")
-    over = omissions.where(F.col("reason").isin("traversal_error", "oversized")).limit(1).count() or files.where(F.exists("limitations", actionable_limitation)).limit(1).count()
-    return {
-        "unsupported_paths": len(unsupported), "partial_files": len(partial), "cache_unavailable_paths": len(unavailable), "resource_limited": bool(over),
-        "unsafe_paths": omissions.where(F.col("reason").isin("unsafe_path", "symlink")).count(),
-        "unsupported_path_names": unsupported, "partial_path_names": partial, "cache_unavailable_path_names": unavailable,
-    }
+    names = lambda where: F.array_sort(F.collect_set(F.when(where, F.col("path"))))
+    reason = F.col("reason")
+    left_out = omissions.agg(
+        names(reason == "unsupported_language").alias("unsupported_path_names"), names(reason == "cache_unavailable").alias("cache_unavailable_path_names"),
+        F.count_if(reason.isin("unsafe_path", "symlink")).alias("unsafe_paths"), F.coalesce(F.bool_or(reason.isin("traversal_error", "oversized")), F.lit(False)).alias("_over"),
+    )
+    shown = files.agg(names(F.col("status") == "partial").alias("partial_path_names"), F.coalesce(F.bool_or(F.exists("limitations", actionable_limitation)), F.lit(False)).alias("_limited"))
+    both = left_out.crossJoin(shown)  # one row and one row
+    sizes = {"unsupported_paths": "unsupported_path_names", "partial_files": "partial_path_names", "cache_unavailable_paths": "cache_unavailable_path_names"}
+    return both.select(*(F.size(c).cast("long").alias(n) for n, c in sizes.items()), (F.col("_over") | F.col("_limited")).alias("resource_limited"), "unsafe_paths", *sizes.values())
+
+
+def availability(files: DataFrame, omissions: DataFrame) -> dict[str, object]:
+    """``availability_row`` for a report."""
+    return availability_row(files, omissions).first().asDict()

@@ -1,17 +1,21 @@
 """What fits: snippets under a token budget, and reports under a size.
 
-These choices depend on every earlier one and end in a handful of rows, so they are made
-on the driver over rows that a top-k has already bounded.
+A report's own choices depend on every earlier one and end in a handful of rows, so they are
+made on the driver over rows that a top-k has already bounded. ``shrunk`` makes the same choice
+as ``shrink`` where the rows are, by running sums.
 """
 
 from __future__ import annotations
 
 import json
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfind.functions import text as X
 from wayfind.settings import COMPACT_PROJECTION
+from wayfind.storage import materialize
 
 MARK = "…"
 
@@ -80,6 +84,36 @@ def payload_tokens(report: dict) -> int:
     return sum(walk(report.get(k, [])) for k in SHRINK_ORDER)
 
 
+def text_tokens(rows: DataFrame, columns: list[str]) -> Column:
+    """Tokens of a row's texts; a null is none."""
+    return reduce(lambda a, b: a + b, (F.when(F.col(c).isNotNull(), X.token_estimate(F.col(c).cast("string"))).otherwise(F.lit(0).cast("long")) for c in columns))
+
+
+def running_sums(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` up to each in a total order, over sorted partitions and their totals."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    dealt = materialize(dealt.withColumn("_part", F.shiftright("_at", 33)), "running")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each partition
+    sums = dealt.groupBy(F.col("_part").alias("_p")).agg(F.sum(value).alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    within = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0))).join(sums, F.col("_part") == F.col("_p"))
+    return out.select(*rows.columns, (F.col("_before") + F.col("_within")).alias(name))
+
+
+def shrunk(payload: DataFrame, budget: int) -> DataFrame:
+    """``payload`` (collection, place, tokens, ...) without the rows that ``shrink`` drops, for payloads of any size.
+
+    Rows go from the last of the first collection of ``SHRINK_ORDER`` on, so those stay that are
+    within the budget in the opposite order. ``place`` orders a collection's rows. Collections that
+    are not in the order stay whole and count nothing.
+    """
+    rank = F.array_position(F.array(*map(F.lit, reversed(SHRINK_ORDER))), F.col("collection"))
+    known = payload.withColumn("_rank", rank)
+    kept = running_sums(known.where("_rank > 0"), ["_rank", "place"], "tokens", "_upto").where(F.col("_upto") <= budget)
+    return kept.select(*payload.columns).unionByName(known.where("_rank = 0 or _rank is null").select(*payload.columns))
+
+
 def shrink(report: dict[str, list], budget: int) -> dict[str, list]:
     """Drop last rows, collection by collection, until the payload is within the budget."""
     out = {k: list(v) for k, v in report.items()}

@@ -54,12 +54,8 @@ def qualified_symbols(spark, d):
 )
 def bounded_collections(spark, d):
     """What a history's ceiling on collections leaves of each, and says of it."""
-    rows = []
-    for name, key in (("region", "r_name"), ("nation", "n_name"), ("supplier", "s_name")):
-        shown, said = report.bounded(table(spark, d, name).orderBy(key), 10)
-        assert len(shown) == said["returned"]
-        rows.append((name, said["total"], said["returned"], said["truncated"], said["reason"]))
-    return spark.createDataFrame(rows, "name string, total bigint, returned bigint, truncated boolean, reason string")
+    each = [I.collection_rows(name, table(spark, d, name), 10) for name in ("region", "nation", "supplier")]
+    return each[0].unionAll(each[1]).unionAll(each[2])
 
 
 @register("file_cap", "select 'f' || p_partkey as path from part order by path limit 100")
@@ -128,9 +124,23 @@ def snippet_selection(spark, d):
 )
 def payload_shrink(spark, d):
     """A payload gives up its last findings until it is within a budget of tokens."""
-    named = lambda name, key, c: [{"path": r[0]} for r in table(spark, d, name).orderBy(key).select(c).collect()]
-    kept = S.shrink({"findings": named("nation", "n_nationkey", "n_name"), "snippets": named("region", "r_regionkey", "r_name")}, 40)
-    return spark.createDataFrame([(name, r["path"]) for name, rows in kept.items() for r in rows], "collection string, path string")
+    named = lambda name, key, c, said: table(spark, d, name).select(F.lit(said).alias("collection"), F.col(key).cast("long").alias("place"), F.col(c).alias("path"))
+    rows = named("nation", "n_nationkey", "n_name", "findings").unionAll(named("region", "r_regionkey", "r_name", "snippets"))
+    return S.shrunk(rows.withColumn("tokens", S.text_tokens(rows, ["path"])), 40).select("collection", "path")
+
+
+@register(
+    "payload_shrink_parts",
+    """with p as (select case p_size % 4 when 0 then 'findings' when 1 then 'edges' when 2 then 'files' else 'quality' end as collection, p_partkey as place, p_name as path, ceil(length(p_name) / 4.0)::bigint + ceil(length(p_type) / 4.0)::bigint as t from part),
+    r as (select *, sum(t) over (order by case collection when 'files' then 1 when 'edges' then 2 else 3 end, place) as upto from p where collection <> 'quality'), h as (select sum(t) * 2 // 3 as half from p)
+    select collection, path from r, h where upto <= half union all select collection, path from p where collection = 'quality'""",
+)
+def payload_shrink_parts(spark, d):
+    """A payload of all parts is brought within two thirds of its tokens."""
+    rows = table(spark, d, "part").select(_choice(F.col("p_size") % 4, ("findings", "edges", "files", "quality")).alias("collection"), F.col("p_partkey").cast("long").alias("place"), F.col("p_name").alias("path"), "p_type")
+    rows = rows.withColumn("tokens", S.text_tokens(rows, ["path", "p_type"]))
+    budget = rows.agg(F.floor(F.sum("tokens") * 2 / 3)).first()[0]
+    return S.shrunk(rows, int(budget)).select("collection", "path")
 
 
 @register(
@@ -139,8 +149,8 @@ def payload_shrink(spark, d):
 )
 def payload_tokens(spark, d):
     """Tokens of every text in a payload."""
-    rows = [r.asDict() for r in table(spark, d, "nation").select("n_name", "n_nationkey").collect()]
-    return spark.createDataFrame([(S.payload_tokens({"files": rows}),)], "tokens bigint")
+    rows = table(spark, d, "nation").select("n_name", "n_nationkey")
+    return rows.agg(F.sum(S.text_tokens(rows, rows.columns)).alias("tokens"))
 
 
 @register(
@@ -238,9 +248,8 @@ def availability(spark, d):
     k, path = F.col("n_nationkey"), F.col("n_name").alias("path")
     files = table(spark, d, "nation").select(path, F.when(k % 4 == 1, "partial").otherwise("complete").alias("status"), F.array().cast("array<string>").alias("limitations"))
     omitted = table(spark, d, "nation").select(path, _choice(k, ("unsupported_language", "oversized", "cache_unavailable", "symlink", "binary")).alias("reason"))
-    made = I.availability(files, omitted)
-    row = [made[c] for c in ("unsupported_paths", "partial_files", "cache_unavailable_paths", "resource_limited", "unsafe_paths")]
-    return spark.createDataFrame([(*row, ",".join(made["partial_path_names"]))], "unsupported_paths bigint, partial_files bigint, cache_unavailable_paths bigint, resource_limited boolean, unsafe_paths bigint, partial_path_names string")
+    names = F.array_join("partial_path_names", ",").alias("partial_path_names")
+    return I.availability_row(files, omitted).select("unsupported_paths", "partial_files", "cache_unavailable_paths", "resource_limited", "unsafe_paths", names)
 
 
 _MODES = ("auto", "always", "files", "manual", "no_cache")
