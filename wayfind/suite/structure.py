@@ -417,6 +417,33 @@ def explain_path(spark, d):
     return explain(path, files, own, edges, files.withColumn("score", F.lit(0)), found, omitted, none, none)["edges"].select("source", "target", "symbol")
 
 
+@register("explain_symbol", f"""with {EDGES_SQL}, t as (select min(symbol) as name from edges), files as (select distinct path from words where first_word <> '' or (last_word <> '' and length(line) > 100) or (seq = 1 and language = 'go') or (seq = 2 and doc_id % 3 = 0 and last_word <> '')),
+  s as (select path, first_word as name, seq * 3 - 2 as seq from words where first_word <> '' union all select path, last_word, seq * 3 - 1 from words where seq = 2 and doc_id % 3 = 0 and last_word <> ''
+    union all select path, last_word, seq * 3 from words where last_word <> '' and length(line) > 100 union all select path, 'm' || (doc_id % 5), 0 from words where seq = 1 and language = 'go'),
+  matched as (select s.path, s.seq from s, t where s.name = t.name), paths as (select distinct path from matched)
+  select 'symbols' as part, path, seq::varchar as detail from (select * from matched order by path, seq limit 128)
+  union all select 'edges', source, target || ' ' || symbol from (select distinct source, target, symbol from edges, t where source in (from paths) or target in (from paths) or symbol = t.name order by source, target, symbol limit 128)
+  union all select 'findings', path, 'parse_error' from paths where length(path) % 2 = 0
+  union all select 'history', path, case when length(path) % 3 = 0 then length(path) || ' churn' else '1 bug_overlap' end from paths
+  union all select 'omissions', path, 'oversized' from (select path from files where length(path) % 2 = 1 order by path limit 32)""")
+def explain_symbol(spark, d):
+    """All that bears on one name: symbols, edges, findings and history of its files; and what is said of a name that nothing has."""
+    from wayfind.plans.explain import explain
+
+    own = _symbols(spark, d).withColumn("scope", F.array().cast("array<string>"))
+    edges = materialize(G.lexical_edges(own), "edges")
+    name = edges.agg(F.min("symbol")).first()[0] or "none"
+    files, size = own.select("path").distinct(), F.length("path")
+    found, omitted = files.where(size % 2 == 0).withColumn("kind", F.lit("parse_error")), files.where(size % 2 == 1).withColumn("reason", F.lit("oversized"))
+    churned, bugs = files.where(size % 3 == 0).withColumn("commits", size.cast("long")), files.withColumn("commits", F.lit(1).cast("long"))
+    asked = lambda target: explain(target, files, own, edges, files.withColumn("score", F.lit(0)), found, omitted, churned, bugs)
+    said, other = asked(name), asked("a name that no file has")
+    part = lambda of, kind, detail, path="path": of[kind].select(F.lit(kind).alias("part"), F.col(path).alias("path"), detail.alias("detail"))
+    rows = part(said, "symbols", F.col("seq").cast("string")).unionAll(part(said, "edges", F.concat_ws(" ", "target", "symbol"), "source"))
+    rows = rows.unionAll(part(said, "findings", F.col("kind"))).unionAll(part(said, "history", F.concat_ws(" ", F.col("commits").cast("string"), "signal")))
+    return rows.unionAll(part(other, "omissions", F.col("reason")))
+
+
 @register("parse_sources", "select doc_id::varchar as path, 'f' || (doc_id % 10) as name, 'Class' || (doc_id % 3) as container from documents")
 def parse_sources(spark, d):
     """A made-up source around every whole document: its method is found despite the text beside it."""
