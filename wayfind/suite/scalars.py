@@ -11,11 +11,11 @@ from wayfind.functions import modules as M
 from wayfind.functions import paths as P
 from wayfind.functions import text as X
 from wayfind.session import table
-from wayfind.suite import fixed as N
+from wayfind.suite import fixed as W
 from wayfind.suite.adapters import COMMITS_SQL, NOW, PAGE_PATHS_SQL, commits, page_paths
 
 WITH = f"with {PAGE_PATHS_SQL}"
-_KINDS = [("generated", N.GENERATED), ("vendor", N.VENDOR)]
+_KINDS = [("generated", W.GENERATED), ("vendor", W.VENDOR)]
 _NAME = "lower(regexp_extract(path, '([^/]*)$', 1))"
 _STEM = f"regexp_replace({_NAME}, '(.)[.][^.]*$', '\\1')"
 
@@ -29,7 +29,7 @@ _CLASSES = " union all ".join(
     for k, (kind, names) in enumerate(_KINDS)
 ) + f""" union all select page_id, path, 3, 'source_map', 'source_map_filename' from paths where ends_with({_NAME}, '.map')
  union all select page_id, path, 2, 'minified', 'minified_filename' from paths where contains({_NAME}, '.min.') or ends_with({_STEM}, '.min')
- union all select page_id, path, 0, 'generated', 'generated_filename' from paths where {_STEM} in {_in(N.GENERATED_STEMS)} or {' or '.join(f"ends_with({_STEM}, '{e}')" for e in N.GENERATED_ENDINGS)}"""
+ union all select page_id, path, 0, 'generated', 'generated_filename' from paths where {_STEM} in {_in(W.GENERATED_STEMS)} or {' or '.join(f"ends_with({_STEM}, '{e}')" for e in W.GENERATED_ENDINGS)}"""
 
 
 @register("classify_path", f"{WITH}, c as (select distinct * from ({_CLASSES})) select p.page_id, coalesce(string_agg(kind || '=' || reason, ';' order by ord, reason), '') as classes from paths p left join c using (page_id) group by p.page_id")
@@ -47,8 +47,8 @@ def classification_summary(spark, d):
 
 
 @register("classified_prefix", f"""{WITH}, parts as (select page_id, path, generate_subscripts(string_split(path, '/'), 1) as n, unnest(string_split(lower(path), '/')) as part from paths),
-  hit as (select page_id, min(n) as n from parts where part in {_in(N.GENERATED + N.VENDOR)} or ends_with(part, '.map') or contains(part, '.min.')
-    or regexp_replace(part, '(.)[.][^.]*$', '\\1') in {_in(N.GENERATED_STEMS)} or regexp_matches(regexp_replace(part, '(.)[.][^.]*$', '\\1'), '([.]generated|[.]gen|_pb|[.]designer|[.]min)$') group by page_id)
+  hit as (select page_id, min(n) as n from parts where part in {_in(W.GENERATED + W.VENDOR)} or ends_with(part, '.map') or contains(part, '.min.')
+    or regexp_replace(part, '(.)[.][^.]*$', '\\1') in {_in(W.GENERATED_STEMS)} or regexp_matches(regexp_replace(part, '(.)[.][^.]*$', '\\1'), '([.]generated|[.]gen|_pb|[.]designer|[.]min)$') group by page_id)
   select page_id, case when n is null then path else array_to_string(string_split(path, '/')[1:n], '/') end as prefix from paths left join hit using (page_id)""")
 def classified_prefix(spark, d):
     return page_paths(spark, d).select("page_id", P.classified_prefix(F.col("path")).alias("prefix"))
@@ -64,7 +64,7 @@ def path_parts(spark, d):
 _EXT = "lower(regexp_extract(path, '[^/][.]([^./]+)$', 1))"
 
 
-@register("language_of_path", f"{WITH} select page_id, case " + " ".join(f"when {_EXT} in {_in(e.split())} then '{lang}'" for lang, e in N.EXTENSIONS.items()) + f" end as language, {_EXT} in {_in(P.SOURCE_LIKE_EXTENSIONS)} or regexp_extract(path, '([^/]*)$', 1) in {_in(P.SOURCE_LIKE_NAMES)} as source_like from paths")
+@register("language_of_path", f"{WITH} select page_id, case " + " ".join(f"when {_EXT} in {_in(e.split())} then '{lang}'" for lang, e in W.EXTENSIONS.items()) + f" end as language, {_EXT} in {_in(P.SOURCE_LIKE_EXTENSIONS)} or regexp_extract(path, '([^/]*)$', 1) in {_in(P.SOURCE_LIKE_NAMES)} as source_like from paths")
 def language_of_path(spark, d):
     p = F.col("path")
     return page_paths(spark, d).select("page_id", P.language(p).alias("language"), P.source_like(p).alias("source_like"))
@@ -121,12 +121,12 @@ def normalize_path(spark, d):
 
 
 _LANDMARK_SQL = {
-    "readme": f"{_NAME} in {_in(N.READMES)}", "contributor_instructions": f"(starts_with({_NAME}, 'contributing') or {_NAME} in {_in(N.CONTRIBUTORS)})",
-    "agent_instructions": f"{_NAME} in {_in(N.AGENTS)}",
-    "manifest": f"({_NAME} in {_in(N.MANIFESTS)} or ends_with({_NAME}, '.csproj') or ends_with({_NAME}, '.sln'))",
-    "lockfile": f"{_NAME} in {_in(N.LOCKFILES)}", "build_entry_point": f"{_NAME} in {_in(N.BUILDS)}", "task_entry_point": f"{_NAME} in {_in(N.TASKS)}",
-    "ci": f"({_NAME} in {_in(N.CI)} or list_has_any(string_split(lower(path), '/'), ['workflows', '.circleci', '.buildkite']))", "ownership": f"{_NAME} in {_in(N.OWNERS)}",
-    "license": "(" + " or ".join(f"starts_with({_NAME}, '{s}')" for s in N.LICENSES) + ")",
+    "readme": f"{_NAME} in {_in(W.READMES)}", "contributor_instructions": f"(starts_with({_NAME}, 'contributing') or {_NAME} in {_in(W.CONTRIBUTORS)})",
+    "agent_instructions": f"{_NAME} in {_in(W.AGENTS)}",
+    "manifest": f"({_NAME} in {_in(W.MANIFESTS)} or ends_with({_NAME}, '.csproj') or ends_with({_NAME}, '.sln'))",
+    "lockfile": f"{_NAME} in {_in(W.LOCKFILES)}", "build_entry_point": f"{_NAME} in {_in(W.BUILDS)}", "task_entry_point": f"{_NAME} in {_in(W.TASKS)}",
+    "ci": f"({_NAME} in {_in(W.CI)} or list_has_any(string_split(lower(path), '/'), ['workflows', '.circleci', '.buildkite']))", "ownership": f"{_NAME} in {_in(W.OWNERS)}",
+    "license": "(" + " or ".join(f"starts_with({_NAME}, '{s}')" for s in W.LICENSES) + ")",
 }
 
 

@@ -17,7 +17,7 @@ from wayfind.plans import reading as R
 from wayfind.session import table
 from wayfind.settings import MapSettings
 from wayfind.storage import materialize
-from wayfind.suite import fixed as N
+from wayfind.suite import fixed as W
 from wayfind.suite.adapters import EDGES_SQL, PAGE_PATHS_SQL, SYMBOLS_SQL, page_paths, symbols
 
 WITH = f"with {PAGE_PATHS_SQL}"
@@ -48,7 +48,7 @@ def inventory_counts(spark, d):
 
 
 @register("ignored_anti", f"""{_STATES} select path from distinct_paths where path not in (select path from merged)
-  and not list_has_any(string_split(lower(path), '/'), {list(N.GENERATED + N.VENDOR)}) and not regexp_matches(lower(path), '([.]map|[.]min[.][^/]*|_pb[.][^./]*)$')""")
+  and not list_has_any(string_split(lower(path), '/'), {list(W.GENERATED + W.VENDOR)}) and not regexp_matches(lower(path), '([.]map|[.]min[.][^/]*|_pb[.][^./]*)$')""")
 def ignored_anti(spark, d):
     return I.ignored_paths(page_paths(spark, d).select("path"), _candidates(spark, d))
 
@@ -72,7 +72,7 @@ _NAME = "regexp_extract(path, '([^/]*)$', 1)"
 
 @register("omission_gates", f"""{WITH}, g as (select page_id, path, page_id % 17 = 3 as symlink, case page_id % 8 when 5 then null when 6 then chr(0) || html else html end as content from paths)
   select page_id, case when regexp_matches(path, '^(.*/)?README[.]md(/.*)?$') then 'explicit_exclusion' when symlink then 'symlink'
-    when list_has_any(string_split(lower(path), '/'), {list(N.GENERATED + N.VENDOR)}) or regexp_matches(lower(path), '([.]map|[.]min[.][^/]*|_pb[.][^./]*)$') then 'classified'
+    when list_has_any(string_split(lower(path), '/'), {list(W.GENERATED + W.VENDOR)}) or regexp_matches(lower(path), '([.]map|[.]min[.][^/]*|_pb[.][^./]*)$') then 'classified'
     when lower(regexp_extract(path, '[^/][.]([^./]+)$', 1)) not in ('rs', 'ts', 'py', 'lua') then 'non_source'
     when content is null then 'read_error' when octet_length(encode(content)) > 1048576 then 'oversized' when contains(content, chr(0)) then 'binary' end as reason from g""")
 def omission_gates(spark, d):
