@@ -9,6 +9,7 @@ returned beside the result, so a caller can say that it is incomplete.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from wayfind.storage import materialize
 
 DIRECTORY, GITLINK = "040000", "160000"
 MAX_CHANGED_PATHS, MAX_NODES, MAX_ENTRIES, MAX_DEPTH = 10_000, 100_000, 4_096, 2_048
+#: Parts of a folder in which it is digested.
+BUCKETS = 256
 
 #: Gives the entries (tree, name, mode, oid) of a DataFrame of tree ids (tree).
 Lookup = Callable[[DataFrame], DataFrame]
@@ -31,36 +34,60 @@ def stored(entries: DataFrame) -> Lookup:
 def built(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(roots, entries) of ``files`` (id, path, mode, oid): roots are (id, tree), entries those of all trees, each tree once.
 
-    Bottom-up, a level of folders at a time. A folder's id is the digest of its sorted entries.
+    Bottom-up, a level of folders at a time. A folder's id is a digest of digests: of the sorted
+    entries in each of ``BUCKETS`` parts by name, so that no row holds a whole large folder.
     """
     level = materialize(files.select("id", F.split("path", "/").alias("parts"), "mode", "oid"), "level")
     deepest = level.agg(F.coalesce(F.max(F.size("parts")), F.lit(0))).first()[0]
-    made = []
+    levels, folders = [], []
     for depth in range(deepest, 0, -1):
         here = F.size("parts") == depth
-        folder = F.slice("parts", 1, depth - 1)
         entry = F.struct(F.element_at("parts", depth).alias("name"), "mode", "oid")
-        said = F.array_sort(F.array_agg(entry)).alias("entries")
-        grouped = materialize(level.where(here).groupBy("id", folder.alias("parts")).agg(said).withColumn("tree", F.sha2(F.to_json("entries"), 256)), "folders")
-        made.append(grouped.dropDuplicates(["tree"]).select("tree", F.explode("entries").alias("e")).select("tree", "e.name", "e.mode", "e.oid"))
+        named = level.where(here).select("id", F.slice("parts", 1, depth - 1).alias("parts"), entry.alias("e"))
+        buckets = named.groupBy("id", "parts", F.pmod(F.xxhash64("e.name"), F.lit(BUCKETS)).alias("bucket")).agg(F.array_sort(F.array_agg("e")).alias("entries"))
+        buckets = materialize(buckets.withColumn("digest", F.sha2(F.to_json("entries"), 256)), "buckets")
+        said = F.array_sort(F.array_agg(F.struct("bucket", "digest")))
+        grouped = materialize(buckets.groupBy("id", "parts").agg(F.sha2(F.to_json(said), 256).alias("tree")), "folders")
+        levels.append((depth, buckets))
+        folders.append(grouped.withColumn("depth", F.lit(depth)))
         above = level.where(~here).unionByName(grouped.select("id", "parts", F.lit(DIRECTORY).alias("mode"), F.col("tree").alias("oid")))
         level = above if depth == 1 else materialize(above, "level")
-    entries = made[0] if made else files.select(F.lit("").alias("tree"), F.lit("").alias("name"), "mode", "oid").limit(0)
-    for more in made[1:]:
-        entries = entries.unionByName(more)
-    return level.select("id", F.col("oid").alias("tree")), entries.distinct()
+    if not levels:
+        return level.select("id", F.col("oid").alias("tree")), files.select(F.lit("").alias("tree"), F.lit("").alias("name"), "mode", "oid").limit(0)
+    one = reduce(DataFrame.unionByName, folders).groupBy("tree").agg(F.min(F.struct("depth", "id", "parts")).alias("at")).select("tree", "at.*")
+    one = materialize(one, "one")
+    made = [buckets.join(one.where(F.col("depth") == depth), ["id", "parts"]).select("tree", F.explode(F.array_distinct("entries")).alias("e")).select("tree", "e.*") for depth, buckets in levels]
+    return level.select("id", F.col("oid").alias("tree")), materialize(reduce(DataFrame.unionByName, made), "entries")
 
 
 def _ranked(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
 
 
-def _bounded(entries: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """The first ``most`` entries of each tree by name, one of each name; and (tree, n, doubled) of what that leaves out."""
+def _within(rows: DataFrame, used: DataFrame, taken: str, most: int, reason: str, label: str) -> tuple[DataFrame, DataFrame | None]:
+    """The first of ``rows`` of each id by path, up to ``most`` with those ``taken`` before; and losses, None if there are none.
+
+    Only ids that go over are ranked: all rows of another need not meet in one task.
+    """
+    so_far = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(used.select("id", F.col(taken).alias("_taken")), "id")
+    tight = materialize(so_far.where(F.col("n") + F.col("_taken") > most), "tight", compact=True)
+    if not tight.limit(1).count():
+        return rows, None
+    ranked = _ranked(rows.join(tight, "id"), ["id"], ["path"]).where(F.col("_rank") <= most).where(F.col("_rank") + F.col("_taken") <= most)
+    kept = materialize(rows.join(tight, "id", "left_anti").unionByName(ranked.select(*rows.columns)), label)
+    shown = kept.groupBy("id").agg(F.count(F.lit(1)).alias("_kept"))
+    return kept, tight.join(shown, "id", "left").select("id", F.lit(reason).alias("reason"), (F.col("n") - F.coalesce("_kept", F.lit(0))).alias("n"))
+
+
+def _bounded(entries: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
+    """The first ``most`` entries (None: all) of each tree by name, one of each name; and (tree, n, doubled) of what that leaves out."""
     first = Window.partitionBy("tree", "name").orderBy("mode", "oid")
     rows = entries.select("tree", "name", "mode", "oid").withColumn("_copy", F.row_number().over(first))
-    rows = _ranked(rows.where("_copy = 1"), ["tree"], ["name"])
+    rows = rows.where("_copy = 1")
     doubled = entries.groupBy("tree", "name").count().where("count > 1").groupBy("tree").agg(F.sum(F.col("count") - 1).alias("doubled"))
+    if most is None:
+        return rows.drop("_copy"), doubled.select("tree", F.lit(None).cast("long").alias("n"), "doubled")
+    rows = _ranked(rows, ["tree"], ["name"])
     cut = rows.where(F.col("_rank") > most).groupBy("tree").agg(F.count(F.lit(1)).alias("n"))
     return rows.where(F.col("_rank") <= most).drop("_rank", "_copy"), cut.join(doubled, "tree", "full")
 
@@ -79,12 +106,12 @@ def _noted(cut: DataFrame, reach: DataFrame) -> DataFrame:
     return wide.unionAll(both.where("doubled > 0").select("id", F.lit("collisions").alias("reason"), F.col("doubled").alias("n")))
 
 
-def walk(roots: DataFrame, lookup: Lookup, prune: Callable | None = None, max_nodes: int = MAX_NODES, max_entries: int = MAX_ENTRIES, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
+def walk(roots: DataFrame, lookup: Lookup, prune: Callable | None = None, max_nodes: int = MAX_NODES, max_entries: int | None = MAX_ENTRIES, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
     """(id, path, mode, oid) of the files and links under ``roots`` (id, tree), and losses (id, reason, n).
 
     ``prune`` is a predicate on a folder's path: such folders are not opened, which is no loss. Each
     root opens at most ``max_nodes`` entries, level by level and by path, and ``max_entries`` of
-    a folder; a name twice in a folder counts once. Folders at ``max_depth`` are not opened.
+    a folder (None: all); a name twice in a folder counts once. Folders at ``max_depth`` are not opened.
     Losses are counted: ``entries``, ``collisions``, ``nodes`` (entries that are not opened or
     shown, without what is below them), ``depth`` and ``missing`` (trees that the lookup does not have).
     """
@@ -106,10 +133,8 @@ def walk(roots: DataFrame, lookup: Lookup, prune: Callable | None = None, max_no
         rows = frontier.join(kept, "tree").select("id", F.concat("at", "name").alias("path"), "mode", "oid")
         if prune is not None:
             rows = rows.where((F.col("mode") != DIRECTORY) | ~prune(F.col("path")))
-        rows = _ranked(rows.join(used, "id"), ["id"], ["path"]).withColumn("over", F.col("used") + F.col("_rank") > max_nodes)
-        rows = materialize(rows.select("id", "path", "mode", "oid", "over"), "walked")
-        losses.append(rows.where("over").groupBy("id").agg(F.count(F.lit(1)).alias("n")).select("id", F.lit("nodes").alias("reason"), "n"))
-        shown = rows.where("not over")
+        shown, lost = _within(materialize(rows, "walked"), used, "used", max_nodes, "nodes", "shown")
+        losses += [] if lost is None else [lost]
         used = materialize(used.join(shown.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "id", "left").select("id", (F.col("used") + F.coalesce("n", F.lit(0))).alias("used")), "used", compact=True)
         found.append(shown.where(F.col("mode") != DIRECTORY).select("id", "path", "mode", "oid"))
         frontier = materialize(shown.where(F.col("mode") == DIRECTORY).select("id", F.concat("path", F.lit("/")).alias("at"), F.col("oid").alias("tree")), "frontier", compact=True)
@@ -120,7 +145,7 @@ def walk(roots: DataFrame, lookup: Lookup, prune: Callable | None = None, max_no
 
 
 def changed_paths(
-    pairs: DataFrame, lookup: Lookup, max_paths: int = MAX_CHANGED_PATHS, max_nodes: int = MAX_NODES, max_entries: int = MAX_ENTRIES, max_depth: int = MAX_DEPTH
+    pairs: DataFrame, lookup: Lookup, max_paths: int = MAX_CHANGED_PATHS, max_nodes: int = MAX_NODES, max_entries: int | None = MAX_ENTRIES, max_depth: int = MAX_DEPTH
 ) -> tuple[DataFrame, DataFrame]:
     """(id, path, before, after) of the files that differ between two trees, and losses (id, reason, n).
 
@@ -148,18 +173,15 @@ def changed_paths(
         losses.append(gone.groupBy("id").agg(F.count(F.lit(1)).alias("n")).select("id", F.lit("missing").alias("reason"), "n"))
         side = lambda which: frontier.select("id", "at", F.col(which).alias("tree")).join(kept, "tree").select("id", F.concat("at", "name").alias("path"), F.col("mode").alias(f"{which}_mode"), F.col("oid").alias(f"{which}_oid"))
         rows = side("old").join(side("new"), ["id", "path"], "full").where("not (old_mode <=> new_mode and old_oid <=> new_oid)")
-        rows = _ranked(rows.join(used, "id"), ["id"], ["path"]).withColumn("over", F.col("used") + F.col("_rank") > max_nodes)
-        rows = materialize(rows.drop("_rank"), "compared")
-        losses.append(rows.where("over").groupBy("id").agg(F.count(F.lit(1)).alias("n")).select("id", F.lit("nodes").alias("reason"), "n"))
-        rows = rows.where("not over")
+        rows, lost = _within(materialize(rows, "compared"), used, "used", max_nodes, "nodes", "kept")
+        losses += [] if lost is None else [lost]
         is_tree = {w: F.coalesce(F.col(f"{w}_mode") == DIRECTORY, F.lit(False)) for w in ("old", "new")}
         file = {w: F.when(~is_tree[w], F.col(f"{w}_oid")) for w in ("old", "new")}
-        files = rows.select("id", "path", "shown", file["old"].alias("before"), file["new"].alias("after"), F.coalesce("old_mode", F.lit("")).alias("m"), F.coalesce("new_mode", F.lit("")).alias("k"))
-        files = _ranked(files.where("before is not null or after is not null"), ["id"], ["path"])
-        files = materialize(files.withColumn("late", F.col("shown") + F.col("_rank") > max_paths), "changed")
-        losses.append(files.where("late").groupBy("id").agg(F.count(F.lit(1)).alias("n")).select("id", F.lit("paths").alias("reason"), "n"))
-        found.append(files.where("not late").select("id", "path", "before", "after"))
-        more = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(files.where("not late").groupBy("id").agg(F.count(F.lit(1)).alias("f")), "id", "left")
+        files = rows.select("id", "path", file["old"].alias("before"), file["new"].alias("after"))
+        files, lost = _within(files.where("before is not null or after is not null"), used, "shown", max_paths, "paths", "changed")
+        losses += [] if lost is None else [lost]
+        found.append(files)
+        more = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(files.groupBy("id").agg(F.count(F.lit(1)).alias("f")), "id", "left")
         used = used.join(more, "id", "left").select("id", (F.col("used") + F.coalesce("n", F.lit(0))).alias("used"), (F.col("shown") + F.coalesce("f", F.lit(0))).alias("shown"))
         used = materialize(used, "used", compact=True)
         tree = {w: F.when(is_tree[w], F.col(f"{w}_oid")).alias(w) for w in ("old", "new")}

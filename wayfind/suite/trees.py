@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wayfind.catalog import register
 from wayfind.operators import trees as T
-from wayfind.session import table
+from wayfind.session import spread, table
 
 _FILES = """
 files as (select n_nationkey as v, replace(p_type, ' ', '/') || '/' || p_brand || '/' || p_partkey as path, md5(p_partkey || case when p_partkey % 25 = n_nationkey then 'changed' else '' end) as oid
@@ -15,7 +15,7 @@ files as (select n_nationkey as v, replace(p_type, ' ', '/') || '/' || p_brand |
 
 def _files(spark, d):
     nations = table(spark, d, "nation").select("n_nationkey")
-    part = table(spark, d, "part").select("p_partkey", "p_type", "p_brand")
+    part = spread(table(spark, d, "part").select("p_partkey", "p_type", "p_brand"), "p_partkey")
     each = part.select("*", F.explode(F.lit([*range(25)])).alias("v")).join(nations, F.col("v") == F.col("n_nationkey")).where(F.col("p_partkey") % 31 != F.col("v"))
     path = F.concat(F.replace("p_type", F.lit(" "), F.lit("/")), F.lit("/"), "p_brand", F.lit("/"), F.col("p_partkey").cast("string"))
     said = F.concat(F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 25 == F.col("v"), "changed").otherwise(""))
@@ -33,14 +33,14 @@ def _pairs(spark, d):
 def tree_changes(spark, d):
     """Files that each version changed against the one before, found by going down both trees."""
     pairs, entries = _pairs(spark, d)
-    return T.changed_paths(pairs, T.stored(entries), max_paths=10**9, max_nodes=10**9)[0]
+    return T.changed_paths(pairs, T.stored(entries), max_paths=10**9, max_nodes=10**9, max_entries=None)[0]
 
 
 @register("tree_walk", f"""with {_FILES} select v::varchar as id, path, '100644' as mode, oid from files where path not like '%/PLATED/%'""")
 def tree_walk(spark, d):
     """Files of every version, without folders that are pruned."""
     roots, entries = T.built(_files(spark, d))
-    return T.walk(roots, T.stored(entries), prune=lambda path: F.split_part(path, F.lit("/"), F.lit(-1)) == "PLATED", max_nodes=10**9)[0]
+    return T.walk(roots, T.stored(entries), prune=lambda path: F.split_part(path, F.lit("/"), F.lit(-1)) == "PLATED", max_nodes=10**9, max_entries=None)[0]
 
 
 @register("tree_losses", f"""with {_FILES}, counted as (select v, count(*) as n from files where v = 3 group by v),
@@ -49,4 +49,4 @@ def tree_walk(spark, d):
 def tree_losses(spark, d):
     """How many changed files of each version a ceiling of twenty leaves out."""
     pairs, entries = _pairs(spark, d)
-    return T.changed_paths(pairs, T.stored(entries), max_paths=20, max_nodes=10**9)[1]
+    return T.changed_paths(pairs, T.stored(entries), max_paths=20, max_nodes=10**9, max_entries=None)[1]
