@@ -21,3 +21,13 @@ def one_folder(tmp_path_factory):
 def test_trees_of_one_large_folder(spark, one_folder, name):
     got = catalog.queries()[name](spark, one_folder).toPandas()
     assert rows(got) == rows(connection(one_folder).sql(catalog.oracle_sql()[name]).df())
+
+
+def test_files_of_one_read_are_parsed_in_many_parts(spark):
+    """A small table is read by one task; its files are parsed by as many as shuffles have."""
+    from wayfind.sources import parser
+
+    files = spark.range(64).coalesce(1).selectExpr("cast(id as string) as path", "'rust' as language", "cast(concat('fn f', id, '() {}') as binary) as content")
+    made = parser.parse_payloads(files)
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    assert {r["name"] for r in parser.parse_files(files).collect()} == {f"f{k}" for k in range(64)}
