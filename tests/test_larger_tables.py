@@ -27,7 +27,15 @@ def test_files_of_one_read_are_parsed_in_many_parts(spark):
     """A small table is read by one task; its files are parsed by as many as shuffles have."""
     from wayfind.sources import parser
 
-    files = spark.range(64).coalesce(1).selectExpr("cast(id as string) as path", "'rust' as language", "cast(concat('fn f', id, '() {}') as binary) as content")
+    files = spark.range(64).coalesce(1).selectExpr("cast(id as string) as path", "'rust' as language", "cast(concat('fn name', id, '() {}') as binary) as content")
     made = parser.parse_payloads(files)
     assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
-    assert {r["name"] for r in parser.parse_files(files).collect()} == {f"f{k}" for k in range(64)}
+    assert {r["name"] for r in parser.parse_files(files).collect()} == {f"name{k}" for k in range(64)}
+
+
+def test_a_common_names_candidates_are_cut_before_references_meet_them(spark):
+    from wayfind.operators import graph as G
+
+    targets = spark.range(100).selectExpr("'go' as language", "'n' as name", "lpad(id, 3, '0') as target", "'public' as target_visibility")
+    found = G._first_candidates(targets.unionAll(targets), ["language", "name"], 32).collect()
+    assert len(found) == 1 and sorted(c["target"] for c in found[0]["found"]) == [f"{k:03d}" for k in range(32)]
