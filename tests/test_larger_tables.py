@@ -39,3 +39,15 @@ def test_a_common_names_candidates_are_cut_before_references_meet_them(spark):
     targets = spark.range(100).selectExpr("'go' as language", "'n' as name", "lpad(id, 3, '0') as target", "'public' as target_visibility")
     found = G._first_candidates(targets.unionAll(targets), ["language", "name"], 32).collect()
     assert len(found) == 1 and sorted(c["target"] for c in found[0]["found"]) == [f"{k:03d}" for k in range(32)]
+
+
+def test_syntax_of_more_text_is_dealt_out_in_more_parts_once(spark):
+    """Memory of a task goes by its part of the text; no window or join deals tokens out again."""
+    from wayfind.operators import syntax
+
+    files = spark.range(6).selectExpr("cast(id as string) as path", "'rust' as language", "repeat('fn a(b: C) { d(e); }\n', 50000) as source")
+    rows = syntax.analysed(files)
+    assert rows.rdd.getNumPartitions() == syntax.parts(files) == 7 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for found in (syntax.nodes(rows), syntax.errors(rows), syntax.declarations(rows), syntax.references(rows)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and "Join" not in plan

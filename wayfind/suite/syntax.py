@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from wayfind.catalog import register
 from wayfind.operators import syntax as S
 from wayfind.session import table
-from wayfind.storage import materialize
 
 # Statements by language; a, b, c and d in braces are four words of the text.
 STATEMENTS = {
@@ -161,15 +160,11 @@ declared as materialized (select * from (select path, language, n, start, line,
     when language = 'lua' and b1 = '.' and a1 = '=' then 'field' when language in ('python', 'ruby', 'lua') and first and a1 = '=' and coalesce(bracket not in ('(', '['), true) then 'variable' end as kind from d2 t where {_WORD}) where kind is not null)"""
 
 
-def _analysed(spark, d):
-    return materialize(S.analysed(sources(spark, d)), "syntax")
-
-
 @register("syntax_nodes", f"{_SYNTAX} select path, count(*)::bigint as n_nodes, max(depth)::bigint as deepest, count(end_n)::bigint as n_closed, sum(n)::bigint as places, coalesce(sum(end_n), 0)::bigint as ends, coalesce(sum(around), 0)::bigint as parents from pairs group by path")
 def syntax_nodes(spark, d):
     """Size, depth and spans of every source's tree."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    found = S.nodes(_analysed(spark, d))
+    found = S.nodes(S.analysed(sources(spark, d), words=False))
     return found.groupBy("path").agg(F.count(F.lit(1)).alias("n_nodes"), F.max("depth").cast("long").alias("deepest"), F.count("end_n").alias("n_closed"), total("node").alias("places"), total("end_n").alias("ends"), total("parent").alias("parents"))
 
 
@@ -179,13 +174,13 @@ def syntax_nodes(spark, d):
   union all select path, line, start, 'unended text' from toks where kind = 'string' and not (case when text[1:3] = '\"\"\"' then length(text) >= 6 and text[-3:] = '\"\"\"' else length(text) > 1 and text[-1] = text[1] end)""")
 def syntax_errors(spark, d):
     """Every error of every source, with a lower limit of depth than the engine's."""
-    return S.errors(_analysed(spark, d), 40).select("path", F.col("line").cast("long").alias("line"), F.col("start").cast("long").alias("start"), "detail")
+    return S.errors(S.analysed(sources(spark, d), words=False), 40).select("path", F.col("line").cast("long").alias("line"), F.col("start").cast("long").alias("start"), "detail")
 
 
 @register("syntax_declarations", f"{_DECLARED} select path, language, line::bigint as line, start::bigint as start, name, kind, owner from declared")
 def syntax_declarations(spark, d):
     """Every declaration of every source, and what owns the block it is in."""
-    return S.declarations(_analysed(spark, d)).select("path", "language", F.col("line").cast("long").alias("line"), F.col("start").cast("long").alias("start"), "name", "kind", "owner")
+    return S.declarations(S.analysed(sources(spark, d))).select("path", "language", F.col("line").cast("long").alias("line"), F.col("start").cast("long").alias("start"), "name", "kind", "owner")
 
 
 def _references_sql() -> str:
@@ -213,5 +208,4 @@ def _nest_again() -> str:
 @register("syntax_references", _references_sql())
 def syntax_references(spark, d):
     """Every reference of every source: words that no declaration spans, and what they are evidence of."""
-    rows = _analysed(spark, d)
-    return S.references(rows, S.declarations(rows)).select("path", "language", F.col("line").cast("long").alias("line"), F.col("start").cast("long").alias("start"), "name", "kind", "evidence")
+    return S.references(S.analysed(sources(spark, d))).select("path", "language", F.col("line").cast("long").alias("line"), F.col("start").cast("long").alias("start"), "name", "kind", "evidence")
