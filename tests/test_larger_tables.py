@@ -51,3 +51,16 @@ def test_syntax_of_more_text_is_dealt_out_in_more_parts_once(spark):
     for found in (syntax.nodes(rows), syntax.errors(rows), syntax.declarations(rows), syntax.references(rows)):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+def test_references_of_more_symbols_are_dealt_out_in_more_parts(spark, monkeypatch):
+    """Memory of a task goes by its symbols, and candidates are cut before the one time that they are dealt out."""
+    from wayfind.operators import graph as G
+
+    monkeypatch.setattr(G, "PART_SYMBOLS", 40)
+    line = "'go' as language, 'a' as name, '{}' as kind, '{}' as role, 1 as seq, cast(null as string) as context, 'public' as visibility, 'call' as evidence"
+    make = lambda kind, role: spark.range(200).selectExpr("concat('d/f', id, '.go') as path", *line.format(kind, role).split(", "))
+    edges = G.lexical_edges(make("function", "definition").unionAll(make("identifier", "reference")))
+    assert edges.count() == 200 and edges.rdd.getNumPartitions() == 10 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    targets = spark.range(100).selectExpr("'n' as name", "cast(id as string) as target", "'public' as target_visibility")
+    assert G._first_candidates(targets, ["name"], 32)._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
