@@ -64,3 +64,15 @@ def test_references_of_more_symbols_are_dealt_out_in_more_parts(spark, monkeypat
     assert edges.count() == 200 and edges.rdd.getNumPartitions() == 10 > int(spark.conf.get("spark.sql.shuffle.partitions"))
     targets = spark.range(100).selectExpr("'n' as name", "cast(id as string) as target", "'public' as target_visibility")
     assert G._first_candidates(targets, ["name"], 32)._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
+def test_passes_of_the_ranking_leave_edges_where_they_are(spark):
+    from wayfind.storage import bucketed
+
+    share = spark.range(1000).selectExpr("cast(id % 10 as string) as source", "cast(id as string) as target", "0.01d as share")
+    ranks = spark.range(10).selectExpr("cast(id as string) as path", "0.1d as rank")
+    with bucketed(share, "source", 6, "test") as table:
+        joined = table.join(ranks.hint("shuffle_hash"), table["source"] == ranks["path"])
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 1000 and plan.count("Exchange ") == 1 and "Sort " not in plan
+    assert not [t.name for t in spark.catalog.listTables() if "wayfind_test" in t.name]
