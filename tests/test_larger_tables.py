@@ -76,3 +76,14 @@ def test_passes_of_the_ranking_leave_edges_where_they_are(spark):
         plan = joined._jdf.queryExecution().executedPlan().toString()
         assert joined.count() == 1000 and plan.count("Exchange ") == 1 and "Sort " not in plan
     assert not [t.name for t in spark.catalog.listTables() if "wayfind_test" in t.name]
+
+
+def test_candidates_of_a_plan_are_summed_once(spark, monkeypatch):
+    from wayfind.plans import reading as R
+
+    rows = spark.range(30).selectExpr(
+        "'tests' as purpose", "cast(id as string) as path", "'r' as project_root", "array('graph') as evidence_kinds", "'why' as reason", "array('x') as limitations", "id as score", "'high' as confidence"
+    )
+    made = []
+    monkeypatch.setattr(R, "materialize", lambda df, label, keep=R.materialize: made.append(keep(df, label)) or made[-1])
+    assert len(R.shortlist(R.combine(rows))) == 30 and len(made) == 1

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wayfind.functions import paths as P
 from wayfind.operators.landmarks import deepest_root
 from wayfind.schemas import CONFIDENCES, EVIDENCE_KINDS, PURPOSES
+from wayfind.storage import materialize, release
 
 MAX_PLAN, MIN_PLAN = 10, 5
 START_KINDS = ("agent_instructions", "contributor_instructions", "readme", "manifest")
@@ -122,7 +123,7 @@ def shortlist(candidates: DataFrame) -> list[dict]:
     """
     depth = MAX_PLAN * len(PURPOSES)
     strength = F.lit(4) - F.array_position(F.array(*map(F.lit, CONFIDENCES)), F.col("confidence"))
-    rows = candidates.withColumn("strength", strength.cast("int"))
+    rows = materialize(candidates.withColumn("strength", strength.cast("int")), "candidates")  # summed once for the three lists
     best = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("strength").desc(), "path", "purpose"))
     by_purpose = rows.withColumn("_n", best("purpose")).where(F.col("_n") <= depth).drop("_n")
     by_root = rows.where("project_root is not null").withColumn("_n", best("project_root")).where(F.col("_n") <= depth).drop("_n")
@@ -131,6 +132,7 @@ def shortlist(candidates: DataFrame) -> list[dict]:
     for part in (by_purpose, by_root, weakest):
         for r in part.collect():
             seen[r["purpose"], r["path"]] = r.asDict(recursive=True)
+    release(rows)
     return [seen[k] for k in sorted(seen)]
 
 
