@@ -18,7 +18,7 @@ def odd(spark, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["focus_matches"])
+@pytest.mark.parametrize("name", ["focus_matches", "focus_matches_many"])
 def test_files_without_a_symbol_are_counted_too(spark, odd, name):
     got = catalog.queries()[name](spark, odd).toPandas()
     want = connection(odd).sql(catalog.oracle_sql()[name]).df()
