@@ -47,9 +47,13 @@ STATEMENTS = {
 
 
 def sources(spark, d):
-    """(path, language, source): every document's words in statements of the language that its id chooses."""
+    """(path, language, source): every document's words in statements of the language that its id chooses.
+
+    Dealt out as documents, which are shorter than their sources and read by few tasks.
+    """
     names = list(STATEMENTS)
-    docs = table(spark, d, "documents").select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0)).alias("w"))
+    texts = table(spark, d, "documents").select("doc_id", "text")
+    docs = texts.repartition(S.parts(texts, "text"), "doc_id").select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0)).alias("w"))
     lang = F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % len(names) + 1).cast("int"))
 
     def statement(i):
@@ -164,7 +168,7 @@ declared as materialized (select * from (select path, language, n, start, line,
 def syntax_nodes(spark, d):
     """Size, depth and spans of every source's tree."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    found = S.nodes(S.analysed(sources(spark, d), words=False))
+    found = S.nodes(S.readable(sources(spark, d)))
     return found.groupBy("path").agg(F.count(F.lit(1)).alias("n_nodes"), F.max("depth").cast("long").alias("deepest"), F.count("end_n").alias("n_closed"), total("node").alias("places"), total("end_n").alias("ends"), total("parent").alias("parents"))
 
 
@@ -174,13 +178,13 @@ def syntax_nodes(spark, d):
   union all select path, line, start, 'unended text' from toks where kind = 'string' and not (case when text[1:3] = '\"\"\"' then length(text) >= 6 and text[-3:] = '\"\"\"' else length(text) > 1 and text[-1] = text[1] end)""")
 def syntax_errors(spark, d):
     """Every error of every source, with a lower limit of depth than the engine's."""
-    return S.errors(S.analysed(sources(spark, d), words=False), 40).select("path", F.col("line").cast("long").alias("line"), F.col("start").cast("long").alias("start"), "detail")
+    return S.errors(S.readable(sources(spark, d)), 40).select("path", F.col("line").cast("long").alias("line"), F.col("start").cast("long").alias("start"), "detail")
 
 
 @register("syntax_declarations", f"{_DECLARED} select path, language, line::bigint as line, start::bigint as start, name, kind, owner from declared")
 def syntax_declarations(spark, d):
     """Every declaration of every source, and what owns the block it is in."""
-    return S.declarations(S.analysed(sources(spark, d))).select("path", "language", F.col("line").cast("long").alias("line"), F.col("start").cast("long").alias("start"), "name", "kind", "owner")
+    return S.declarations(S.readable(sources(spark, d))).select("path", "language", F.col("line").cast("long").alias("line"), F.col("start").cast("long").alias("start"), "name", "kind", "owner")
 
 
 def _references_sql() -> str:
@@ -208,4 +212,4 @@ def _nest_again() -> str:
 @register("syntax_references", _references_sql())
 def syntax_references(spark, d):
     """Every reference of every source: words that no declaration spans, and what they are evidence of."""
-    return S.references(S.analysed(sources(spark, d))).select("path", "language", F.col("line").cast("long").alias("line"), F.col("start").cast("long").alias("start"), "name", "kind", "evidence")
+    return S.references(S.readable(sources(spark, d))).select("path", "language", F.col("line").cast("long").alias("line"), F.col("start").cast("long").alias("start"), "name", "kind", "evidence")
