@@ -7,7 +7,7 @@ from tests.compare import SF
 from wayfind import catalog
 
 
-@pytest.mark.parametrize("name", ["syntax_declarations"])
+@pytest.mark.parametrize("name", ["syntax_declarations", "syntax_references"])
 def test_tokens_are_never_rows(spark, name):
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Join" not in plan and "MapInArrow" in plan
@@ -18,7 +18,7 @@ def test_tokens_are_never_rows(spark, name):
 SOURCES = ["class A { b(c) { d(e); } }\nif (f", ") `g\n\n", "", "class H {\n  i(j) { /* ( */ new K(l.m); }\n}", "const\n\n\nn = 'é😀\n' ) o", "/* unended"]
 
 
-@pytest.mark.parametrize("made", ["_declarations"])
+@pytest.mark.parametrize("made", ["_declarations", "_references"])
 def test_sources_read_at_once_are_read_as_each_alone(made):
     from wayfind.operators import syntax as S
 
@@ -41,3 +41,10 @@ def test_chunks_hold_every_source_once(monkeypatch):
     batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made[a : a + 20], strict=True)], ["path", "language", "source"]) for a in (0, 20, 40)]
     found = [(p, lang, s) for lang, paths, sources in S._chunks(batches) for p, s in zip(paths, sources, strict=True)]
     assert sorted(found) == sorted(made) and max(sum(map(len, x[2])) for x in S._chunks(batches)) < 5 + 3
+
+
+def test_words_that_begin_as_reserved_ones_are_not_reserved():
+    from wayfind.operators import syntax as S
+
+    chunk = S._Chunk("typescript", ["class interfacf {} class interface {} class interfaces {} class functio {} class function1 {} class é {}"], True)
+    assert S._declarations(chunk)["name"].to_pylist() == ["interfacf", "interfaces", "functio", "function1"]
