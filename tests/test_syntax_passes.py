@@ -7,7 +7,7 @@ from tests.compare import SF
 from wayfind import catalog
 
 
-@pytest.mark.parametrize("name", ["syntax_declarations", "syntax_references"])
+@pytest.mark.parametrize("name", ["syntax_declarations", "syntax_errors", "syntax_references"])
 def test_tokens_are_never_rows(spark, name):
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Join" not in plan and "MapInArrow" in plan
@@ -18,7 +18,7 @@ def test_tokens_are_never_rows(spark, name):
 SOURCES = ["class A { b(c) { d(e); } }\nif (f", ") `g\n\n", "", "class H {\n  i(j) { /* ( */ new K(l.m); }\n}", "const\n\n\nn = 'é😀\n' ) o", "/* unended"]
 
 
-@pytest.mark.parametrize("made", ["_declarations", "_references"])
+@pytest.mark.parametrize("made", ["_declarations", "_errors", "_references"])
 def test_sources_read_at_once_are_read_as_each_alone(made):
     from wayfind.operators import syntax as S
 
@@ -48,3 +48,22 @@ def test_words_that_begin_as_reserved_ones_are_not_reserved():
 
     chunk = S._Chunk("typescript", ["class interfacf {} class interface {} class interfaces {} class functio {} class function1 {} class é {}"], True)
     assert S._declarations(chunk)["name"].to_pylist() == ["interfacf", "interfaces", "functio", "function1"]
+
+
+def test_sources_are_made_of_documents_in_arrow(spark):
+    """Statements are not written by Spark's interpreted functions over arrays of words."""
+    from wayfind.suite import syntax as X
+
+    plan = X.sources(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "transform" not in plan
+    words = " ".join(f"a{'b' * k}" for k in (0, 1, 6, 0, 1, 2, 8, 3, 0, 0, 10, 1, 0, 0, 12, 1, 2))
+    batch = pa.RecordBatch.from_arrays([pa.array([3, 12, None, 4]), pa.array([words, None, "a b c d", "é-a.b1c d"])], ["doc_id", "text"])
+    found = {r["path"]: r for made in X._sources([batch]) for r in made.to_pylist()}
+    assert {k: r["language"] for k, r in found.items()} == {"3": "python", "12": "python", "4": "ruby"}
+    assert found["12"]["source"] == "" and found["4"]["source"] == "def a(b)\n  c.d(b)\nend\n"
+    assert found["3"]["source"] == (
+        "def a(ab, abbbbbb]:\n    return a(ab.abbbbbb]\n"
+        "class ab:\n    abb = abbbbbbbb(abbb)\n"
+        "a = [a, abbbbbbbbbb(\n    ab)]\n# a ( a\n)\n"
+        'a.a(abbbbbbbbbbbb=ab)\nx = """a (\na"""\n\'open\n'
+    )

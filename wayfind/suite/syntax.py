@@ -7,11 +7,16 @@ find in them is worked out by SQL of its own, with its lists written out.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable, Iterator
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from wayfind.catalog import register
 from wayfind.operators import syntax as S
-from wayfind.session import table
+from wayfind.session import share_code, table
 
 # Statements by language; a, b, c and d in braces are four words of the text.
 STATEMENTS = {
@@ -46,26 +51,44 @@ STATEMENTS = {
 }
 
 
+def _templates(language: str) -> list[dict[int, tuple[str, Callable]]]:
+    """By a statement's place from 0, and by the length of its third word or 0: its text with %s for words, and which these are."""
+    made = []
+    for form in STATEMENTS[language]:
+        order = [" abcd".index(x) - 1 for x in re.findall(r"\{([abcd])\}", form)]
+        text = re.sub(r"\{[abcd]\}", "%s", form)
+        said = {0: text, 7: text.replace(")", "]"), 9: text.replace("}", ""), 11: text + ")\n", 13: text + "'open\n"}
+        made.append({size: (x, itemgetter(*order)) for size, x in said.items()})
+    return made
+
+
+def _sources(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (doc_id, text) as sources."""
+    names, words, templates = list(STATEMENTS), re.compile("[A-Za-z]+").findall, [_templates(name) for name in STATEMENTS]
+    for batch in batches:
+        rows: list[tuple[str, str, str]] = []
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if key is None or key < 0:
+                continue
+            w, forms = words(text or ""), templates[key % len(names)]
+            said = []
+            for i in range(len(w) // 4):
+                four = w[4 * i : 4 * i + 4]
+                form = forms[i % 4]
+                filled, order = form.get(len(four[2])) or form[0]
+                said.append(filled % order(four))
+            rows.append((str(key), names[key % len(names)], "".join(said)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], ["path", "language", "source"])
+
+
 def sources(spark, d):
     """(path, language, source): every document's words in statements of the language that its id chooses.
 
     Dealt out as documents, which are shorter than their sources and read by few tasks.
     """
-    names = list(STATEMENTS)
-    texts = table(spark, d, "documents").select("doc_id", "text")
-    docs = texts.repartition(S.parts(texts, "text"), "doc_id").select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0)).alias("w"))
-    lang = F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % len(names) + 1).cast("int"))
-
-    def statement(i):
-        form = F.element_at(F.element_at(F.array(*(F.array(*map(F.lit, v)) for v in STATEMENTS.values())), (F.col("doc_id") % len(names) + 1).cast("int")), (i % 4 + 1).cast("int"))
-        for k, letter in enumerate("abcd"):
-            form = F.replace(form, F.lit(f"{{{letter}}}"), F.element_at("w", (4 * i + k + 1).cast("int")))
-        size = F.length(F.element_at("w", (4 * i + 3).cast("int")))
-        return F.when(size == 7, F.replace(form, F.lit(")"), F.lit("]"))).when(size == 9, F.replace(form, F.lit("}"), F.lit(""))).when(size == 11, F.concat(form, F.lit(")\n"))).when(size == 13, F.concat(form, F.lit("'open\n"))).otherwise(form)
-
-    count = F.floor(F.size("w") / 4).cast("int")
-    made = F.when(count > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), statement), "")).otherwise("")
-    return docs.select(F.col("doc_id").cast("string").alias("path"), lang.alias("language"), made.alias("source"))
+    share_code(spark)
+    texts = table(spark, d, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts.repartition(S.parts(texts, "text"), "doc_id").mapInArrow(_sources, "path string, language string, source string")
 
 
 def _sources_sql() -> str:
