@@ -7,7 +7,7 @@ from tests.compare import SF
 from wayfind import catalog
 
 
-@pytest.mark.parametrize("name", ["syntax_declarations", "syntax_errors", "syntax_references"])
+@pytest.mark.parametrize("name", ["syntax_declarations", "syntax_errors", "syntax_nodes", "syntax_references"])
 def test_tokens_are_never_rows(spark, name):
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Join" not in plan and "MapInArrow" in plan
@@ -18,11 +18,12 @@ def test_tokens_are_never_rows(spark, name):
 SOURCES = ["class A { b(c) { d(e); } }\nif (f", ") `g\n\n", "", "class H {\n  i(j) { /* ( */ new K(l.m); }\n}", "const\n\n\nn = 'é😀\n' ) o", "/* unended"]
 
 
-@pytest.mark.parametrize("made", ["_declarations", "_errors", "_references"])
+@pytest.mark.parametrize("made", ["_declarations", "_errors", "_nodes", "_references"])
 def test_sources_read_at_once_are_read_as_each_alone(made):
     from wayfind.operators import syntax as S
 
-    make = {"_errors": lambda c: S._errors(c, 1)}.get(made, {"_references": lambda c: S._references(c, False)}.get(made, getattr(S, made)))
+    more = {"_errors": (1,), "_nodes": (tuple(S.NODE),), "_references": (False,)}.get(made, ())
+    make = lambda chunk: getattr(S, made)(chunk, *more)
 
     def rows(sources):
         chunk = S._Chunk("javascript", sources, True)

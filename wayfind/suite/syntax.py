@@ -191,7 +191,7 @@ declared as materialized (select * from (select path, language, n, start, line,
 def syntax_nodes(spark, d):
     """Size, depth and spans of every source's tree."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    found = S.nodes(S.readable(sources(spark, d)))
+    found = S.nodes(S.readable(sources(spark, d)), ("node", "parent", "depth", "end_n"))
     return found.groupBy("path").agg(F.count(F.lit(1)).alias("n_nodes"), F.max("depth").cast("long").alias("deepest"), F.count("end_n").alias("n_closed"), total("node").alias("places"), total("end_n").alias("ends"), total("parent").alias("parents"))
 
 
